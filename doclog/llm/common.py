@@ -103,3 +103,43 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a compressed table in the shared folder."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BITMAP_BITS, BITMAP_PIECES = 26, 128
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A filter of fixed size (2^26 bits, whatever the input) of the upper bits of a long column; it passes all its members.
+
+    Its pieces are filled by tasks; the driver only joins them.
+    """
+    width = 1 << (BITMAP_BITS - 3)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch.column(1).to_numpy()
+            for piece in np.unique(batch.column(0).to_numpy()).tolist():
+                bits = pieces.setdefault(piece, np.zeros(width // BITMAP_PIECES, np.uint8))
+                own = slots[batch.column(0).to_numpy() == piece] - piece * len(bits) * 8
+                np.bitwise_or.at(bits, own >> 3, (1 << (own & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([b.tobytes() for b in pieces.values()], pa.binary())], ["piece", "bits"])
+
+    slot = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - BITMAP_BITS).alias("slot")
+    dealt = hashes.select(slot).select((F.col("slot") * BITMAP_PIECES / (1 << BITMAP_BITS)).cast("int").alias("piece"), "slot").repartition("piece")
+    out = np.zeros(width, np.uint8)
+    for piece, bits in dealt.mapInArrow(fill, "piece int, bits binary").collect():
+        out[piece * len(bits) : (piece + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
