@@ -108,64 +108,79 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
         yield low, texts[low:]
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the suffixes in order of their first `depth` bytes, and the 8-byte words at all places."""
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the suffixes in order of their first `depth` bytes (at least), the 8-byte words at all places, and for each
+    suffix in order how many bytes it surely shares with the one before it: the depth that their group was split at.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    words = np.zeros(n, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : n + k]
-    order = np.argsort(words)
-    head = np.r_[True, words[order][1:] != words[order][:-1]][:n]
-    rank = np.empty(n + 1, np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(words).astype(np.int32)
+    shared = np.full(n, 2 * depth, np.int32)
+    ordered = words[order]
+    head = np.empty(n, bool)
+    head[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=head[1:])
+    shared[head] = 0
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    at, h = np.arange(n), 8
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+    at, h = np.arange(n, dtype=np.int32), 8
     while h < depth:
-        heads = rank[order[at]]
-        one = np.r_[heads[1:] != heads[:-1], True] & np.r_[True, heads[1:] != heads[:-1]] if len(at) else np.empty(0, bool)
+        head = shared[at] < 2 * depth
+        one = head.copy()
+        one[:-1] &= head[1:]
         at = at[~one]  # places in unsorted groups
         if not len(at):
             break
         i = order[at]
-        key = (rank[i] << 32) + rank[np.minimum(i + h, n)] + 1
+        key = (rank[i].astype(np.int64) << 32) + rank[np.minimum(i + h, n)] + 1
         by = np.argsort(key)
         i, key = i[by], key[by]
         order[at] = i
-        rank[i] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+        new = np.empty(len(at), bool)
+        new[:1] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        rank[i] = np.maximum.accumulate(np.where(new, at, 0))
+        fresh = at[new]
+        shared[fresh] = np.minimum(shared[fresh], h)
         h *= 2
-    return order, words
+    shared[shared == 2 * depth] = h
+    return order, words, shared
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, rows: np.ndarray, counts: np.ndarray, cap: int) -> np.ndarray:
-    """Kasai: common prefix (up to `cap`) of each place in `order` with the place before it.
+def common_prefixes(words: np.ndarray, order: np.ndarray, shared: np.ndarray, rows: np.ndarray, counts: np.ndarray, cap: int) -> np.ndarray:
+    """Kasai: common prefix (up to `cap`) of each place in `order` with the place before it, if it may reach `cap`.
 
-    Row k stands for `counts[k]` places from `rows[k]` on; all rows step together, each from one less than its last prefix if
-    its last partner's next place comes before it too (places that tie to the depth of the order may not).
+    Row k stands for `counts[k]` places from `rows[k]` on; all rows step together, each from one less than its last prefix (if
+    its last partner's next place comes before it too; places that tie to the depth of the order may not) or from what the order
+    says is shared. Pairs that were split before half of `cap` keep that figure: they can't reach `cap`.
     """
     n = len(words)
-    before, number, out = np.full(n, -1), np.full(n + 1, n), np.zeros(n, np.int64)
+    before, number, known = np.full(n, -1), np.full(n + 1, n), np.zeros(n, np.int64)
     before[order[1:]] = order[:-1]
     number[order] = np.arange(len(order))
+    known[order] = shared
+    out = np.minimum(known, cap)
     last, partner = np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+    ahead, wide = 8 * np.arange(8), np.concatenate([words, np.zeros(cap + 128, np.uint64)])
     for p in range(int(counts.max(initial=0))):
         live = np.flatnonzero(counts > p)
         i = rows[live] + p
-        j = before[i]
-        follows = (partner[live] >= 0) & (number[partner[live] + 1] < number[i])
-        size = np.where(follows, np.maximum(last[live] - 1, 0), 0)
-        todo = np.flatnonzero(j >= 0)
+        j, size = before[i], out[i]
+        todo = np.flatnonzero((j >= 0) & (size < cap) & (2 * size >= cap))
+        if len(todo):
+            follows = (partner[live[todo]] >= 0) & (number[partner[live[todo]] + 1] < number[i[todo]])
+            size[todo] = np.maximum(size[todo], np.where(follows, last[live[todo]] - 1, 0))
         while len(todo):
             a, b = i[todo] + size[todo], j[todo] + size[todo]
-            inside = (np.maximum(a, b) < n) & (size[todo] < cap)
-            todo, a, b = todo[inside], a[inside], b[inside]
-            x = words[a] ^ words[b]
-            same = x == 0
-            part = np.zeros(len(x), np.int64)
-            for k in range(1, 8):
-                part += x < np.uint64(1 << (64 - 8 * k))
-            size[todo] += np.where(same, 8, part)
-            todo = todo[same]
+            x = wide[a[:, None] + ahead] ^ wide[b[:, None] + ahead]
+            differs = x != 0
+            first = differs.argmax(axis=1)
+            same = ~differs[np.arange(len(x)), first]
+            x = x[np.arange(len(x)), first]
+            size[todo] += np.where(same, 64, 8 * first + sum((x < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8)))
+            todo = todo[same & (np.maximum(a, b) < n) & (size[todo] < cap)]
         size = np.minimum(size, cap)
         out[i] = size
         last[live], partner[live] = size, j
@@ -177,20 +192,24 @@ def repeated_windows(contexts: list[bytes], many: np.ndarray, text: np.ndarray,
 
     `start` is where the context starts in its text; `many` tells contexts with copies elsewhere.
     """
+    if not contexts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     sizes = np.array([len(c) for c in contexts], np.int64)
     rows = np.cumsum(sizes) - sizes
     counts = np.maximum(sizes - length + 1, 0)
-    order, words = suffix_array(np.frombuffer(b"".join(contexts), np.uint8), length)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
+    order, words, shared = suffix_array(np.frombuffer(b"".join(contexts), np.uint8), length)
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes)
     window = np.arange(len(words)) - rows[owner] < counts[owner]
-    order = order[window[order]]
-    prefix = common_prefixes(words, order, rows, counts, length)
+    at = np.flatnonzero(window[order])
+    if not len(at):
+        return at, at, at
+    order = order[at]  # of windows only; two of them share what all between them share
+    shared = np.r_[np.int32(0), np.minimum.reduceat(shared[: at[-1] + 1], at[:-1] + 1)] if len(at) > 1 else np.zeros(1, np.int32)
+    prefix = common_prefixes(words, order, shared, rows, counts, length)
     group = np.cumsum(prefix[order] < length)
     k = owner[order]
     place = (text[k] << 32) + start[k] + order - rows[k]
-    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
-    if not len(heads):
-        return heads, heads, heads
+    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     again = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)
     again |= np.maximum.reduceat(many[k].astype(np.int8), heads) > 0
     flags = np.zeros(len(words) + 1, np.int8)
@@ -202,6 +221,23 @@ def repeated_windows(contexts: list[bytes], many: np.ndarray, text: np.ndarray,
     return k, first - rows[k], last - rows[k]
 
 
+def reach_of_matches(group: np.ndarray, parts: list[bytes], width: int) -> np.ndarray:
+    """For each part an upper bound (at most `width`) of the prefix that it shares with another part of its group.
+
+    In sorted order the longest shared prefix is one with a neighbour; eight bytes are compared at once.
+    """
+    order = np.array(sorted(range(len(parts)), key=lambda k: (group[k], parts[k])), np.int64)
+    size = -(-width // 8) * 8
+    table = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in parts), np.uint64).reshape(len(parts), -1)[order]
+    differs = np.ones((len(parts) - 1, table.shape[1] + 1), bool)
+    np.not_equal(table[1:], table[:-1], out=differs[:, :-1])
+    shared = np.minimum(8 * differs.argmax(axis=1) + 7, width)
+    shared[group[order][1:] != group[order][:-1]] = 0
+    out = np.empty(len(parts), np.int64)
+    out[order] = np.maximum(np.r_[0, shared], np.r_[shared, 0])
+    return out
+
+
 def own_key():
     return F.coalesce("doc_id", F.lit(-(1 << 63) + 1)).alias("k")
 
@@ -294,8 +330,18 @@ def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shar
         _, first = np.unique(np.stack([keys, h, c]), axis=1, return_index=True)
         t = t.take(np.sort(first))
         h, c, k, start, left = (t.column(n).to_numpy() for n in ("h", "c", "k", "start", "reach"))
+        found = t.column("bytes").to_pylist()
+        # what no other context of the gram shares around the anchor can be in no repeated window
+        group = np.unique(h, return_inverse=True)[1]
+        after = reach_of_matches(group, [b[x:] for b, x in zip(found, left.tolist(), strict=True)], length)
+        before = reach_of_matches(group, [b[:x][::-1] for b, x in zip(found, left.tolist(), strict=True)], reach)
+        before = np.minimum(before, left)
+        near = np.flatnonzero(before + after >= length)
+        h, c, k, start, left, before, after = (x[near] for x in (h, c, k, start, left, before, after))
+        found = [found[n][x - b : x + a] for n, x, b, a in zip(near.tolist(), left.tolist(), before.tolist(), after.tolist(), strict=True)]
+        start, left = start + left - before, before
         text = np.unique(k, return_inverse=True)[1].astype(np.int64)
-        at, low, high = repeated_windows(t.column("bytes").to_pylist(), t.column("many").to_numpy(), text, start, length)
+        at, low, high = repeated_windows(found, t.column("many").to_numpy()[near], text, start, length)
         columns = (h[at], c[at], (low - left[at]).astype(np.int32), (high - left[at] + length).astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "low", "high"])
 
