@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, ppm, quality, simhash, suffixes, topk, toxicity, warc
+from . import hnsw, packing, ppm, quality, simhash, suffixes, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,24 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (SELECT a AS n, a AS m FROM l UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n), d AS (SELECT a AS n, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c ON c.n = e.vec_id LEFT JOIN d ON d.n = e.vec_id
+"""
