@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog, dedup_files, ingest, uri_index
 from ..operators.meta import META_TYPES, add_metadata, build_postings, validate_target
+from ..sources.writers import load_catalog, save_table
 
 MARKDOWN, PLAIN, HTML = "text/markdown; charset=utf-8", "text/plain; charset=utf-8", "text/html; charset=utf-8"
 HREF = 'href="([^"]*)"'
@@ -53,16 +57,43 @@ def meta_content(target: Column, fields: Column) -> Column:
     return F.concat(target, F.lit("\n\n{"), body, F.lit("}"))
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder that all executors see."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root}/doclog-{uuid.uuid4().hex}"
+
+
+_built: dict[tuple[str, str], str] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    rows = metas(spark, sf_dir).withColumn("content", meta_content(F.col("target_uri"), F.col("fields")))
-    both = ingest(blobs(spark, sf_dir).union(rows.select("seq", "content", F.lit(META_TYPES[0]).alias("type"))))
-    files, uris = dedup_files(both), uri_index(both)
-    kept = rows.join(files.select(F.col("file_id").alias("seq")), "seq", "left_semi")
-    found = kept.select(F.col("seq").alias("meta_file_id"), "target_uri")
+    """The fixture log's tables, ingested once per session and folder into the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        root = shared(spark)
+        build(spark, sf_dir, root)
+        _built[key] = root
+    return load_catalog(spark, _built[key])
+
+
+def build(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Ingest: hashes are taken in the scan stage, then each table is written from the ones before it."""
+    rows = metas(spark, sf_dir)
+    content = meta_content(F.col("target_uri"), F.col("fields")).alias("content")
+    staged = ingest(blobs(spark, sf_dir).union(rows.select("seq", content, F.lit(META_TYPES[0]).alias("type"))))
+    staged.write.parquet(f"{root}/staged")
+    staged = spark.read.parquet(f"{root}/staged")
+    dedup_files(staged).write.parquet(f"{root}/files")
+    files = spark.read.parquet(f"{root}/files")
+    save_table(uri_index(staged), root, "uris", ["uri"])
+    uris = spark.read.parquet(f"{root}/uris")
     known = files.filter(F.col("type") == META_TYPES[0]).select(F.col("file_id").alias("meta_file_id"))
-    metafiles = validate_target(found, uris, known)
-    valid = kept.withColumnRenamed("seq", "meta_file_id").join(metafiles.select("meta_file_id"), "meta_file_id", "left_semi")
-    return Catalog(files, uris, metafiles.select("meta_file_id", "target_uri"), add_metadata(valid), build_postings(valid.filter("fulltext is not null")))
+    kept = rows.withColumnRenamed("seq", "meta_file_id").join(known, "meta_file_id", "left_semi")
+    save_table(validate_target(kept.select("meta_file_id", "target_uri"), uris, known), root, "metafiles", ["target_uri"])
+    metafiles = spark.read.parquet(f"{root}/metafiles")
+    valid = kept.join(metafiles.select("meta_file_id"), "meta_file_id", "left_semi")
+    save_table(add_metadata(valid), root, "metadata", ["field", "value"])
+    save_table(build_postings(valid.filter("fulltext is not null")), root, "postings", ["term"])
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,12 +33,7 @@ def doc_uri(spark: SparkSession, d: str, doc_id: int) -> str:
     return fx.doc_uris(spark, d).filter(F.col("doc_id") == doc_id).select("doc_uri").first()[0]
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root}/doclog-{uuid.uuid4().hex}"
-
-
+shared = fx.shared
 ingested = lambda spark, d: files_of.ingest(fx.blobs(spark, d))
 
 
@@ -166,7 +159,7 @@ def annotated_query(name: str, column: Callable, sql: str) -> None:
 
 
 annotated_query("hashtags", text.hashtags, "SELECT doc_id, lang || '_' || source AS value FROM documents")
-annotated_query("keywords", text.keywords, "SELECT doc_id, unnest([source, ' ' || lang || 'uage']) AS value FROM documents")
+annotated_query("keywords", text.keywords, "SELECT doc_id, unnest([source, lang || 'uage']) AS value FROM documents")
 annotated_query("iso_dates", text.dates, "SELECT doc_id, '2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || 'T15:05:00Z' AS value FROM documents")
 
 

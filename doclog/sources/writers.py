@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.address import parse_hash_uri, storage_prefix
 from ..functions.text import embeds_in_markdown, is_text_type, links_in_markdown, links_in_text
+from ..operators.catalog import Catalog
 from ..operators.results import meta_line
 
 
@@ -54,3 +55,13 @@ def fulltext_meta(files: DataFrame, converters: Sequence[Converter] = CONVERTERS
 def reprocess(files: DataFrame, path: str, converters: Sequence[Converter] = CONVERTERS) -> None:
     """Run extraction over existing files again and append what it gives."""
     fulltext_meta(files, converters).write.mode("append").parquet(path)
+
+
+def save_table(rows: DataFrame, root: str, name: str, keys: list[str]) -> None:
+    """Write a table clustered by its lookup keys, so that equality filters skip row groups."""
+    rows.sortWithinPartitions(*keys).write.mode("append").parquet(f"{root}/{name}")
+
+
+def load_catalog(spark: SparkSession, root: str) -> Catalog:
+    files, uris, metafiles, metadata, postings = (spark.read.parquet(f"{root}/{name}") for name in ("files", "uris", "metafiles", "metadata", "postings"))
+    return Catalog(files, uris, metafiles.select("meta_file_id", "target_uri"), metadata, postings)
