@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, packing, ppm, quality, simhash, suffixes, topk, toxicity, warc
+from . import hnsw, packing, pieces, ppm, quality, simhash, suffixes, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,10 @@ SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, coalesce(c.component_id, e.v
        e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN c ON c.n = e.vec_id LEFT JOIN d ON d.n = e.vec_id
 """
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
