@@ -174,10 +174,10 @@ def render_plain(body: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes to the base 1024: whole bytes, or one decimal in KB to TB."""
+    """Bytes to the base 1024: whole bytes, or one decimal (ties to even) in KB to TB."""
     out = F.format_string("%.0f B", size.cast("double"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", size / float(1024**power))).otherwise(out)
+        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(size / float(1024**power), 1))).otherwise(out)
     return out
 
 
