@@ -36,14 +36,20 @@ ARCHIVE_BYTES = 8 << 20
 RECORD = "record_type string, page_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_digest, payload_bytes, record_type and refers_to of each row."""
+def records(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """page_id, url, payload, payload_digest, payload_bytes, record_type and refers_to of each row, dealt by id into a partition for
+    every `archive_bytes` of payload.
+    """
     base = pages.filter("page_id is not null").select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = base.filter(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    marked = base.join(first, "payload_digest", "left")
-    again = F.col("first") < F.col("page_id")
-    return marked.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    keys = base.filter(F.col("payload_bytes") >= LEAST).select("page_id", "payload_digest")
+    first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = keys.join(first, "payload_digest").filter("first < page_id").select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "first").distinct()
+    # payloads travel once, by id, to where their archive is written; a repeated id may hold several payloads
+    archives = max(1, -(-(base.agg(F.sum("payload_bytes")).first()[0] or 0) // archive_bytes))
+    same = (F.col("page_id") == F.col("id")) & (F.col("payload_digest") <= F.col("digest")) & (F.col("payload_digest") >= F.col("digest"))
+    marked = base.repartition(archives, "page_id").join(again.repartition(archives, "id"), same, "left")
+    return marked.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("first").alias("refers_to"))
 
 
 def record_bytes(row: dict) -> bytes:
@@ -84,8 +90,8 @@ def archive(rows: Iterator[dict], out: io.BufferedIOBase) -> int:
     return n
 
 
-def write_warc(found: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Archives of records() under `path`, dealt by id, and their listing under `path`/listing."""
+def write_warc(found: DataFrame, path: str) -> None:
+    """An archive for each partition of records() under `path`/archives, and their listing under `path`/listing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -103,9 +109,7 @@ def write_warc(found: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES)
         store.move(own, f"{folder}/archives/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "records"])
 
-    total = found.agg(F.sum("payload_bytes")).first()[0] or 0
-    dealt = found.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("page_id")).sortWithinPartitions("page_id")
-    dealt.mapInArrow(run, "name string, records long").write.parquet(f"{path}/listing")
+    found.sortWithinPartitions("page_id").mapInArrow(run, "name string, records long").write.parquet(f"{path}/listing")
 
 
 def frames(data: bytes) -> Iterator[tuple[int, bytes]]:

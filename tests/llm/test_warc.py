@@ -25,7 +25,7 @@ def want():
 
 @pytest.mark.parametrize("size", [8 << 20, 20_000])
 def test_round_trip(spark, monkeypatch, size):
-    monkeypatch.setattr(warc.write_warc, "__defaults__", (size,))
+    monkeypatch.setattr(warc.records, "__defaults__", (size,))
     pages = spark.createDataFrame(rows(), "page_id long, url string, html string").selectExpr("*", "1 payload", "2 first", "3 refers_to", "4 n")
     found = warc.round_trip(pages)
     got = [(int(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in found.collect()]
