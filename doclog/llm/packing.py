@@ -10,10 +10,13 @@ stays null. Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +26,28 @@ CAPACITY = 4096
 END_TOKEN = 1
 #: Tokens that one bucket holds on average; its lengths and bins are all that a task keeps.
 BUCKET_TOKENS = 1 << 22
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
-#: Characters for which the pre-tokenizer's pattern is applied here; a text with any other is encoded as a whole.
-PLAIN = "[\t\n\r\x20-\x7e\xa1-ɏ]*"
+#: Chunks of text between white space whose ids a worker remembers.
+CACHE_CHUNKS = 600_000
+#: Characters of text that are encoded together; a longer text is a group by itself.
+GROUP_CHARACTERS = 1 << 22
+#: A character outside those for which the pre-tokenizer's pattern is applied here; a text with one is encoded as a whole.
+ODD = "[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]"
 #: Fixed value: the pre-tokenizer's pattern, from the tokenizer file.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes; equal words are encoded by the tokenizer once."""
+    """Token ids of whole texts as little-endian 32-bit numbers; equal chunks are encoded by the tokenizer once.
+
+    No match of the pattern holds white space, so the chunks between white space are encoded independently of each other.
+    """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain, self.words = regex.compile(PLAIN).fullmatch, regex.compile(WORD).findall
+        self.odd, self.words = re.compile(ODD).search, regex.compile(WORD).findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -48,36 +56,85 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word, many words at a time."""
+        out: dict[str, bytes] = {}
+        for k in range(0, len(words), 2_000):
+            part = words[k : k + 2_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
                 raw, cuts = ids.tobytes(), (4 * stops).tolist()
-                self.known.update(zip(part, (raw[i:j] for i, j in zip([0, *cuts], cuts)), strict=False))
+                out.update(zip(part, (raw[i:j] for i, j in zip([0, *cuts], cuts)), strict=False))
             else:
-                self.known.update((w, self.whole(w)) for w in part)
+                out.update((w, self.whole(w)) for w in part)
+        return out
+
+    def split(self, chunk: str) -> list[str]:
+        """The pattern's matches in a lower-cased chunk; letters, and letters with one mark behind them, need no pattern."""
+        if chunk.isalpha():
+            return [chunk]
+        head, mark = chunk[:-1], chunk[-1:]
+        return [head, mark] if mark in (".", ",") and head.isalpha() else self.words(chunk)
+
+    def learn(self, chunks: list[str]) -> None:
+        split = [self.split(c.lower()) for c in chunks]
+        self.known |= self.encoded(list(set().union(*split) - self.known.keys()))  # a word is a chunk too
+        get = self.known.__getitem__
+        self.known.update(zip(chunks, [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in split], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
+        odd = [k for k, t in enumerate(texts) if "<|" in t or self.odd(t)]
+        plain = list(texts)
+        for k in odd:
+            plain[k] = ""
+        lists = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+        found = lists.flatten().dictionary_encode()
+        chunks = found.dictionary.to_pylist()
+        if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        split = [self.words(t.lower()) if "<|" not in t and self.plain(t) else None for t in texts]
-        self.learn(list(set().union(*(w for w in split if w)) - self.known.keys()))
-        get = self.known.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        self.learn([c for c in chunks if c not in self.known])
+        ids = [self.known[c] for c in chunks]
+        # each chunk's ids lie at starts .. starts + sizes of `flat`; they are gathered in the order of the texts
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, found.indices.to_numpy()
+        sizes = sizes[at]
+        ends = np.r_[0, np.cumsum(sizes)]
+        raw = flat[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        out = [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        for k in odd:
+            out[k] = self.whole(texts[k])
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of a worker, which its later tasks take over with all it knows."""
+    return WordEncoder(path)
+
+
+def groups(texts: pa.Array, most: int = GROUP_CHARACTERS) -> Iterator[tuple[int, int]]:
+    """Ranges of at most 1,000 rows and about `most` characters, or one row."""
+    sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(sizes):
+        before = sizes[low - 1] if low else 0
+        high = min(low + 1000, max(low + 1, int(np.searchsorted(sizes, before + most, "right"))))
+        yield low, high
+        low = high
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit) of each piece of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.array([END_TOKEN], "<u4").tobytes()
+        words, end = encoder(tokenizer), np.array([END_TOKEN], "<u4").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low, high in groups(batch.column(1)):
+                part = batch.slice(low, high - low)
                 rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
