@@ -348,6 +348,17 @@ def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shar
     return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(settle, "h long, c long, low int, high int")
 
 
+def merged(ranges):
+    """The union of an array of ranges (low, high), as sorted ranges that don't touch."""
+
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.array(F.struct(last.low.alias("low"), F.greatest(last.high, x.high).alias("high")))
+        return F.when(last.high >= x.low, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<low: int, high: int>>"), add)
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """k, d and ranges [low, high) of each text that holds repeated strings; `docs` with doc_id and text bytes."""
     found = stored(occurrences(docs, length, gram), "anchors")
@@ -356,8 +367,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     copies = contexts.filter("n > 1").select("h", "c", F.lit(gram - length).alias("low"), F.lit(length).alias("high"))
     mixed = contexts.join(grams.filter("kinds > 1"), "h")
     ranges = checkpoint(copies.union(shard_ranges(mixed, docs, length, gram, shard)))
-    each = found.join(ranges, ["h", "c"]).select("k", "d", (F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high"))
-    return each.groupBy("k", "d").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    # one row a context, however many parts found its ranges: the join gives a row for each anchor at most
+    spans = ranges.groupBy("h", "c").agg(merged(F.collect_set(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))).alias("spans"))
+    moved = F.transform("spans", lambda x: F.struct((F.col("pos") + x.low).alias("low"), (F.col("pos") + x.high).alias("high")))
+    each = found.join(spans, ["h", "c"]).select("k", "d", moved.alias("spans"))
+    return each.groupBy("k", "d").agg(F.flatten(F.collect_set("spans")).alias("ranges"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, carry: bool = False) -> DataFrame:
