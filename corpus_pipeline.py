@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclog.llm import packing, quality, simhash, suffixes, toxicity
+from doclog.llm import minhash, packing, quality, suffixes, toxicity
 from doclog.llm.common import stored, table
 
 
@@ -27,8 +27,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One row of each group of near copies (0.8 of their five-word shingles alike): the first with the smallest id."""
+    return minhash.keep_one(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

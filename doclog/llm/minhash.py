@@ -1,0 +1,163 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands bring pairs together, exact set similarity decides.
+
+A text is the set of its 64-bit shingle hashes; equal sets are one node, so copies cost nothing. BANDS keys of ROWS minima each
+bring a pair of similarity s together but for a chance of (1 - s^ROWS)^BANDS: 0.0003 at 0.8, less above. Keys that hold the same
+nodes as another are dropped: they would compare the same pairs. The sets of the nodes that are left travel to their keys,
+where all pairs are compared exactly and a spanning forest of the similar ones leaves the task.
+
+A key with more than RUN nodes is dealt over blocks of RUN / 2. Each is compared within itself; if that doesn't make the
+key's nodes one component, each pair of blocks is compared as well, so no pair of a key is left out that could join anything.
+
+Words are runs without ASCII white space, A-Z lowered. Shorter texts are one shingle; null and word-less texts equal each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bitmap, checkpoint, components, forest, in_bitmap, stored, text_bytes
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 12, 3
+SEED = 42
+RUN = 2048
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_digest
+    if len(words) <= size:
+        return np.frombuffer(digest(line, SEED), np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[: len(words) - size])]
+    return np.unique(np.frombuffer(b"".join([digest(line[i:j], SEED) for i, j in zip(starts, ends[size - 1 :], strict=True)]), np.uint64))
+
+
+class Bands:
+    """The keys of a set of hashes."""
+
+    def __init__(self) -> None:
+        draw = np.random.default_rng(SEED)
+        self.flip, self.times = (draw.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
+        self.times |= np.uint64(1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+        for low in range(0, len(hashes), 4096):
+            np.minimum(least, ((hashes[None, low : low + 4096] ^ self.flip) * self.times).min(axis=1), out=least)
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(32)
+        return keys.view(np.int64)
+
+
+def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets with a Jaccard similarity of `least` or more."""
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
+    owner = np.repeat(np.arange(m), sizes.astype(np.int64))
+    at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    many = counts > 1
+    owner, at = owner[many[at]], (np.cumsum(many) - 1)[at[many[at]]]
+    by = np.argsort(at, kind="stable")
+    owner, at = owner[by], at[by]
+    common, width = np.zeros((m, m)), max(64, (1 << 22) // m)
+    for low in range(0, int(many.sum()), width):
+        part = slice(*np.searchsorted(at, (low, low + width)))
+        held = np.zeros((m, min(width, int(many.sum()) - low)), np.float32)
+        held[owner[part], at[part] - low] = 1
+        common += held @ held.T
+    whole = sizes[:, None] + sizes - common
+    return np.nonzero(np.triu(common / np.maximum(whole, 1) >= least, 1))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """row, doc_id, node, keys and hashes (the set as bytes) of `docs` (row, doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        bands = Bands()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                sets = [shingles(x.as_py()) for x in part.column(2)]
+                nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bands(s) for s in sets])), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "doc_id", "node", "keys", "hashes"])
+
+    return docs.select("row", F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "row long, doc_id long, node long, keys array<long>, hashes binary")
+
+
+def compared(dealt: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that span what is similar among the nodes of each block; `dealt` (block, node, row), `sets` (row, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, nodes, hashes = np.empty(0, np.int64), np.empty(0, np.int64), []
+
+        def settle(n: int) -> Iterator[pa.RecordBatch]:
+            edges = np.flatnonzero(np.r_[True, blocks[1:n] != blocks[: n - 1], True]) if n else np.zeros(1, np.int64)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if high - low > 1:
+                    i, j = similar(hashes[low:high], least)
+                    a, b = forest(nodes[low + i], nodes[low + j])
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                blocks, nodes = np.r_[blocks, part.column(0).to_numpy()], np.r_[nodes, part.column(1).to_numpy()]
+                hashes += [np.frombuffer(x.as_py(), np.uint64) for x in part.column(2)]
+                last = int(np.searchsorted(blocks, blocks[-1]))  # the last block may go on
+                yield from settle(last)
+                blocks, nodes, hashes = blocks[last:], nodes[last:], hashes[last:]
+        yield from settle(len(blocks))
+
+    rows = dealt.join(sets, "row").select("block", "node", "hashes")
+    return checkpoint(rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long"))
+
+
+def links(nodes: DataFrame, found: DataFrame, least: float = LEAST, run: int = RUN) -> DataFrame:
+    """Links (a, b) among `nodes` (node, row, keys); `found` holds the hashes of each row."""
+    met = nodes.select(F.explode("keys").alias("key"), "node", "row")
+    held = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"), *held).filter("n > 1").groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
+    blocks = F.when(F.col("n") > run, F.ceil(F.col("n") / (run // 2))).otherwise(1).cast("int").alias("blocks")
+    dealt = stored(met.join(sizes.select("key", blocks), "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int")), "dealt")
+    bits = nodes.sparkSession.sparkContext.broadcast(bitmap(dealt.select("node").distinct()))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(0).to_numpy().view(np.uint64)))).select(["row", "hashes"])
+
+    sets = found.select("node", "row", "hashes").mapInArrow(needed, "row long, hashes binary")
+    out = compared(dealt.select(F.xxhash64("key", "own").alias("block"), "node", "row"), sets, least)
+    late = dealt.filter("blocks > 1")
+    if late.isEmpty():
+        return out
+    parts = late.join(components(out).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("part", F.coalesce("component", "node"))
+    open_ = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    pairs = late.join(open_, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("own <> other")
+    return out.union(compared(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "row"), sets, least))
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, run: int = RUN) -> DataFrame:
+    """One row of `docs` of each group of near copies: of those with the smallest doc_id the first; one without an id if none has any."""
+    numbered = stored(docs.withColumn("near_copy_row", F.monotonically_increasing_id()), "numbered")
+    found = stored(marked(numbered.select(F.col("near_copy_row").alias("row"), "doc_id", "text")), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    nodes = stored(found.groupBy("node").agg(first.alias("first"), F.min(F.struct("row", "keys")).alias("at")).select("node", "first", "at.row", "at.keys"), "nodes")
+    joined = nodes.select("node", "first").join(components(links(nodes, found, least, run)), "node", "left")
+    kept = joined.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("near_copy_row"))
+    return numbered.join(kept, "near_copy_row", "left_semi").select(*docs.columns)

@@ -212,20 +212,3 @@ def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = checkpoint(named.join(least, "component").select("fp", "component_id"))
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group.
-
-    Rows that share an id stay or go together. Rows without an id stay if nothing with an id is near them.
-    """
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    alone = found.filter("doc_id is null and component_id is null").limit(1).count()
-    stay = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    if not alone:
-        return stay
-    named = found.filter("doc_id is null and component_id is null").select("fp").distinct().withColumnRenamed("fp", "kept_fp")
-    unnamed = docs.filter("doc_id is null")
-    prints = fingerprints(unnamed.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")).join(named, F.col("fp") == F.col("kept_fp"), "left_semi").select("doc_id").distinct()
-    return stay.unionByName(unnamed.join(prints.withColumnRenamed("doc_id", "kept_text"), F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("kept_text"), "left_semi"))

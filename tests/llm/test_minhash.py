@@ -1,0 +1,53 @@
+import random
+
+import corpus_pipeline
+import pytest
+
+from doclog.llm import minhash
+from helpers import prose
+
+
+def jaccard(a, b):
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def kept_by_brute_force(rows):
+    """doc_id of the least row of each group, by all pairs."""
+    root = list(range(len(rows)))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    for _ in rows:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, (True, 0)), (i is None, i or 0))
+    return sorted(None if none else i for none, i in least.values())
+
+
+def edited(seed):
+    """Texts and copies with some words changed: similarities on both sides of 0.8."""
+    r, rows = random.Random(seed), []
+    for k in range(40):
+        words = prose(r.randint(60, 200), seed + k).split()
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(3):
+            changed = list(words)
+            for at in r.sample(range(len(words)), r.randint(1, max(1, len(words) // 30))):
+                changed[at] = f"new{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+    return rows + [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "One  two")]
+
+
+@pytest.mark.parametrize("run", [minhash.RUN, 2])
+def test_the_stage_keeps_what_brute_force_keeps(spark, run):
+    rows = edited(7)
+    sims = [jaccard(rows[4 * k][1], rows[4 * k + j][1]) for k in range(40) for j in (1, 2, 3)]
+    assert sum(0.8 <= s < 0.9 for s in sims) > 20 and sum(0.7 < s < 0.8 for s in sims) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.no_near_copies(spark, docs, "") if run == minhash.RUN else minhash.keep_one(docs, run=run)
+    assert sorted(r.doc_id for r in out.collect()) == kept_by_brute_force(rows)
