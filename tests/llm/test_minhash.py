@@ -51,3 +51,17 @@ def test_the_stage_keeps_what_brute_force_keeps(spark, run):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.no_near_copies(spark, docs, "") if run == minhash.RUN else minhash.keep_one(docs, run=run)
     assert sorted(r.doc_id for r in out.collect()) == kept_by_brute_force(rows)
+
+
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    a, b, c, d = (prose(120, 300 + k) for k in range(4))
+    near = a + " tail"
+    rows = [(5, a), (5, a), (9, near), (None, a), (None, b), (None, b), (None, b + " end"), (6, c), (6, d), (7, d), (8, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.no_near_copies(spark, docs, "")
+    got = sorted(((r.doc_id is None, r.doc_id, r.text) for r in out.collect()), key=repr)
+    unnamed = [t for none, _, t in got if none]
+    assert len(unnamed) == 1 and unnamed[0] in (b, b + " end")
+    assert [g[1:] for g in got if not g[0]] == sorted([(5, a), (6, c), (6, d), (8, None)], key=repr)
+    whole = corpus_pipeline.no_repeated_passages(spark, out, "")  # nothing is left that repeats
+    assert sorted((repr(r.doc_id), r.text) for r in whole.collect()) == sorted((repr(r.doc_id), r.text or "") for r in out.collect())
