@@ -242,6 +242,11 @@ def own_key():
     return F.coalesce("doc_id", F.lit(-(1 << 63) + 1)).alias("k")
 
 
+def own_digest():
+    """The same as digest(), as a column."""
+    return F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, -10).cast("long").alias("d")
+
+
 def digest(text: bytes) -> int:
     """64 bits that tell texts of one id apart."""
     return int.from_bytes(hashlib.sha256(text).digest()[:8], "big", signed=True)
@@ -278,25 +283,26 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
-    """h, c, low, high: bytes, counted from the anchor, that repeated windows of each context cover."""
+    """h, c, low, high: bytes, counted from the anchor, that repeated windows of each context cover.
+
+    A text is known by its digest: rows with equal texts have all their contexts twice, whatever their ids, and those repeat.
+    """
     reach = length - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["key", "h", "c", "many", "k", "start", "reach", "bytes"]
+        names = ["key", "h", "c", "many", "d", "start", "reach", "bytes"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             for slow in range(0, batch.num_rows, 200):
                 part, out = batch.slice(slow, 200), []
-                for k, text, needs in zip(*(part.column(n).to_pylist() for n in range(3)), strict=True):
+                for d, text, needs in zip(*(part.column(n).to_pylist() for n in range(3)), strict=True):
                     for x in needs:
                         low = max(0, x["pos"] - reach)
                         found = text[low : x["pos"] + length]
                         left = x["pos"] - low
-                        if np.int64(np.uint64(xxhash.xxh3_64_intdigest(found, left)).view(np.int64)) != x["c"]:
-                            continue  # another text of the same id
-                        row = (x["h"], x["c"], x["n"] > 1, k, low, left, found)
+                        row = (x["h"], x["c"], x["n"] > 1, d, low, left, found)
                         parts = -(-x["kinds"] // shard)
                         own = x["c"] % parts
                         for other in range(parts) if parts > 2 else [0]:
@@ -306,8 +312,8 @@ def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shar
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    needs = mixed.groupBy("k").agg(F.collect_list(F.struct("h", "c", "n", "kinds", "pos")).alias("needs"))
-    cuts = docs.select(own_key(), "text").join(needs, "k").mapInArrow(cut, "key long, h long, c long, many boolean, k long, start long, reach int, bytes binary")
+    needs = mixed.groupBy("k", "d").agg(F.collect_list(F.struct("h", "c", "n", "kinds", "pos")).alias("needs"))
+    cuts = docs.select(own_key(), own_digest(), "text").join(needs, ["k", "d"]).select("d", "text", "needs").mapInArrow(cut, "key long, h long, c long, many boolean, d long, start long, reach int, bytes binary")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -329,7 +335,7 @@ def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shar
         h, c, keys = (t.column(n).to_numpy() for n in ("h", "c", "key"))
         _, first = np.unique(np.stack([keys, h, c]), axis=1, return_index=True)
         t = t.take(np.sort(first))
-        h, c, k, start, left = (t.column(n).to_numpy() for n in ("h", "c", "k", "start", "reach"))
+        h, c, d, start, left = (t.column(n).to_numpy() for n in ("h", "c", "d", "start", "reach"))
         found = t.column("bytes").to_pylist()
         # what no other context of the gram shares around the anchor can be in no repeated window
         group = np.unique(h, return_inverse=True)[1]
@@ -337,10 +343,10 @@ def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shar
         before = reach_of_matches(group, [b[:x][::-1] for b, x in zip(found, left.tolist(), strict=True)], reach)
         before = np.minimum(before, left)
         near = np.flatnonzero(before + after >= length)
-        h, c, k, start, left, before, after = (x[near] for x in (h, c, k, start, left, before, after))
+        h, c, d, start, left, before, after = (x[near] for x in (h, c, d, start, left, before, after))
         found = [found[n][x - b : x + a] for n, x, b, a in zip(near.tolist(), left.tolist(), before.tolist(), after.tolist(), strict=True)]
         start, left = start + left - before, before
-        text = np.unique(k, return_inverse=True)[1].astype(np.int64)
+        text = np.unique(d, return_inverse=True)[1].astype(np.int64)
         at, low, high = repeated_windows(found, t.column("many").to_numpy()[near], text, start, length)
         columns = (h[at], c[at], (low - left[at]).astype(np.int32), (high - left[at] + length).astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "low", "high"])
@@ -362,7 +368,7 @@ def merged(ranges):
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """k, d and ranges [low, high) of each text that holds repeated strings; `docs` with doc_id and text bytes."""
     found = stored(occurrences(docs, length, gram), "anchors")
-    contexts = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("at")).select("h", "c", "n", "at.k", "at.pos"), "contexts")
+    contexts = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "d", "pos")).alias("at")).select("h", "c", "n", "at.k", "at.d", "at.pos"), "contexts")
     grams = checkpoint(contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").cast("int").alias("kinds")).filter("total > 1").select("h", "kinds"))
     copies = contexts.filter("n > 1").select("h", "c", F.lit(gram - length).alias("low"), F.lit(length).alias("high"))
     mixed = contexts.join(grams.filter("kinds > 1"), "h")
@@ -378,7 +384,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
     """doc_id, n_bytes, spans (removed [start, end) runs) and kept (remaining bytes) of each row; with `carry` also the row, as a struct."""
     base = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), (F.struct(*docs.drop("text").columns) if carry else F.lit(0)).alias("row"))
     ranges = repeated_ranges(base, length, gram, shard)
-    keyed = base.select("doc_id", own_key(), F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, -10).cast("long").alias("d"), "text", "row")
+    keyed = base.select("doc_id", own_key(), own_digest(), "text", "row")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -78,3 +78,14 @@ def test_suffix_array_and_prefixes():
                 while k < 20 and data[i + k] == data[j + k]:
                     k += 1
                 assert got[i] == k or got[i] <= k < 20
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_of_one_id_share_a_passage_at_one_place(spark, key):
+    header, longer = prose(120, 1)[:450], prose(300, 2)[:900]
+    texts = [header + prose(60, 3), header + prose(60, 4), longer + prose(60, 5), longer + prose(60, 6), longer + prose(60, 6), prose(80, 7)]
+    df = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+    want = [s for s in brute([t.encode() for t in texts], 400)]
+    assert want[0] and want[2]
+    got = [[(s.start, s.end) for s in r.spans] for r in suffixes.dedup(df).collect()]
+    assert sorted(got) == sorted(want)
