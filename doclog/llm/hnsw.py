@@ -4,8 +4,10 @@ Equal vectors are one class with a count, so copies cost nothing. Classes are de
 task builds each shard's graph (numpy, in batches: nodes of a batch search the graph so far and are linked to a diverse choice
 of what they find, both ways). Then each shard's vectors, as one block, query every shard of their dimension: down the upper
 layers, a beam over the bottom layer, and on from every near vector to all its near neighbours, however many there are. Each
-pair of blocks audits AUDIT of its queries against brute force and doubles its beam until RECALL is met; a beam as wide as the
-shard is exhaustive. What a task found is verified by cosine in double precision; it gives link counts and a spanning forest.
+pair of blocks audits its queries against brute force, AUDIT at least and as many as it takes to see AUDIT_LINKS true links, and
+doubles its beam until RECALL is met; where even all queries have fewer links, brute force has found them all, and they are taken.
+A task searches two shards both ways. What either way found is verified by cosine in double precision, counted for both ends,
+and gives a spanning forest.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors of different length. Rows
 that repeat, ids included, are vectors of their own. Rows with a null id link with nothing. Other columns are ignored.
@@ -24,7 +26,7 @@ from .common import checkpoint, components, forest
 
 SHARD, LEAST_SHARDS = 16_384, 8
 LINKS, MOST_LINKS, BEAM, BATCH = 16, 48, 32, 256
-AUDIT, RECALL = 48, 0.99
+AUDIT, AUDIT_LINKS, RECALL = 48, 200, 0.99
 
 
 class Graph:
@@ -187,20 +189,38 @@ def classes(vectors: DataFrame) -> DataFrame:
 
 def search(x: np.ndarray, block: np.ndarray, graph: Graph, y: np.ndarray, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """(row of x, row of y) with a cosine of `least` or more in double precision; `block` and the graph hold the unit vectors."""
-    sample = np.unique(np.linspace(0, len(block) - 1, AUDIT).astype(np.int64))
-    want = {tuple(p) for p in zip(*(v.tolist() for v in np.nonzero(block[sample] @ graph.x.T >= least)))}
+    order, drawn, true = np.random.default_rng(5).permutation(len(block)), 0, []
+    while drawn < len(block) and (drawn < AUDIT or sum(len(r) for r, _ in true) < AUDIT_LINKS):
+        part = order[drawn : drawn + max(AUDIT, min(drawn, 1024))]
+        r, c = np.nonzero(block[part] @ graph.x.T >= least - 1e-5)
+        true.append((part[r], c))
+        drawn += len(part)
+    sample = order[:drawn]
+    if drawn == len(block):
+        return verified(x, y, *(np.concatenate(v) for v in zip(*true, strict=True)), least)
+    want = np.unique(np.concatenate([r * len(y) + c for r, c in true]))
     while beam < len(graph.x):
-        r, c = graph.near(block[sample], least, beam)
-        if len(want & set(zip(r.tolist(), c.tolist()))) >= recall * len(want):
+        found = [graph.near(block[sample[low : low + BATCH]], least - 1e-5, beam) for low in range(0, drawn, BATCH)]
+        got = np.concatenate([sample[BATCH * k + r] * len(y) + c for k, (r, c) in enumerate(found)])
+        if np.isin(want, got).sum() >= recall * len(want):
             break
         beam *= 2
-    rows, columns = [], []
-    for low in range(0, len(block), BATCH):
-        r, c = graph.near(block[low : low + BATCH], least - 1e-5, beam)
-        exact = np.concatenate([np.einsum("pd,pd->p", x[low + r[k : k + (1 << 15)]], y[c[k : k + (1 << 15)]]) for k in range(0, max(1, len(r)), 1 << 15)])
-        rows.append(low + r[exact >= least])
-        columns.append(c[exact >= least])
-    return np.concatenate(rows), np.concatenate(columns)
+    parts = [(low, *graph.near(block[low : low + BATCH], least - 1e-5, beam)) for low in range(0, len(block), BATCH)]
+    return verified(x, y, np.concatenate([low + r for low, r, _ in parts]), np.concatenate([c for _, _, c in parts]), least)
+
+
+def verified(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    exact = np.concatenate([np.einsum("pd,pd->p", x[r[k : k + (1 << 15)]], y[c[k : k + (1 << 15)]]) for k in range(0, max(1, len(r)), 1 << 15)])
+    return r[exact >= least], c[exact >= least]
+
+
+def both_ways(x: np.ndarray, one: Graph, y: np.ndarray, two: Graph, same: bool, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct links (row of x, row of y) that a search from either side finds; within one shard each stands both ways."""
+    r, c = search(x, one.x, two, y, least, beam, recall)
+    more, back = (r, c) if same else search(y, two.x, one, x, least, beam, recall)
+    found = np.unique(np.concatenate([r * len(y) + c, back * len(y) + more]))
+    r, c = found // len(y), found % len(y)
+    return (r[r != c], c[r != c]) if same else (r, c)
 
 
 def found_links(held: DataFrame, least: float, shard: int, beam: int, recall: float) -> DataFrame:
@@ -218,28 +238,31 @@ def found_links(held: DataFrame, least: float, shard: int, beam: int, recall: fl
         return pa.table(row, schema=pa.schema({"shard": pa.int64(), "d": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "x": pa.binary(), "bottom": pa.binary(), "uppers": pa.list_(pa.binary())}))
 
     graphs = checkpoint(dealt.groupBy("shard").applyInArrow(build, "shard long, d int, ids binary, counts binary, x binary, bottom binary, uppers array<binary>"))
-    first = F.col("d") * F.lit(shards).cast("long")
-    asking = graphs.select(F.col("shard").alias("own"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(first, first + shards - 1)).alias("shard"))
+    last = (F.col("d") + 1) * F.lit(shards).cast("long") - 1
+    asking = graphs.select(*(F.col(n).alias(f"q_{n}") for n in graphs.columns), F.explode(F.sequence("shard", last)).alias("shard"))
+
+    def held_graph(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+        ids, counts = (np.frombuffer(row[prefix + n], np.int64) for n in ("ids", "counts"))
+        x, graph = unit(np.frombuffer(row[prefix + "x"]).reshape(-1, row["d"])), Graph.__new__(Graph)
+        graph.x, graph.bottom, graph.present = x.astype(np.float32), np.frombuffer(row[prefix + "bottom"], np.int32).reshape(len(x), -1), np.ones(len(x), bool)
+        u = [np.frombuffer(v, np.int32) for v in row[prefix + "uppers"]]
+        graph.layers = [(nodes.astype(np.int64), links.reshape(len(nodes), -1)) for nodes, links in zip(u[::2], u[1::2], strict=True)]
+        return ids, counts, x, graph
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                ids, counts, asked = (np.frombuffer(row[n], np.int64) for n in ("ids", "counts", "q_ids"))
-                x, y = (unit(np.frombuffer(row[n]).reshape(-1, row["d"])) for n in ("q", "x"))
-                graph = Graph.__new__(Graph)
-                graph.x, graph.bottom, graph.present = y.astype(np.float32), np.frombuffer(row["bottom"], np.int32).reshape(len(y), -1), np.ones(len(y), bool)
-                u = [np.frombuffer(v, np.int32) for v in row["uppers"]]
-                graph.layers = [(nodes.astype(np.int64), links.reshape(len(nodes), -1)) for nodes, links in zip(u[::2], u[1::2], strict=True)]
-                r, c = search(x, x.astype(np.float32), graph, y, least, beam, recall)
-                other = asked[r] != ids[c]
-                r, c = r[other], c[other]
-                n = np.bincount(r, counts[c], len(asked)).astype(np.int64)
-                some = np.flatnonzero(n)
-                a, b = forest(asked[r], ids[c])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[asked[some], a]), pa.array(np.r_[np.zeros(len(some), np.int64), b], mask=np.r_[np.ones(len(some), bool), np.zeros(len(a), bool)]), pa.array(np.r_[n[some], np.zeros(len(a), np.int64)])], ["a", "b", "n"])
-
-    pairs = asking.repartition("own", "shard").join(graphs, "shard").drop("own")
+                (ids, counts, x, one), (others, more, y, two) = (held_graph(row, prefix) for prefix in ("q_", ""))
+                same = row["q_shard"] == row["shard"]
+                r, c = both_ways(x, one, y, two, same, least, beam, recall)
+                ends = [(ids, np.bincount(r, more[c], len(ids)))] + ([] if same else [(others, np.bincount(c, counts[r], len(others)))])
+                some = np.concatenate([i[n > 0] for i, n in ends])
+                n = np.concatenate([n[n > 0] for _, n in ends]).astype(np.int64)
+                a, b = forest(ids[r], others[c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, a]), pa.array(np.r_[np.zeros(len(some), np.int64), b], mask=np.r_[np.ones(len(some), bool), np.zeros(len(a), bool)]), pa.array(np.r_[n, np.zeros(len(a), np.int64)])], ["a", "b", "n"])
+
+    pairs = asking.repartition("q_shard", "shard").join(graphs, "shard")
     return checkpoint(pairs.mapInArrow(ask, "a long, b long, n long"))
 
 

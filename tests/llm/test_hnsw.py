@@ -47,3 +47,28 @@ def test_recall_of_a_graph_at_the_default_beam():
 
 def test_empty(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def cut_off(x):
+    """A graph whose nodes have lost all their links."""
+    graph = hnsw.Graph(x.astype(np.float32))
+    graph.bottom[:] = -1
+    return graph
+
+
+def test_audit_sees_links_that_few_queries_have():
+    x = hnsw.unit(np.random.default_rng(1).normal(size=(3000, 32)))
+    y = hnsw.unit(np.random.default_rng(2).normal(size=(3000, 32)))
+    y[[5, 900, 2001]] = x[[7, 1000, 2000]]
+    r, c = hnsw.search(x, x.astype(np.float32), cut_off(y), y, 0.9, hnsw.BEAM, 0.99)
+    assert sorted(zip(r.tolist(), c.tolist())) == [(7, 5), (1000, 900), (2000, 2001)]
+
+
+def test_links_found_from_one_side_count_for_both(monkeypatch):
+    x = np.eye(4)
+    monkeypatch.setattr(hnsw, "search", lambda a, block, graph, b, *_: (np.array([0, 2]), np.array([1, 3])) if a is x else (np.array([1, 0]), np.array([0, 3])))
+    one, two = hnsw.Graph(x.astype(np.float32)), hnsw.Graph(x.astype(np.float32))
+    r, c = hnsw.both_ways(x, one, x.copy(), two, False, 0.9, 32, 0.99)
+    assert list(zip(r.tolist(), c.tolist())) == [(0, 1), (2, 3), (3, 0)]
+    r, c = hnsw.both_ways(x, one, x, one, True, 0.9, 32, 0.99)
+    assert list(zip(r.tolist(), c.tolist())) == [(0, 1), (1, 0), (2, 3), (3, 2)]
