@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, text
@@ -449,13 +449,11 @@ def missing_blobs(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY sort_id, file_id) AS BIGINT) AS line, 'hash://sha256/' || hash AS uri FROM ages JOIN files USING (file_id) WHERE field = 'lang' AND value = 'fr'")
 def uri_list(spark, d):
-    """Write a result as a list of addresses and read it back, numbered by its order in the result."""
+    """Write a result as a list of addresses and read it back, numbered by its place in the list."""
     c, path = fx.catalog(spark, d), shared(spark)
     rows = results.with_uri(filters.metadata(c, "lang", "fr"), c.files)
     writers.write_uri_list(rows, path)
-    back = readers.read_uri_list(spark, path)
-    numbered = rows.select("uri", "sort_id", "file_id").join(back, "uri", "left_semi")
-    return numbered.select(F.row_number().over(Window.orderBy("sort_id", "file_id")).cast("long").alias("line"), "uri")
+    return readers.read_numbered_uri_list(spark, path)
 
 
 @query("SELECT f.file_id, f.type, strlen(content) AS size FROM files f JOIN blob ON seq = file_id WHERE f.type LIKE 'text/html%'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import mimetypes
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.address import format_hash_uri
@@ -50,6 +50,17 @@ def read_uri_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter("trim(uri) <> '' and not startswith(uri, '#')")
 
 
+def read_numbered_uri_list(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 1 on, in the order of the files' numbers) and uri of what write_uri_list() wrote; one row a split is numbered in one task."""
+    split = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path, lineSep="\n").select(*split, F.explode(F.split("value", "\r")).alias("uri"))
+    lines = lines.filter("trim(uri) <> '' and not startswith(uri, '#')").withColumn("at", F.monotonically_increasing_id())
+    before = Window.orderBy(F.length("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "block").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return lines.withColumn("own", own).join(starts, ["file", "block"]).select((F.col("start") + F.col("own")).cast("long").alias("line"), "uri")
+
+
 def read_meta_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(uri, target_uri) of lines `uri -> target`, and the lines of another form."""
     lines, form = read_uri_list(spark, path), r"^(\S+) -> (\S+)$"

@@ -28,3 +28,10 @@ def test_hash_tree(spark, tmp_path):
     (tmp_path / "ab/abcd12").write_bytes(b"x")
     (tmp_path / "ab/cd12").write_bytes(b"x")
     assert [r.uri for r in readers.hash_tree(spark, str(tmp_path)).collect()] == ["hash://sha256/abcd12"]
+
+
+def test_numbered_uri_list(spark, tmp_path):
+    rows = spark.range(500).selectExpr("cast(pmod(id * 37, 500) as long) sort_id", "id file_id", "concat('hash://a/', pmod(id * 37, 500)) uri").repartition(7)
+    writers.write_uri_list(rows, str(tmp_path / "many"))
+    got = readers.read_numbered_uri_list(spark, str(tmp_path / "many")).collect()
+    assert sorted((r.line, r.uri) for r in got) == [(k + 1, f"hash://a/{k}") for k in range(500)]
