@@ -5,15 +5,19 @@ batch are encoded once. The distinct chunks are concatenated and their suffixes
 occurrences by binary search; the occurrences are edges, sorted by end, and relaxed from left to right: of the edges that end at
 a place the one is kept that may follow the last piece kept at its start. Two pieces may follow each other if merging their
 joined text gives the same two; that is told from their own merges (the published pair test for BPE), so each place has
-one such edge. Chunks where a place has none or several are left to the sentencepiece library, so ids are always the model's.
+one such edge. Chunks of equal place are relaxed side by side; what is left of a chunk after STEPS places is relaxed by itself, from
+the same edges and by the same test, so a chunk may have any length. Chunks where a place has no edge or several are left to the
+sentencepiece library, so ids are always the model's.
 
 Decoding gives the text back, but for mark characters in it, which become spaces, as in the library.
 
-Null texts are empty (no ids). Null doc_ids, repeated rows and ids are kept as they are. Other columns are ignored.
+Null texts are empty (no ids). Null doc_ids, repeated rows and ids are kept as they are. Other columns are ignored. A text is a
+string of one row however long; batches are cut by their characters, so only one very long text is held at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -22,10 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import groups
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Longest chunk that is matched here, and how many chunks a worker remembers.
-LONGEST, REMEMBERED = 200, 300_000
+#: Places of chunks that are relaxed side by side, and how many chunks a worker remembers.
+STEPS, REMEMBERED = 64, 600_000
+#: Stands between chunks in the text that is indexed; no character.
+BREAK = (1 << 21) - 2
+#: Characters of new chunks that are indexed at once.
+LEARNED = 1 << 20
 
 
 class Matcher:
@@ -73,6 +83,8 @@ class Matcher:
         for k, (p, _) in enumerate(listed):
             self.letters[k, : len(p)] = [ord(c) for c in p]
         self.known: dict[str, bytes] = {}
+        self.follows: dict[int, bool] = {}
+        self.texts = [bytes([self.bytes_of[i]]) if i in self.bytes_of else names[i].replace(MARK, " ").encode() if self.normal[i] else b"" for i in range(n)]
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * (self.size + 1) + b
@@ -133,29 +145,51 @@ class Matcher:
         place = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         return order[place], piece
 
+    def relax_alone(self, begin: int, stop: int, starts: list[int], ends: list[int], ids: list[int], last: np.ndarray, back: np.ndarray) -> bool:
+        """Relax the edges (sorted by end) of one chunk; False where a place has several."""
+        base, follows = self.size + 1, self.follows
+        at, came = last[begin : stop + 1].tolist(), back[begin : stop + 1].tolist()
+        sure, done = True, -1
+        for start, end, piece in zip(starts, ends, ids, strict=True):
+            if start > begin:
+                before = at[start - begin]
+                if before < 0:
+                    continue
+                key = before * base + piece
+                ok = follows.get(key)
+                if ok is None:
+                    ok = follows[key] = bool(self.may_follow(np.array([before]), np.array([piece]))[0])
+                if not ok:
+                    continue
+            sure &= end != done
+            done = end
+            at[end - begin], came[end - begin] = piece, start
+        last[begin : stop + 1], back[begin : stop + 1] = at, came
+        return sure
+
     def learn(self, chunks: list[str]) -> None:
         """Encode distinct chunks and remember them."""
-        short = [c for c in chunks if len(c) <= LONGEST]
-        self.known.update((c, self.library(c)) for c in chunks if len(c) > LONGEST)
-        if not short:
-            return
-        sizes = np.array([len(c) + 1 for c in short])
-        text = np.frombuffer("\0".join([*short, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        begins = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(short)), sizes)
+        sizes = np.array([len(c) + 1 for c in chunks])
+        text = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        ends = np.cumsum(sizes) - 1
+        text[ends] = BREAK
+        begins = ends + 1 - sizes
+        owner = np.repeat(np.arange(len(chunks)), sizes)
         start, piece = self.edges(text)
         end, ids = start + self.lengths[piece], self.piece_ids[piece]
         single = np.ones(len(text), bool)  # characters that are no piece stand for themselves
-        single[text == 0] = False
+        single[ends] = False
         single[start[self.lengths[piece] == 1]] = False
         lone = np.flatnonzero(single)
         start, end, ids = np.r_[start, lone], np.r_[end, lone + 1], np.r_[ids, np.full(len(lone), self.size)]
         level = end - begins[owner[start]]
-        by = np.argsort(level, kind="stable")
-        cuts = np.searchsorted(level[by], np.arange(1, int(level.max(initial=0)) + 2))
-        last, back, sure = np.full(len(text) + 1, -1), np.full(len(text) + 1, -1), np.ones(len(short), bool)
+        by = np.argsort(np.minimum(level, STEPS + 1).astype(np.int16), kind="stable")
+        cuts = np.searchsorted(level[by[: int((level <= STEPS).sum())]], np.arange(1, STEPS + 2))
+        last, back, sure = np.full(len(text) + 1, -1), np.full(len(text) + 1, -1), np.ones(len(chunks), bool)
         for low, high in zip(cuts[:-1], cuts[1:]):
             e = by[low:high]
+            if not len(e):
+                continue
             first = start[e] == begins[owner[start[e]]]
             e = e[first | (last[start[e]] >= 0)]
             first = start[e] == begins[owner[start[e]]]
@@ -168,11 +202,28 @@ class Matcher:
             spots, times = np.unique(end[e], return_counts=True)
             sure[owner[spots[times > 1] - 1]] = False
             last[end[e]], back[end[e]] = ids[e], start[e]
-        ends = begins + sizes - 1
-        at, rows, found = ends.copy(), np.arange(len(short)), []
+        late = by[cuts[-1] :]
+        if len(late):
+            late = late[np.argsort(end[late], kind="stable")]
+            mine = owner[start[late]]
+            edges = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1], True])
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                e, k = late[low:high], int(mine[low])
+                sure[k] &= self.relax_alone(int(begins[k]), int(ends[k]), start[e].tolist(), end[e].tolist(), ids[e].tolist(), last, back)
+            if len(self.follows) > REMEMBERED:
+                self.follows.clear()
+        at, rows, found = ends.copy(), np.arange(len(chunks)), []
         sure &= last[ends] >= 0
         rows = rows[sure]
         while len(rows):
+            if len(rows) < 16:  # a few long chunks: plain steps cost less than arrays
+                for k in rows.tolist():
+                    path, place, begin = [], int(at[k]), int(begins[k])
+                    while place > begin:
+                        path.append(place)
+                        place = int(back[place])
+                    found.append((np.full(len(path), k), last[path], np.array(path, np.int64)))
+                break
             found.append((rows, last[at[rows]], at[rows]))
             at[rows] = back[at[rows]]
             rows = rows[at[rows] > begins[rows]]
@@ -186,10 +237,10 @@ class Matcher:
             for k, (i, j) in zip(r[heads].tolist(), zip(heads.tolist(), [*heads[1:].tolist(), len(r)])):
                 if k in odd:
                     ids_of = [x for p, w in zip(t[i:j].tolist(), where[i:j].tolist()) for x in ([p] if p < self.size else [self.byte_ids[b] for b in chr(int(text[w - 1])).encode()])]
-                    self.known[short[k]] = np.array(ids_of, "<u4").tobytes()
+                    self.known[chunks[k]] = np.array(ids_of, "<u4").tobytes()
                 else:
-                    self.known[short[k]] = plain[4 * i : 4 * j]
-        self.known.update((short[k], self.library(short[k])) for k in np.flatnonzero(~sure).tolist())
+                    self.known[chunks[k]] = plain[4 * i : 4 * j]
+        self.known.update((chunks[k], self.library(chunks[k])) for k in np.flatnonzero(~sure).tolist())
 
     def library(self, chunk: str) -> bytes:
         """Ids of a chunk by the library: a line break before it keeps the model from adding a mark of its own."""
@@ -201,29 +252,36 @@ class Matcher:
         """Ids of each text as little-endian 32-bit bytes."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t and "\0" not in t else None for t in texts]
-        new = list(set().union(*(s for s in split if s)) - self.known.keys())
-        for k in range(0, len(new), 50_000):
-            self.learn(new[k : k + 50_000])
+        split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = list(set().union(*split) - self.known.keys())
+        held, low = 0, 0
+        for k, chunk in enumerate(new):
+            held += len(chunk)
+            if held > LEARNED or k + 1 == len(new):
+                self.learn(new[low : k + 1])
+                held, low = 0, k + 1
         get = self.known.__getitem__
-        return [b"".join(map(get, s)) if s else np.array(self.model.encode(t), "<u4").tobytes() for s, t in zip(split, texts, strict=True)]
+        return [b"".join(map(get, s)) for s in split]
 
     def decode(self, ids: bytes) -> str:
-        out: list[bytes] = []
-        for i in np.frombuffer(ids, "<u4").tolist():
-            out.append(bytes([self.bytes_of[i]]) if i in self.bytes_of else self.names[i].replace(MARK, " ").encode() if self.normal[i] else b"")
-        return b"".join(out).decode(errors="replace").removeprefix(" ")
+        return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace").removeprefix(" ")
+
+
+@functools.lru_cache(maxsize=1)
+def matcher(path: str) -> Matcher:
+    """The matcher of a worker, which its later tasks take over with all it knows."""
+    return Matcher(path)
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model)
+        encoder = matcher(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(matcher.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+            for low, high in groups(batch.column(1)):
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -232,8 +290,10 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """`encoded` (doc_id, ids) with the text that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model)
+        decoder = matcher(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([matcher.decode(x.as_py()) for x in batch.column(1)], pa.string())], ["doc_id", "ids", "text"])
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([decoder.decode(x.as_py()) for x in part.column(1)], pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
@@ -36,3 +38,12 @@ def test_every_occurrence_is_found():
     names = {i: MATCHER.names[i] for i in MATCHER.piece_ids.tolist()}
     want = {(s, p) for p in names.values() for s in range(len(text)) if text.startswith(p, s)}
     assert {(s, names[MATCHER.piece_ids[p]]) for s, p in zip(start.tolist(), piece.tolist())} == want
+
+
+def test_long_words_go_through_the_matcher():
+    r = random.Random(5)
+    long = ["x" * 50_000, "ab" * 25_000, "".join(r.choice("abcdehinorstuéß日1") for _ in range(50_000)), "日本語" * 3_000, "a" * 63, "b" * 64, "the" * 22, "\0\0 nul\0"]
+    alone = pieces.Matcher(MODEL)
+    alone.library = None  # nothing may be left to it
+    assert alone.encode(long) == [np.array(LIBRARY.encode(t), "<u4").tobytes() for t in long]
+    assert [alone.decode(x) for x in alone.encode(long)] == long
