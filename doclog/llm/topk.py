@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATE_BLOCK = 4096
-QUERY_BLOCK = 512
+CANDIDATE_BLOCK = 8192
+QUERY_BLOCK = 2048
+#: Queries and candidates whose scores are accumulated together: a tile that stays in a core's cache.
+TILE = (64, 4096)
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -28,7 +30,7 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def postings(lists: pa.ChunkedArray) -> tuple[int, list[tuple[np.ndarray | None, np.ndarray]]]:
-    """Rows, and for each term the rows that hold it (None: all of them) with their weights."""
+    """Rows, and for each term the rows that hold it with their weights; None where most do: then there is a weight for each row."""
     flat = lists.combine_chunks()
     counts = flat.value_lengths().to_numpy(zero_copy_only=False)
     values, rows = flat.flatten().to_numpy(), np.repeat(np.arange(len(counts)), counts)
@@ -38,61 +40,80 @@ def postings(lists: pa.ChunkedArray) -> tuple[int, list[tuple[np.ndarray | None,
     out = []
     for part in np.split(order, cuts) if len(values) else []:
         part = part[values[part] != 0]
-        out.append((None if len(part) == len(counts) else rows[part], values[part]))
+        if 2 * len(part) > len(counts):
+            whole = np.zeros(len(counts), values.dtype)
+            whole[rows[part]] = values[part]
+            out.append((None, whole))
+        else:
+            out.append((rows[part], values[part]))
     return len(counts), out
 
 
-def accumulate(queries: pa.ChunkedArray, candidates: pa.ChunkedArray) -> np.ndarray:
-    """Scores [query, candidate], term at a time; terms that a query lacks cost nothing."""
-    n, asked = postings(queries)
-    m, held = postings(candidates)
-    top = max((float(np.abs(w).max()) for _, w in asked if len(w)), default=0.0) * max((float(np.abs(w).max()) for _, w in held if len(w)), default=0.0)
-    if top * max(1, len(held)) >= 2.0**63:
+Held = tuple[int, list[tuple[np.ndarray | None, np.ndarray]]]
+
+
+def score_kind(asked: Held, held: Held) -> type:
+    """The type that holds every score."""
+    most = [max((float(np.abs(w).max()) for _, w in terms if len(w)), default=0.0) for _, terms in (asked, held)]
+    top = most[0] * most[1] * max(1, len(held[1]))
+    if top >= 2.0**63:
         raise OverflowError("scores do not fit 64 bits")
-    kind = np.int32 if top * max(1, len(held)) < 2.0**31 else np.int64
-    scores = np.zeros((n, m), kind)
-    for (rows, weights), (at, values) in zip(asked, held, strict=False):
-        values = values.astype(kind)
-        for row, weight in zip(range(n) if rows is None else rows.tolist(), weights.tolist(), strict=True):
-            if at is None:
-                scores[row] += kind(weight) * values
-            else:
-                scores[row, at] += kind(weight) * values
+    return np.int32 if top < 2.0**31 else np.int64
+
+
+def accumulate(asked: Held, held: Held, kind: type) -> np.ndarray:
+    """Scores [query, candidate], term at a time; terms that a query lacks cost nothing."""
+    (n, asked_terms), (m, held_terms) = asked, held
+    scores, step = np.zeros((n, m), kind), np.empty((n, m), kind)
+    for (rows, weights), (at, values) in zip(asked_terms, held_terms, strict=False):
+        if not len(weights) or not len(values):
+            continue
+        weights, values = weights.astype(kind)[:, None], values.astype(kind)
+        if rows is None and at is None:
+            np.multiply(weights, values, out=step)
+            scores += step
+        elif at is None:
+            scores[rows] += weights * values
+        elif rows is None:
+            scores[:, at] += weights * values
+        else:
+            scores[np.ix_(rows, at)] += weights * values
     return scores
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k highest scores among other ids; ties at the edge all stay."""
-    out_rows, out_columns = [], []
-    for row in range(len(scores)):
-        line = scores[row]
-        ok = np.flatnonzero(ids != own[row])
-        if len(ok) > k:
-            edge = np.partition(line[ok], len(ok) - k)[len(ok) - k]
-            above, level = ok[line[ok] > edge], ok[line[ok] == edge]
-            level = level[np.argsort(ids[level], kind="stable")[: k - len(above)]]
-            ok = np.concatenate([above, level])
-        out_rows.append(np.full(len(ok), row))
-        out_columns.append(ok)
-    return np.concatenate(out_rows), np.concatenate(out_columns)
+    """Rows and columns of each row's k highest scores among other ids, ties to the smaller id."""
+    other = ids[None, :] != own[:, None]
+    if scores.shape[1] > k:
+        line = np.where(other, scores, np.iinfo(scores.dtype).min)
+        edge = np.partition(line, line.shape[1] - k, axis=1)[:, line.shape[1] - k]
+        other &= line >= edge[:, None]
+    rows, columns = np.nonzero(other)
+    order = np.lexsort((ids[columns], -scores[rows, columns].astype(np.int64), rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs as quantised() gives them."""
     blocks = lambda df, size: max(1, -(-df.count() // size))
     asked, held = blocks(queries, QUERY_BLOCK), blocks(candidates, CANDIDATE_BLOCK)
-    held = max(held, 24 // asked)  # small tables still fill the cluster
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("q", block(asked)).withColumn("c", each(held))
     right = candidates.withColumn("c", block(held)).withColumn("q", each(asked))
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = [[], [], []]
         ids, held_ids = q.column("vec_id").to_numpy(), c.column("vec_id").to_numpy()
-        for low in range(0, len(ids) if len(held_ids) else 0, 256):
-            scores = accumulate(q.column("terms").slice(low, 256), c.column("terms"))
-            rows, columns = best(scores, held_ids, ids[low : low + 256], k)
+        high, wide = TILE
+        held_tiles = [postings(c.column("terms").slice(at, wide)) for at in range(0, len(held_ids), wide)]
+        found: list[list[np.ndarray]] = [[], [], []]
+        for low in range(0, len(ids) if len(held_ids) else 0, high):
+            tile = postings(q.column("terms").slice(low, high))
+            kind = max((score_kind(tile, x) for x in held_tiles), key=lambda x: np.dtype(x).itemsize)
+            scores = np.concatenate([accumulate(tile, x, kind) for x in held_tiles], axis=1)
+            rows, columns = best(scores, held_ids, ids[low : low + high], k)
             for to, x in zip(found, (ids[low + rows], held_ids[columns], scores[rows, columns].astype(np.int64)), strict=True):
                 to.append(x)
         return pa.table({n: np.concatenate(x) if x else np.empty(0, np.int64) for n, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
