@@ -31,11 +31,11 @@ from .packing import groups
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Places of chunks that are relaxed side by side, and how many chunks a worker remembers.
-STEPS, REMEMBERED = 64, 600_000
+STEPS, REMEMBERED = 64, 250_000
 #: Stands between chunks in the text that is indexed; no character.
 BREAK = (1 << 21) - 2
 #: Characters of new chunks that are indexed at once.
-LEARNED = 1 << 20
+LEARNED = 1 << 18
 
 
 class Matcher:
