@@ -112,15 +112,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BITMAP_BITS, BITMAP_PIECES = 26, 128
+#: Bits of a bitmap for each value, and least and most powers of two of bits: 2^30 are 128 MB.
+BITMAP_SHARE, BITMAP_LEAST, BITMAP_MOST, BITMAP_PIECES = 16, 20, 30, 128
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2^26 bits, whatever the input) of the upper bits of a long column; it passes all its members.
+    """A filter of the upper bits of a long column of hashes that passes all its members, in bytes.
 
-    Its pieces are filled by tasks; the driver only joins them.
+    Its size follows the number of hashes up to 2^30 bits; past that it passes more of what it should stop, so what it lets through
+    is only ever a saving. Its pieces are filled by tasks; the driver only joins them.
     """
-    width = 1 << (BITMAP_BITS - 3)
+    name = hashes.columns[0]
+    hashes = checkpoint(hashes)
+    power = min(max((BITMAP_SHARE * hashes.count()).bit_length(), BITMAP_LEAST), BITMAP_MOST)
+    width = 1 << (power - 3)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
@@ -132,14 +137,14 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
                 np.bitwise_or.at(bits, own >> 3, (1 << (own & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([b.tobytes() for b in pieces.values()], pa.binary())], ["piece", "bits"])
 
-    slot = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - BITMAP_BITS).alias("slot")
-    dealt = hashes.select(slot).select((F.col("slot") * BITMAP_PIECES / (1 << BITMAP_BITS)).cast("int").alias("piece"), "slot").repartition("piece")
+    slot = F.shiftrightunsigned(F.col(name), 64 - power).alias("slot")
+    dealt = hashes.select(slot).select((F.col("slot") * BITMAP_PIECES / (1 << power)).cast("int").alias("piece"), "slot").repartition("piece")
     out = np.zeros(width, np.uint8)
-    for piece, bits in dealt.mapInArrow(fill, "piece int, bits binary").collect():
+    for piece, bits in dealt.mapInArrow(fill, "piece int, bits binary").toLocalIterator():
         out[piece * len(bits) : (piece + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slots = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    slots = (hashes >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

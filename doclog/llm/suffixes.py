@@ -2,15 +2,18 @@
 
 1. Anchors. In each window of LENGTH bytes the gram of GRAM bytes with the least hash is an anchor (all of them, on ties), so
    equal windows have equal anchors at equal places. A gram that occurs once can be in no repeated window. Grams are counted over
-   all texts; a bitmap of fixed size keeps the single ones out of the shuffles that follow.
+   all texts; a bitmap keeps the single ones out of the shuffles that follow.
 2. Contexts. The bytes around an anchor that its windows reach are hashed. Occurrences with equal gram and equal context hash (128
    bits together) are copies: all their windows repeat. They are counted with map-side sums, so hot passages cost a row a task.
-3. Shards. One representative of each context whose gram has several contexts goes to the gram's shard: a suffix array by
-   Larsson-Sadakane refinement (sorted by eight bytes, then only unsorted groups by doubled prefixes), Kasai's common prefixes over
-   the windows, and runs with LENGTH common bytes are the repeated windows. Shards hold whole grams, so they need no merging, but
-   for grams with over SHARD contexts. Those are cut into parts by context hash, and each pair of parts is sorted jointly as
-   one shard, in place of a merge of two sorted parts. Shards are told apart in a task's sorted rows by binary search.
-4. Ranges go back to all occurrences, are joined to the texts by id, and cut.
+3. Shards. One representative of each context whose gram has several contexts goes to the gram's shard. There two suffix arrays are
+   built by Larsson-Sadakane refinement over 7-byte words: one of the sides right of the anchors (left sides behind them) and one
+   of the left sides, read away from the anchor. A window repeats if another context of its gram shares enough on both sides; the
+   longest common prefixes are those with neighbours, and what neighbours share settles nearly all windows: the rest of
+   a gram's windows go through a suffix array over their bytes and Kasai's common prefixes.
+4. Merging. A gram with over SHARD contexts has no shard of its own. Its contexts are dealt over sorted ranges by binary search among
+   sampled bounds (Spark's range partitioning), in both orders, so the shards put one after another are the merged array. Neighbours
+   are compared within them and over their borders. Windows that neighbours don't settle are counted by 128-bit hashes.
+5. Ranges go back to all occurrences, are joined to the texts by 128 bits of their SHA-256, and cut.
 
 Null texts are empty. Texts are UTF-8 bytes; matches never cross them. Rows that repeat, ids included, are texts of their own
 and so repeat each other. Null ids are kept. Other columns are ignored.
@@ -30,7 +33,7 @@ from .common import bitmap, checkpoint, in_bitmap, stored, text_bytes
 
 LENGTH, GRAM = 400, 200
 #: Contexts in a shard, at most twice this many.
-SHARD = 2048
+SHARD = 4096
 #: Bytes of texts that are hashed at once.
 CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -108,15 +111,15 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
         yield low, texts[low:]
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the suffixes in order of their first `depth` bytes (at least), the 8-byte words at all places, and for each
-    suffix in order how many bytes it surely shares with the one before it: the depth that their group was split at.
+def suffix_order(words: np.ndarray, h: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Larsson-Sadakane: places of the suffixes in order of `depth` places at least, from words that stand for h places each.
+
+    Only groups that are still unsorted are refined, by the rank h places on. Also gives how many places each suffix in order
+    surely shares with the one before it: the depth that their group was split at.
     """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+    n, most = len(words), 2 * depth
     order = np.argsort(words).astype(np.int32)
-    shared = np.full(n, 2 * depth, np.int32)
+    shared = np.full(n, most, np.int32)
     ordered = words[order]
     head = np.empty(n, bool)
     head[:1] = True
@@ -125,9 +128,9 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
-    at, h = np.arange(n, dtype=np.int32), 8
+    at = np.arange(n, dtype=np.int32)
     while h < depth:
-        head = shared[at] < 2 * depth
+        head = shared[at] < most
         one = head.copy()
         one[:-1] &= head[1:]
         at = at[~one]  # places in unsorted groups
@@ -145,7 +148,16 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         fresh = at[new]
         shared[fresh] = np.minimum(shared[fresh], h)
         h *= 2
-    shared[shared == 2 * depth] = h
+    shared[shared == most] = h
+    return order, shared
+
+
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of bytes in order of `depth` bytes at least, the 8-byte words at all places, and what suffix_order() says is shared."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+    order, shared = suffix_order(words, 8, depth)
     return order, words, shared
 
 
@@ -221,39 +233,111 @@ def repeated_windows(contexts: list[bytes], many: np.ndarray, text: np.ndarray,
     return k, first - rows[k], last - rows[k]
 
 
-def reach_of_matches(group: np.ndarray, parts: list[bytes], width: int) -> np.ndarray:
-    """For each part an upper bound (at most `width`) of the prefix that it shares with another part of its group.
+class Sides:
+    """One side of each context, read away from the anchor, as words of seven 9-bit symbols (0: the text has ended)."""
+
+    def __init__(self, parts: list[bytes], width: int) -> None:
+        self.sizes, across = np.array([len(p) for p in parts], np.int64), -(-width // 7)
+        data = np.frombuffer(b"".join(p.ljust(7 * across, b"\0") for p in parts), np.uint8).reshape(len(parts), -1)
+        symbols = np.where(np.arange(7 * across) < self.sizes[:, None], data.astype(np.uint16) + np.uint16(1), np.uint16(0)).reshape(len(parts), across, 7)
+        self.words = np.zeros((len(parts), across), np.uint64)
+        for k in range(7):
+            self.words |= symbols[:, :, k].astype(np.uint64) << np.uint64(9 * (6 - k))
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the sides of contexts a and b have in common."""
+        x = np.column_stack([self.words[a] ^ self.words[b], np.full(len(a), 1, np.uint64)])
+        k = (x != 0).argmax(axis=1)
+        x = x[np.arange(len(a)), k]
+        inside = sum((x < np.uint64(1 << (9 * (7 - j)))).astype(np.int64) for j in range(1, 7))
+        return np.minimum(np.where(k == self.words.shape[1], 7 * k, 7 * k + inside), np.minimum(self.sizes[a], self.sizes[b]))
+
 
-    In sorted order the longest shared prefix is one with a neighbour; eight bytes are compared at once.
+def anchored_order(group: np.ndarray, near: Sides, far: Sides) -> np.ndarray:
+    """Contexts in order of their group, one side, then the other: a suffix array over the contexts' words.
+
+    Each context is the string of its group's number and its words. Suffixes that start at a number come first in the array.
     """
-    order = np.array(sorted(range(len(parts)), key=lambda k: (group[k], parts[k])), np.int64)
-    size = -(-width // 8) * 8
-    table = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in parts), np.uint64).reshape(len(parts), -1)[order]
-    differs = np.ones((len(parts) - 1, table.shape[1] + 1), bool)
-    np.not_equal(table[1:], table[:-1], out=differs[:, :-1])
-    shared = np.minimum(8 * differs.argmax(axis=1) + 7, width)
-    shared[group[order][1:] != group[order][:-1]] = 0
-    out = np.empty(len(parts), np.int64)
-    out[order] = np.maximum(np.r_[0, shared], np.r_[shared, 0])
-    return out
+    number = group.astype(np.uint64)[:, None]  # below every word but 0, as a word's first symbol is its highest
+    rows = np.concatenate([number + np.uint64(1), near.words + np.uint64(1 << 62), far.words + np.uint64(1 << 62)], axis=1)
+    width = rows.shape[1]
+    order = suffix_order(rows.ravel(), 1, width)[0]
+    return order[order % width == 0].astype(np.int64) // width
+
+
+def aligned(group: np.ndarray, left: list[bytes], right: list[bytes], need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What neighbours in both orders share: flags [context, bytes left of the anchor] of windows that repeat, the most that
+    any other context of the group shares on the left and on the right, and whether windows between these bounds are open.
+
+    A window with `o` bytes left of the anchor needs `need` - o bytes right of the gram.
+    """
+    n, sides = len(group), (Sides(left, need), Sides(right, need))
+    steps, most = np.zeros((n, need + 2), np.int16), np.zeros((2, n), np.int64)
+    for k in range(2):
+        order = anchored_order(group, sides[k], sides[1 - k])
+        a, b = order[:-1], order[1:]
+        same = group[a] == group[b]
+        a, b = a[same], b[same]
+        shared = [side.shared(a, b) for side in sides]
+        for ends in (a, b):
+            np.maximum.at(most[k], ends, shared[k])
+        enough = shared[0] + shared[1] >= need
+        for ends in (a[enough], b[enough]):
+            np.add.at(steps, (ends, need - shared[1][enough]), 1)
+            np.add.at(steps, (ends, shared[0][enough] + 1), -1)
+    again = np.cumsum(steps, axis=1)[:, : need + 1] > 0
+    o = np.arange(need + 1)
+    may = (o >= need - most[1][:, None]) & (o <= most[0][:, None])
+    return again, most[0], most[1], (may & ~again).any(axis=1)
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of true values in each row."""
+    n, width = flags.shape
+    wide = np.zeros((n, width + 1), np.int8)
+    wide[:, :width] = flags
+    steps = np.diff(np.concatenate([np.zeros(1, np.int8), wide.ravel()]))
+    first, last = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1) - 1
+    return first // (width + 1), first % (width + 1), last % (width + 1)
 
 
-def own_key():
-    return F.coalesce("doc_id", F.lit(-(1 << 63) + 1)).alias("k")
+#: 128 bits of its SHA-256 stand for a text: all rows with the same bytes have the same ranges.
+DIGEST = ["d", "e"]
 
 
-def own_digest():
-    """The same as digest(), as a column."""
-    return F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, -10).cast("long").alias("d")
+def own_digest() -> list:
+    """The same as digest(), as columns."""
+    return [F.conv(F.substring(F.sha2("text", 256), at, 16), 16, -10).cast("long").alias(name) for at, name in zip((1, 17), DIGEST, strict=True)]
 
 
-def digest(text: bytes) -> int:
-    """64 bits that tell texts of one id apart."""
-    return int.from_bytes(hashlib.sha256(text).digest()[:8], "big", signed=True)
+def digest(text: bytes) -> tuple[int, int]:
+    raw = hashlib.sha256(text).digest()
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:16], "big", signed=True)
+
+
+def among(digests: DataFrame, once: bool = False):
+    """A column: whether the row's digest is among `digests`, or seems to be in a bitmap of them; with `once` for the first of a task's
+    rows with that digest only.
+    """
+    bits = digests.sparkSession.sparkContext.broadcast(bitmap(digests.select("d")))
+
+    @F.arrow_udf("boolean")
+    def found(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        seen: set[tuple[int, int]] = set()
+        for d, e in columns:
+            held = in_bitmap(bits.value, d.to_numpy(zero_copy_only=False).view(np.uint64))
+            if once:
+                for k in np.flatnonzero(held).tolist():
+                    key = (d[k].as_py(), e[k].as_py())
+                    held[k] = key not in seen
+                    seen.add(key)
+            yield pa.array(held)
+
+    return found(*DIGEST)
 
 
 def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, c, k, d, pos: gram hash, context hash, row key, text digest and place of each anchor whose gram may repeat."""
+    """h, c, d, e, pos: gram hash, context hash, text digest and place of each anchor whose gram may repeat."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
@@ -269,51 +353,44 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         anchors, context = Anchors(length, gram), xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys, reach = batch.column(0).to_numpy(), length - gram
-            for low, part in chunks(batch.column(1).to_pylist()):
+            reach = length - gram
+            for _, part in chunks(batch.column(0).to_pylist()):
                 text, pos, h = anchors(part)
                 kept = in_bitmap(bits.value, h)
                 text, pos, h = text[kept], pos[kept], h[kept]
                 c = np.array([context(part[t][max(0, p - reach) : p + length], min(p, reach)) for t, p in zip(text.tolist(), pos.tolist(), strict=True)], np.uint64)
                 d = {t: digest(part[t]) for t in np.unique(text).tolist()}
-                columns = (h.view(np.int64), c.view(np.int64), keys[low + text], np.array([d[t] for t in text.tolist()], np.int64), pos.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "k", "d", "pos"])
+                marks = np.array([d[t] for t in text.tolist()], np.int64).reshape(-1, 2)
+                columns = (h.view(np.int64), c.view(np.int64), marks[:, 0], marks[:, 1], pos.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "d", "e", "pos"])
 
-    return docs.select(own_key(), "text").mapInArrow(rows, "h long, c long, k long, d long, pos int")
+    return docs.select("text").mapInArrow(rows, "h long, c long, d long, e long, pos int")
 
 
-def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
-    """h, c, low, high: bytes, counted from the anchor, that repeated windows of each context cover.
-
-    A text is known by its digest: rows with equal texts have all their contexts twice, whatever their ids, and those repeat.
-    """
-    reach = length - gram
+def cut_contexts(needs: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """`needs` (h, c, n, d, e, pos) with `left` bytes before the anchor, in `bytes`; only texts that are needed cross the network."""
+    reach, names = length - gram, ["h", "c", "many", "d", "start", "reach", "bytes"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        names = ["key", "h", "c", "many", "d", "start", "reach", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            for slow in range(0, batch.num_rows, 200):
-                part, out = batch.slice(slow, 200), []
-                for d, text, needs in zip(*(part.column(n).to_pylist() for n in range(3)), strict=True):
-                    for x in needs:
+            for slow in range(0, batch.num_rows, 100):
+                part, out = batch.slice(slow, 100), []
+                for d, text, wanted in zip(*(part.column(n).to_pylist() for n in range(3)), strict=True):
+                    for x in wanted:
                         low = max(0, x["pos"] - reach)
-                        found = text[low : x["pos"] + length]
-                        left = x["pos"] - low
-                        row = (x["h"], x["c"], x["n"] > 1, d, low, left, found)
-                        parts = -(-x["kinds"] // shard)
-                        own = x["c"] % parts
-                        for other in range(parts) if parts > 2 else [0]:
-                            pair = (min(own, other), max(own, other)) if parts > 2 else (0, 0)
-                            key = xxhash.xxh64_intdigest(f"{x['h']} {pair}".encode()) - 2**63
-                            out.append((key, *row))
+                        out.append((x["h"], x["c"], x["n"] > 1, d, low, x["pos"] - low, text[low : x["pos"] + length]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    needs = mixed.groupBy("k", "d").agg(F.collect_list(F.struct("h", "c", "n", "kinds", "pos")).alias("needs"))
-    cuts = docs.select(own_key(), own_digest(), "text").join(needs, ["k", "d"]).select("d", "text", "needs").mapInArrow(cut, "key long, h long, c long, many boolean, d long, start long, reach int, bytes binary")
+    wanted = stored(needs.groupBy(*DIGEST).agg(F.collect_list(F.struct("h", "c", "n", "pos")).alias("wanted")), "wanted")
+    texts = docs.select(*own_digest(), "text").withColumn("first", among(wanted, once=True)).filter("first")
+    return texts.join(wanted, DIGEST).select("d", "text", "wanted").mapInArrow(cut, "h long, c long, many boolean, d long, start long, reach int, bytes binary")
+
+
+def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
+    """h, c, low, high: bytes, counted from the anchor, that repeated windows of each context cover; for grams with a shard."""
+    need = length - gram
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -324,36 +401,131 @@ def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shar
                 if held and sum(x.num_rows for x in held) >= shard // 2:
                     same = int(np.searchsorted(keys, held[-1].column(0)[-1].as_py(), "right"))
                     if same < len(keys):
-                        yield solve([*held, part.slice(0, same)])
+                        yield from solve([*held, part.slice(0, same)])
                         held, part = [], part.slice(same)
                 held.append(part)
         if held:
-            yield solve(held)
+            yield from solve(held)
 
-    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
-        h, c, keys = (t.column(n).to_numpy() for n in ("h", "c", "key"))
-        _, first = np.unique(np.stack([keys, h, c]), axis=1, return_index=True)
-        t = t.take(np.sort(first))
-        h, c, d, start, left = (t.column(n).to_numpy() for n in ("h", "c", "d", "start", "reach"))
-        found = t.column("bytes").to_pylist()
-        # what no other context of the gram shares around the anchor can be in no repeated window
+        h, c, many, d, start, left = (t.column(n).to_numpy() for n in ("h", "c", "many", "d", "start", "reach"))
+        _, first = np.unique(np.stack([h, c]), axis=1, return_index=True)  # copies of a text gave theirs as well
+        h, c, many, d, start, left = (x[first] for x in (h, c, many, d, start, left))
+        found = t.column("bytes").take(pa.array(first)).to_pylist()
         group = np.unique(h, return_inverse=True)[1]
-        after = reach_of_matches(group, [b[x:] for b, x in zip(found, left.tolist(), strict=True)], length)
-        before = reach_of_matches(group, [b[:x][::-1] for b, x in zip(found, left.tolist(), strict=True)], reach)
-        before = np.minimum(before, left)
-        near = np.flatnonzero(before + after >= length)
-        h, c, d, start, left, before, after = (x[near] for x in (h, c, d, start, left, before, after))
-        found = [found[n][x - b : x + a] for n, x, b, a in zip(near.tolist(), left.tolist(), before.tolist(), after.tolist(), strict=True)]
-        start, left = start + left - before, before
-        text = np.unique(d, return_inverse=True)[1].astype(np.int64)
-        at, low, high = repeated_windows(found, t.column("many").to_numpy()[near], text, start, length)
-        columns = (h[at], c[at], (low - left[at]).astype(np.int32), (high - left[at] + length).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "low", "high"])
-
+        again, before, after, open_ = aligned(group, [b[:x][::-1] for b, x in zip(found, left.tolist(), strict=True)], [b[x + gram :] for b, x in zip(found, left.tolist(), strict=True)], need)
+        row, low, high = runs(again)
+        yield ranges(h[row], c[row], -high, length - low)
+        # groups with windows that no neighbour settled: bytes that another context may share
+        near = np.flatnonzero(np.isin(group, group[open_ & ~many]) & (before + after >= need))
+        if len(near):
+            h, c, many, d, start, left, before, after = (x[near] for x in (h, c, many, d, start, left, before, after))
+            found = [found[n][x - b : x + gram + a] for n, x, b, a in zip(near.tolist(), left.tolist(), before.tolist(), after.tolist(), strict=True)]
+            text = np.unique(d, return_inverse=True)[1].astype(np.int64)
+            at, low, high = repeated_windows(found, many, text, start + left - before, length)
+            yield ranges(h[at], c[at], low - before[at], high - before[at] + length)
+
+    def ranges(h: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["h", "c", "low", "high"])
+
+    cuts = cut_contexts(mixed, docs, length, gram).select(F.xxhash64("h").alias("key"), "*")
     return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(settle, "h long, c long, low int, high int")
 
 
+def ordered(side: bytes) -> bytes:
+    """A side as bytes whose plain order is that of the sides, an ended one first."""
+    return side.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1") + b"\0"
+
+
+def hot_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same as shard_ranges() for grams with more contexts than a shard holds."""
+    need = length - gram
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slow in range(0, batch.num_rows, 500):
+                part = batch.slice(slow, 500)
+                sides = [(b[:x][::-1], b[x + gram :]) for b, x in zip(part.column("bytes").to_pylist(), part.column("reach").to_pylist(), strict=True)]
+                for k in range(2):
+                    keys = [ordered(s[k]) + ordered(s[1 - k]) for s in sides]
+                    columns = [part.column(n) for n in ("h", "c", "many")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([k] * len(keys), pa.int32()), pa.array(keys), *(pa.array([s[j] for s in sides]) for j in range(2))], ["h", "c", "many", "side", "key", "left", "right"])
+
+    kind = "h long, c long, many boolean, side int, key binary, left binary, right binary"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What neighbours share, and the first and the last row of the partition as they are."""
+        from pyspark import TaskContext
+
+        place, last = TaskContext.get().partitionId(), None
+        border = lambda row, end: row.select(["h", "c", "many", "side", "left", "right"]).append_column("l", pa.array([end], pa.int32())).append_column("r", pa.array([place], pa.int32()))
+        for batch in batches:
+            for slow in range(0, batch.num_rows, 4096):
+                part = batch.slice(slow, 4096)
+                if last is None:
+                    yield from border(pa.Table.from_batches([part.slice(0, 1)]), 0).to_batches()
+                whole = pa.Table.from_batches([part] if last is None else [last, part])
+                yield neighbours(whole, need)
+                last = part.slice(part.num_rows - 1)
+        if last is not None:
+            yield from border(pa.Table.from_batches([last]), 1).to_batches()
+
+    told = "h long, c long, many boolean, side int, left binary, right binary, l int, r int"
+    cuts = stored(cut_contexts(mixed, docs, length, gram).dropDuplicates(["h", "c"]).mapInArrow(both, kind), "hot")
+    met = checkpoint(cuts.repartitionByRange("side", "h", "key").sortWithinPartitions("side", "h", "key").mapInArrow(pairs, told))
+    ends = met.filter("left is not null").orderBy("r", "l").toArrow()  # two rows a partition
+    crossing = pa.Table.from_batches([neighbours(ends, need)]) if ends.num_rows else ends
+    crossed = docs.sparkSession.createDataFrame(crossing.select(["h", "c", "many", "side", "l", "r"]))
+    shared = met.filter("left is null").select(*crossed.columns).union(crossed)
+    enough = shared.filter(f"l + r >= {need}")
+    found = enough.select("h", "c", (-F.col("l")).alias("low"), (F.col("r") + gram).alias("high"))
+    # a context is open if its neighbours' ranges leave out windows that the most shared on each side would allow
+    most = shared.groupBy("h", "c").agg(F.bool_or("many").alias("many"), F.max("l").alias("l"), F.max("r").alias("r")).filter(f"not many and l + r >= {need}")
+    spans = found.groupBy("h", "c").agg(merged(F.collect_set(F.struct((-F.col("high") + length).alias("low"), (-F.col("low") + 1).alias("high")))).alias("spans"))
+    whole = F.array(F.struct((F.lit(need) - F.col("r")).alias("low"), (F.col("l") + 1).alias("high")))
+    left_open = most.join(spans, ["h", "c"], "left").filter(F.col("spans").isNull() | (F.col("spans") != whole))
+    grams = checkpoint(left_open.groupBy("h").agg(F.min(F.lit(need) - F.col("r")).alias("first"), F.max("l").alias("last")))
+    if grams.isEmpty():
+        return found
+    return found.union(counted_windows(cuts.filter("side = 0").join(grams, "h"), length, gram))
+
+
+def neighbours(rows: pa.Table, need: int) -> pa.RecordBatch:
+    """A row for either end of each two rows of one gram and order that follow each other, with the bytes they share left and right."""
+    h, c, many, side = (rows.column(n).to_numpy() for n in ("h", "c", "many", "side"))
+    left, right = (Sides(rows.column(n).to_pylist(), need) for n in ("left", "right"))
+    a = np.flatnonzero((h[1:] == h[:-1]) & (side[1:] == side[:-1]) & (c[1:] != c[:-1]))
+    at = np.concatenate([a, a + 1])
+    l, r = (np.tile(s.shared(a, a + 1), 2).astype(np.int32) for s in (left, right))  # noqa: E741
+    none = pa.nulls(len(at), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(c[at]), pa.array(many[at]), pa.array(side[at]), none, none, pa.array(l), pa.array(r)], ["h", "c", "many", "side", "left", "right", "l", "r"])
+
+
+def counted_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """h, c, low, high of each window between `first` and `last` bytes left of the anchor that two contexts of a gram have."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        need = length - gram
+        for batch in batches:
+            out: list[tuple] = []
+            for h, c, left, right, first, last in zip(*(batch.column(n).to_pylist() for n in ("h", "c", "left", "right", "first", "last")), strict=True):
+                for o in range(max(first, need - len(right)), min(last, len(left)) + 1):
+                    x = xxhash.xxh3_128_intdigest(left[:o] + b"|" + right[: need - o])
+                    out.append((h, c, o, (x >> 64) - 2**63, (x & (2**64 - 1)) - 2**63))
+                if len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out, strict=True)], ["h", "c", "o", "x", "y"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out, strict=True)], ["h", "c", "o", "x", "y"])
+
+    windows = stored(rows.select("h", "c", "left", "right", "first", "last").mapInArrow(hashes, "h long, c long, o long, x long, y long"), "windows")
+    again = checkpoint(windows.groupBy("h", "o", "x", "y").count().filter("count > 1"))
+    return windows.join(again, ["h", "o", "x", "y"]).select("h", "c", (-F.col("o")).cast("int").alias("low"), (F.lit(length) - F.col("o")).cast("int").alias("high"))
+
+
 def merged(ranges):
     """The union of an array of ranges (low, high), as sorted ranges that don't touch."""
 
@@ -366,25 +538,28 @@ def merged(ranges):
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """k, d and ranges [low, high) of each text that holds repeated strings; `docs` with doc_id and text bytes."""
+    """d, e and ranges [low, high) of each text that holds repeated strings; `docs` with text bytes."""
     found = stored(occurrences(docs, length, gram), "anchors")
-    contexts = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "d", "pos")).alias("at")).select("h", "c", "n", "at.k", "at.d", "at.pos"), "contexts")
+    first = F.min(F.struct(*DIGEST, "pos")).alias("at")
+    contexts = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), first).select("h", "c", "n", "at.*"), "contexts")
     grams = checkpoint(contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").cast("int").alias("kinds")).filter("total > 1").select("h", "kinds"))
-    copies = contexts.filter("n > 1").select("h", "c", F.lit(gram - length).alias("low"), F.lit(length).alias("high"))
-    mixed = contexts.join(grams.filter("kinds > 1"), "h")
-    ranges = checkpoint(copies.union(shard_ranges(mixed, docs, length, gram, shard)))
-    # one row a context, however many parts found its ranges: the join gives a row for each anchor at most
-    spans = ranges.groupBy("h", "c").agg(merged(F.collect_set(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))).alias("spans"))
+    ranges = contexts.filter("n > 1").select("h", "c", F.lit(gram - length).alias("low"), F.lit(length).alias("high"))
+    ranges = ranges.union(shard_ranges(contexts.join(grams.filter(f"kinds between 2 and {shard}"), "h"), docs, length, gram, shard))
+    hot = grams.filter(f"kinds > {shard}")
+    if not hot.isEmpty():
+        ranges = ranges.union(hot_ranges(contexts.join(hot, "h"), docs, length, gram))
+    # one row a context, and written before it is joined: the join gives a row for each anchor at most, and a hot context can be split
+    spans = checkpoint(ranges.groupBy("h", "c").agg(merged(F.collect_set(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")))).alias("spans")))
     moved = F.transform("spans", lambda x: F.struct((F.col("pos") + x.low).alias("low"), (F.col("pos") + x.high).alias("high")))
-    each = found.join(spans, ["h", "c"]).select("k", "d", moved.alias("spans"))
-    return each.groupBy("k", "d").agg(F.flatten(F.collect_set("spans")).alias("ranges"))
+    each = found.join(spans, ["h", "c"]).select(*DIGEST, moved.alias("spans"))
+    return stored(each.groupBy(*DIGEST).agg(F.flatten(F.collect_set("spans")).alias("ranges")), "ranges")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (removed [start, end) runs) and kept (remaining bytes) of each row; with `carry` also the row, as a struct."""
     base = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), (F.struct(*docs.drop("text").columns) if carry else F.lit(0)).alias("row"))
-    ranges = repeated_ranges(base, length, gram, shard)
-    keyed = base.select("doc_id", own_key(), own_digest(), "text", "row")
+    ranges = repeated_ranges(base.select("text"), length, gram, shard)
+    keyed = base.select("doc_id", *own_digest(), "text", "row").withColumn("told", among(ranges))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -408,7 +583,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
                     kept.append(b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), part.column(3)], ["doc_id", "n_bytes", "spans", "kept", "row"])
 
-    joined = keyed.join(ranges, ["k", "d"], "left").select("doc_id", "text", "ranges", "row")
+    # texts without ranges stay where they are
+    joined = keyed.filter("told").join(ranges, DIGEST, "left").select("doc_id", "text", "ranges", "row")
+    joined = joined.union(keyed.filter("not told").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType), "row"))
     found = joined.mapInArrow(remove, f"doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {base.schema['row'].dataType.simpleString()}")
     return found if carry else found.drop("row")
 

@@ -62,6 +62,36 @@ def test_empty(spark):
     assert suffixes.dedup(docs(spark, [])).collect() == []
 
 
+def test_sides_and_their_order():
+    r = random.Random(4)
+    left, right = ([bytes(r.choice(b"\0\1ab") for _ in range(r.randint(0, 30))) for _ in range(400)] for _ in range(2))
+    group = np.array([r.randint(0, 3) for _ in left])
+    sides = [suffixes.Sides(x, 30) for x in (left, right)]
+    assert [suffixes.ordered(x) for x in sorted(left)] == sorted(map(suffixes.ordered, left))
+    got = suffixes.anchored_order(group, sides[0], sides[1]).tolist()
+    want = sorted((g, x, y) for g, x, y in zip(group.tolist(), left, right))
+    assert [(group[k], left[k], right[k]) for k in got] == want
+    a, b = np.array(got[:-1]), np.array(got[1:])
+    common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    assert sides[0].shared(a, b).tolist() == [common(left[i], left[j]) for i, j in zip(a.tolist(), b.tolist())]
+
+
+def test_aligned_bounds_hold_every_repeated_window():
+    r, need = random.Random(6), 12
+    left, right = ([bytes(r.choice(b"aab") for _ in range(need)) for _ in range(300)] for _ in range(2))
+    group = np.array([r.randint(0, 4) for _ in left])
+    again, most_left, most_right, open_ = suffixes.aligned(group, left, right, need)
+    for o in range(need + 1):
+        seen = {}
+        for g, x, y in zip(group.tolist(), left, right):
+            seen[g, x[:o], y[: need - o]] = seen.get((g, x[:o], y[: need - o]), 0) + 1
+        for k, (g, x, y) in enumerate(zip(group.tolist(), left, right)):
+            true = seen[g, x[:o], y[: need - o]] > 1
+            assert true or not again[k, o]
+            assert not true or (need - most_right[k] <= o <= most_left[k])
+            assert again[k, o] == true or open_[k]
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(2)
     for n in (1, 2, 9, 300):
