@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows that a Python worker gets at once, where the session has Spark's own default.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of `sf_dir`; from here on the session's workers get smaller batches, as rows hold whole texts."""
+    if spark.conf.get(BATCH[0], BATCH[1]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -148,3 +155,31 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slots = (hashes >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def among(hashes: DataFrame, *columns, once: bool = False):
+    """A column: whether the first of `columns`, a hash, is among `hashes`, or seems to be in a bitmap of them; with `once` for the
+    first of a task's rows with equal `columns` only.
+    """
+    bits = hashes.sparkSession.sparkContext.broadcast(bitmap(hashes))
+
+    def held(own: pa.Array) -> np.ndarray:
+        return in_bitmap(bits.value, own.to_numpy(zero_copy_only=False).view(np.uint64))
+
+    @F.arrow_udf("boolean")
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for own in parts:
+            yield pa.array(held(own))
+
+    @F.arrow_udf("boolean")
+    def first(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        seen: set[tuple] = set()
+        for own in parts:
+            out = held(own[0])
+            for k in np.flatnonzero(out).tolist():
+                key = tuple(x[k].as_py() for x in own)
+                out[k] = key not in seen
+                seen.add(key)
+            yield pa.array(out)
+
+    return first(*columns) if once else found(*columns)

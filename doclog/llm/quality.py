@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -175,19 +175,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[Pooler,
     return pooler, Network(x[order], y[order])
 
 
-def score(docs: DataFrame, model: tuple[Pooler, Network] | float) -> DataFrame:
-    """`docs` with a column quality_score (0 to 1), from whole texts; other columns pass through."""
+def scored(model: tuple[Pooler, Network] | float, text: str = "text") -> Column:
+    """The score (0 to 1) of a whole text, as a column: of a row only its text goes to Python, and only the score comes back."""
     if isinstance(model, float):
-        return docs.withColumn("quality_score", F.lit(model))
+        return F.lit(model)
     pooler, network = model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [network(np.array([pooler.pool(t.as_py()) for t in batch.column("text").slice(low, 512)])) for low in range(0, batch.num_rows, 512)]
-            yield batch.append_column("quality_score", pa.array(np.concatenate([np.empty(0), *parts])))
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            found = [network(np.array([pooler.pool(t.as_py()) for t in texts.slice(low, 512)])) for low in range(0, len(texts), 512)]
+            yield pa.array(np.concatenate([np.empty(0), *found]))
+
+    return run(text)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, quality_score double")
+
+def score(docs: DataFrame, model: tuple[Pooler, Network] | float) -> DataFrame:
+    """`docs` with a column quality_score (0 to 1), in place of one of that name; other columns pass through."""
+    return docs.withColumn("quality_score", scored(model))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, checkpoint, in_bitmap, stored, text_bytes
+from .common import among, bitmap, checkpoint, in_bitmap, stored, text_bytes
 
 LENGTH, GRAM = 400, 200
 #: Contexts in a shard, at most twice this many.
@@ -315,27 +315,6 @@ def digest(text: bytes) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:16], "big", signed=True)
 
 
-def among(digests: DataFrame, once: bool = False):
-    """A column: whether the row's digest is among `digests`, or seems to be in a bitmap of them; with `once` for the first of a task's
-    rows with that digest only.
-    """
-    bits = digests.sparkSession.sparkContext.broadcast(bitmap(digests.select("d")))
-
-    @F.arrow_udf("boolean")
-    def found(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        seen: set[tuple[int, int]] = set()
-        for d, e in columns:
-            held = in_bitmap(bits.value, d.to_numpy(zero_copy_only=False).view(np.uint64))
-            if once:
-                for k in np.flatnonzero(held).tolist():
-                    key = (d[k].as_py(), e[k].as_py())
-                    held[k] = key not in seen
-                    seen.add(key)
-            yield pa.array(held)
-
-    return found(*DIGEST)
-
-
 def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """h, c, d, e, pos: gram hash, context hash, text digest and place of each anchor whose gram may repeat."""
 
@@ -384,7 +363,7 @@ def cut_contexts(needs: DataFrame, docs: DataFrame, length: int, gram: int) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     wanted = stored(needs.groupBy(*DIGEST).agg(F.collect_list(F.struct("h", "c", "n", "pos")).alias("wanted")), "wanted")
-    texts = docs.select(*own_digest(), "text").withColumn("first", among(wanted, once=True)).filter("first")
+    texts = docs.select(*own_digest(), "text").withColumn("first", among(wanted.select("d"), *DIGEST, once=True)).filter("first")
     return texts.join(wanted, DIGEST).select("d", "text", "wanted").mapInArrow(cut, "h long, c long, many boolean, d long, start long, reach int, bytes binary")
 
 
@@ -559,7 +538,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
     """doc_id, n_bytes, spans (removed [start, end) runs) and kept (remaining bytes) of each row; with `carry` also the row, as a struct."""
     base = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), (F.struct(*docs.drop("text").columns) if carry else F.lit(0)).alias("row"))
     ranges = repeated_ranges(base.select("text"), length, gram, shard)
-    keyed = base.select("doc_id", *own_digest(), "text", "row").withColumn("told", among(ranges))
+    keyed = base.select("doc_id", *own_digest(), "text", "row").withColumn("told", among(ranges.select("d"), "d"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -123,19 +123,24 @@ def train(docs: DataFrame, labels: DataFrame, p_rows: int = P_ROWS, u_rows: int
     return dict(zip(words, w.tolist(), strict=False)), float(w[-1])
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float] | None) -> DataFrame:
-    """`docs` with a column toxicity (0 to 1), from whole texts; other columns pass through."""
+def scored(model: tuple[dict[str, float], float] | None, text: str = "text") -> Column:
+    """The score (0 to 1) of a whole text, as a column: of a row only its text goes to Python, and only the score comes back."""
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return F.lit(0.0)
     weights, bias = model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = np.array([bias + sum(sorted(weights[w] for w in words_of(t.as_py()) & weights.keys())) for t in batch.column("text")])
-            yield batch.append_column("toxicity", pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            z = np.array([bias + sum(sorted(weights[w] for w in words_of(t.as_py()) & weights.keys())) for t in texts])
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+    return run(text)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, toxicity double")
+
+def score(docs: DataFrame, model: tuple[dict[str, float], float] | None) -> DataFrame:
+    """`docs` with a column toxicity (0 to 1), in place of one of that name; other columns pass through."""
+    return docs.withColumn("toxicity", scored(model))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

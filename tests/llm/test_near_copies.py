@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from doclog.llm import minhash
+from doclog.llm import simhash
 from helpers import prose
 
 
@@ -43,13 +43,13 @@ def edited(seed):
     return rows + [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "One  two")]
 
 
-@pytest.mark.parametrize("run", [minhash.RUN, 2])
+@pytest.mark.parametrize("run", [simhash.RUN, 2])
 def test_the_stage_keeps_what_brute_force_keeps(spark, run):
     rows = edited(7)
     sims = [jaccard(rows[4 * k][1], rows[4 * k + j][1]) for k in range(40) for j in (1, 2, 3)]
     assert sum(0.8 <= s < 0.9 for s in sims) > 20 and sum(0.7 < s < 0.8 for s in sims) > 5
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = corpus_pipeline.no_near_copies(spark, docs, "") if run == minhash.RUN else minhash.keep_one(docs, run=run)
+    out = corpus_pipeline.no_near_copies(spark, docs, "") if run == simhash.RUN else simhash.keep_one(docs, run=run)
     assert sorted(r.doc_id for r in out.collect()) == kept_by_brute_force(rows)
 
 
