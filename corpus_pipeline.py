@@ -10,25 +10,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclog.llm import minhash, packing, quality, suffixes, toxicity
+from doclog.llm import packing, quality, simhash, suffixes, toxicity
 from doclog.llm.common import stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score THRESHOLD or more."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    return docs.filter(quality.scored(quality.train(docs, table(spark, sf_dir, "labels"))) >= quality.THRESHOLD)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half."""
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("toxicity") < 0.5).select(*docs.columns)
+    return docs.filter(toxicity.scored(toxicity.train(docs, table(spark, sf_dir, "labels"))) < 0.5)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (0.8 of their five-word shingles alike): the first with the smallest id."""
-    return minhash.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
