@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What workers keep from task to task, by name; a task of another kind drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(f: Callable, keep: str | None = None) -> Callable:
+    """`f`, a generator over batches, for workers that Spark uses again: at its end the memory that it freed goes back to the system.
+
+    Idle workers would hold on to it else, and an executor has a worker for each Python step that its running stages have had.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        for name, drop in KEPT.items():
+            if name != keep:
+                drop()
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where the session names none, as in tests."""
+    """The folder that all executors see. The session must name it, but for a local master, as in tests: all of that is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -93,7 +123,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     minima are written before they are joined, so that both sides of the join are plain exchanges and AQE can split a hub.
     Null ends are dropped; a null links with nothing.
     """
-    edges = checkpoint(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(local_forest, "a long, b long"))
+    edges = checkpoint(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(local_forest), "a long, b long"))
     seen = None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
@@ -147,7 +177,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     slot = F.shiftrightunsigned(F.col(name), 64 - power).alias("slot")
     dealt = hashes.select(slot).select((F.col("slot") * BITMAP_PIECES / (1 << power)).cast("int").alias("piece"), "slot").repartition("piece")
     out = np.zeros(width, np.uint8)
-    for piece, bits in dealt.mapInArrow(fill, "piece int, bits binary").toLocalIterator():
+    for piece, bits in dealt.mapInArrow(lean(fill), "piece int, bits binary").toLocalIterator():
         out[piece * len(bits) : (piece + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
@@ -167,11 +197,13 @@ def among(hashes: DataFrame, *columns, once: bool = False):
         return in_bitmap(bits.value, own.to_numpy(zero_copy_only=False).view(np.uint64))
 
     @F.arrow_udf("boolean")
+    @lean
     def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for own in parts:
             yield pa.array(held(own))
 
     @F.arrow_udf("boolean")
+    @lean
     def first(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         seen: set[tuple] = set()
         for own in parts:

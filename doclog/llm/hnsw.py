@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, forest
+from .common import checkpoint, components, forest, lean
 
 SHARD, LEAST_SHARDS = 16_384, 8
 LINKS, MOST_LINKS, BEAM, BATCH = 16, 48, 32, 256
@@ -263,7 +263,7 @@ def found_links(held: DataFrame, least: float, shard: int, beam: int, recall: fl
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, a]), pa.array(np.r_[np.zeros(len(some), np.int64), b], mask=np.r_[np.ones(len(some), bool), np.zeros(len(a), bool)]), pa.array(np.r_[n, np.zeros(len(a), np.int64)])], ["a", "b", "n"])
 
     pairs = asking.repartition("q_shard", "shard").join(graphs, "shard")
-    return checkpoint(pairs.mapInArrow(ask, "a long, b long, n long"))
+    return checkpoint(pairs.mapInArrow(lean(ask), "a long, b long, n long"))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, shard: int = SHARD, beam: int = BEAM, recall: float = RECALL) -> DataFrame:

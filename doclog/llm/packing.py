@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import KEPT, checkpoint, lean
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -114,6 +114,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+KEPT["packing"] = encoder.cache_clear
+
+
 def groups(texts: pa.Array, most: int = GROUP_CHARACTERS) -> Iterator[tuple[int, int]]:
     """Ranges of at most 1,000 rows and about `most` characters, or one row."""
     sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
@@ -143,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run, "packing"), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, lean
 from .packing import groups
 
 MARK = "▁"
@@ -273,6 +274,9 @@ def matcher(path: str) -> Matcher:
     return Matcher(path)
 
 
+KEPT["pieces"] = matcher.cache_clear
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of each row."""
 
@@ -283,7 +287,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run, "pieces"), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -296,4 +300,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 part = batch.slice(low, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([decoder.decode(x.as_py()) for x in part.column(1)], pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run, "pieces"), "doc_id long, ids binary, text string")

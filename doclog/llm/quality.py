@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, lean
 from .toxicity import by_hash, held_out
 
 ROWS, UNITS, SIZE, WINDOW, HIDDEN = 6_000, 4_000, 64, 2, 32
@@ -92,7 +92,7 @@ def word_vectors(texts: DataFrame, units: int = UNITS, size: int = SIZE, window:
                 seen.update(set(TOKEN.findall(text.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
-    counts = texts.select("text").mapInArrow(tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(lean(tokens), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     names = [r.token for r in counts.filter("n >= 5").orderBy(F.desc("n"), "token").limit(units).collect()]
     names += sorted(f"\t{kind}{n}" for kind in ("a", "A", "Aa", "9", "%", "aA") for n in range(1, 13))
     at = {u: k for k, u in enumerate(names)}
@@ -110,7 +110,7 @@ def word_vectors(texts: DataFrame, units: int = UNITS, size: int = SIZE, window:
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], ["unit", "v"])
 
-    parts = texts.select("text").mapInArrow(neighbours, "unit long, v array<double>")
+    parts = texts.select("text").mapInArrow(lean(neighbours), "unit long, v array<double>")
     sums = parts.groupBy("unit").agg(*(F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(size))).collect()  # bounded by units
     vectors = np.zeros((len(names), size))
     for row in sums:
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[Pooler,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pooler.pool(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["good", "x"])
 
-    found = chosen.select(F.col("good").cast("int"), "text").mapInArrow(pool, "good int, x array<double>").toArrow()  # bounded by rows
+    found = chosen.select(F.col("good").cast("int"), "text").mapInArrow(lean(pool), "good int, x array<double>").toArrow()  # bounded by rows
     order = sorted(range(found.num_rows), key=lambda k: zlib.crc32(repr(found.column("x")[k].as_py()[:8]).encode()))
     x, y = np.array(found.column("x").to_pylist()), np.array(found.column("good").to_pylist(), float)
     return pooler, Network(x[order], y[order])
@@ -182,6 +182,7 @@ def scored(model: tuple[Pooler, Network] | float, text: str = "text") -> Column:
     pooler, network = model
 
     @F.arrow_udf("double")
+    @lean
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             found = [network(np.array([pooler.pool(t.as_py()) for t in texts.slice(low, 512)])) for low in range(0, len(texts), 512)]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, checkpoint, components, forest, stored, text_bytes
+from .common import among, checkpoint, components, forest, lean, stored, text_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 class Golay:
@@ -191,7 +191,7 @@ def meet(rows: DataFrame, most: int, run: int | None) -> DataFrame:
         if old is not None:
             yield from settle(kept, old)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long, late boolean")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(pairs), "a long, b long, late boolean")
 
 
 def in_blocks(members: DataFrame, compare: Callable[[DataFrame], DataFrame], run: int) -> DataFrame:
@@ -242,7 +242,7 @@ def links(fps: DataFrame, run: int = RUN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[at])], ["key", "id"])
 
     ids = fps.select(F.col("fp").alias("id"))
-    return linked(ids.mapInArrow(explode, "key int, id long"), ids, MOST_BITS, run)
+    return linked(ids.mapInArrow(lean(explode), "key int, id long"), ids, MOST_BITS, run)
 
 
 def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -343,7 +343,7 @@ def marked_sets(docs: DataFrame) -> DataFrame:
                 columns = (part.column(0), part.column(1), pa.array(nodes.view(np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), codes)
                 yield pa.RecordBatch.from_arrays(list(columns), ["row", "doc_id", "node", "p", "q", "codes"])
 
-    return docs.select("row", F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "row long, doc_id long, node long, p long, q long, codes array<short>")
+    return docs.select("row", F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(lean(run), "row long, doc_id long, node long, p long, q long, codes array<short>")
 
 
 def segment_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,13 +385,13 @@ def compared(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         yield from settle(len(blocks))
 
     rows = dealt.join(texts, "row").select("block", "id", "text")
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(run), "a long, b long")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, least: float = LEAST, run: int = RUN, sets: int = SETS) -> DataFrame:
     """Links (a, b) among `nodes` (node, row, p, q, codes) whose sets are similar; `texts` holds the text of each row."""
     ids = nodes.select(F.col("node").alias("id"), "p", "q")
-    rows = nodes.select(F.col("node").alias("id"), "p", "q", "codes").mapInArrow(segment_keys, "key int, id long, p long, q long")
+    rows = nodes.select(F.col("node").alias("id"), "p", "q", "codes").mapInArrow(lean(segment_keys), "key int, id long, p long, q long")
     groups = components(linked(rows, ids, CHECKED, run))
     members = checkpoint(groups.select(F.col("node").alias("id"), F.col("component").alias("key")).join(nodes.select(F.col("node").alias("id"), "row"), "id"))
     needed = texts.filter(among(members.select(F.xxhash64("row").alias("x")), F.xxhash64("row"))).select("row", "text")

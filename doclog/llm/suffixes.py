@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, bitmap, checkpoint, in_bitmap, stored, text_bytes
+from .common import among, bitmap, checkpoint, in_bitmap, lean, stored, text_bytes
 
 LENGTH, GRAM = 400, 200
 #: Contexts in a shard, at most twice this many.
@@ -324,7 +324,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for _, part in chunks(batch.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(anchors(part)[2].view(np.int64))], ["h"])
 
-    counted = docs.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = docs.select("text").mapInArrow(lean(hashes), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(counted.select("h")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +343,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 columns = (h.view(np.int64), c.view(np.int64), marks[:, 0], marks[:, 1], pos.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "d", "e", "pos"])
 
-    return docs.select("text").mapInArrow(rows, "h long, c long, d long, e long, pos int")
+    return docs.select("text").mapInArrow(lean(rows), "h long, c long, d long, e long, pos int")
 
 
 def cut_contexts(needs: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -364,7 +364,7 @@ def cut_contexts(needs: DataFrame, docs: DataFrame, length: int, gram: int) -> D
 
     wanted = stored(needs.groupBy(*DIGEST).agg(F.collect_list(F.struct("h", "c", "n", "pos")).alias("wanted")), "wanted")
     texts = docs.select(*own_digest(), "text").withColumn("first", among(wanted.select("d"), *DIGEST, once=True)).filter("first")
-    return texts.join(wanted, DIGEST).select("d", "text", "wanted").mapInArrow(cut, "h long, c long, many boolean, d long, start long, reach int, bytes binary")
+    return texts.join(wanted, DIGEST).select("d", "text", "wanted").mapInArrow(lean(cut), "h long, c long, many boolean, d long, start long, reach int, bytes binary")
 
 
 def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
@@ -409,7 +409,7 @@ def shard_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int, shar
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["h", "c", "low", "high"])
 
     cuts = cut_contexts(mixed, docs, length, gram).select(F.xxhash64("h").alias("key"), "*")
-    return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(settle, "h long, c long, low int, high int")
+    return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(settle), "h long, c long, low int, high int")
 
 
 def ordered(side: bytes) -> bytes:
@@ -451,8 +451,8 @@ def hot_ranges(mixed: DataFrame, docs: DataFrame, length: int, gram: int) -> Dat
             yield from border(pa.Table.from_batches([last]), 1).to_batches()
 
     told = "h long, c long, many boolean, side int, left binary, right binary, l int, r int"
-    cuts = stored(cut_contexts(mixed, docs, length, gram).dropDuplicates(["h", "c"]).mapInArrow(both, kind), "hot")
-    met = checkpoint(cuts.repartitionByRange("side", "h", "key").sortWithinPartitions("side", "h", "key").mapInArrow(pairs, told))
+    cuts = stored(cut_contexts(mixed, docs, length, gram).dropDuplicates(["h", "c"]).mapInArrow(lean(both), kind), "hot")
+    met = checkpoint(cuts.repartitionByRange("side", "h", "key").sortWithinPartitions("side", "h", "key").mapInArrow(lean(pairs), told))
     ends = met.filter("left is not null").orderBy("r", "l").toArrow()  # two rows a partition
     crossing = pa.Table.from_batches([neighbours(ends, need)]) if ends.num_rows else ends
     crossed = docs.sparkSession.createDataFrame(crossing.select(["h", "c", "many", "side", "l", "r"]))
@@ -500,7 +500,7 @@ def counted_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out, strict=True)], ["h", "c", "o", "x", "y"])
 
-    windows = stored(rows.select("h", "c", "left", "right", "first", "last").mapInArrow(hashes, "h long, c long, o long, x long, y long"), "windows")
+    windows = stored(rows.select("h", "c", "left", "right", "first", "last").mapInArrow(lean(hashes), "h long, c long, o long, x long, y long"), "windows")
     again = checkpoint(windows.groupBy("h", "o", "x", "y").count().filter("count > 1"))
     return windows.join(again, ["h", "o", "x", "y"]).select("h", "c", (-F.col("o")).cast("int").alias("low"), (F.lit(length) - F.col("o")).cast("int").alias("high"))
 
@@ -565,7 +565,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
     # texts without ranges stay where they are
     joined = keyed.filter("told").join(ranges, DIGEST, "left").select("doc_id", "text", "ranges", "row")
     joined = joined.union(keyed.filter("not told").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType), "row"))
-    found = joined.mapInArrow(remove, f"doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {base.schema['row'].dataType.simpleString()}")
+    found = joined.mapInArrow(lean(remove), f"doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {base.schema['row'].dataType.simpleString()}")
     return found if carry else found.drop("row")
 
 
@@ -578,5 +578,5 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             texts = [x.as_py().decode(errors="ignore") for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "row"])
 
-    whole = found.select("kept", "row").mapInArrow(decode, f"text string, row {found.schema['row'].dataType.simpleString()}")
+    whole = found.select("kept", "row").mapInArrow(lean(decode), f"text string, row {found.schema['row'].dataType.simpleString()}")
     return whole.select("row.*", "text").select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, lean
 
 P_ROWS, U_ROWS, WORDS = 4_000, 8_000, 2_000
 STEM = 4
@@ -63,7 +63,7 @@ def sample(docs: DataFrame, labels: DataFrame, p_rows: int = P_ROWS, u_rows: int
                 part = batch.slice(low, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(words_of(t)) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], ["p", "words"])
 
-    return checkpoint(rows.mapInArrow(split, "p boolean, words array<string>")), toxic / n
+    return checkpoint(rows.mapInArrow(lean(split), "p boolean, words array<string>")), toxic / n
 
 
 def telling_words(rows: DataFrame, most: int = WORDS) -> list[str]:
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, p_rows: int = P_ROWS, u_rows: int
             found = [[at[w] for w in row if w in at] for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["p", "at"])
 
-    table = rows.mapInArrow(numbers, "p boolean, at array<int>").toArrow()  # bounded by p_rows, u_rows and WORDS
+    table = rows.mapInArrow(lean(numbers), "p boolean, at array<int>").toArrow()  # bounded by p_rows, u_rows and WORDS
     flags = table.column("p").to_numpy()
     found = [np.asarray(x.values.to_numpy(), np.int64) for x in table.column("at")]
     w = fit([x for x, f in zip(found, flags, strict=True) if f], [x for x, f in zip(found, flags, strict=True) if not f], len(words), prior)
@@ -130,6 +130,7 @@ def scored(model: tuple[dict[str, float], float] | None, text: str = "text") ->
     weights, bias = model
 
     @F.arrow_udf("double")
+    @lean
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             z = np.array([bias + sum(sorted(weights[w] for w in words_of(t.as_py()) & weights.keys())) for t in texts])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir
+from .common import fresh_dir, lean
 
 #: Magic numbers of the dictionary's skippable frame and of a zstd frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
@@ -109,7 +109,7 @@ def write_warc(found: DataFrame, path: str) -> None:
         store.move(own, f"{folder}/archives/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "records"])
 
-    found.sortWithinPartitions("page_id").mapInArrow(run, "name string, records long").write.parquet(f"{path}/listing")
+    found.sortWithinPartitions("page_id").mapInArrow(lean(run), "name string, records long").write.parquet(f"{path}/listing")
 
 
 def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -193,7 +193,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
-    return files.select("path", "content").mapInArrow(run, RECORD)
+    return files.select("path", "content").mapInArrow(lean(run), RECORD)
 
 
 def with_payloads(found: DataFrame) -> DataFrame:
