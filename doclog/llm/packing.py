@@ -100,7 +100,9 @@ class WordEncoder:
         flat, starts, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, found.indices.to_numpy()
         sizes = sizes[at]
         ends = np.r_[0, np.cumsum(sizes)]
-        raw = flat[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        places = np.repeat((starts[at] - ends[:-1]).astype(np.int32), sizes)
+        places += np.arange(ends[-1], dtype=np.int32)
+        raw = flat[places].tobytes()
         cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
         out = [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
         for k in odd:

@@ -534,49 +534,63 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     return stored(each.groupBy(*DIGEST).agg(F.flatten(F.collect_set("spans")).alias("ranges")), "ranges")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, spans (removed [start, end) runs) and kept (remaining bytes) of each row; with `carry` also the row, as a struct."""
-    base = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), (F.struct(*docs.drop("text").columns) if carry else F.lit(0)).alias("row"))
+def with_ranges(docs: DataFrame, row, length: int, gram: int, shard: int) -> DataFrame:
+    """text, row and repeated ranges (null where there are none) of each row of `docs`, whose other columns `row` is made of."""
+    base = docs.select(text_bytes().alias("text"), row.alias("row"))
     ranges = repeated_ranges(base.select("text"), length, gram, shard)
-    keyed = base.select("doc_id", *own_digest(), "text", "row").withColumn("told", among(ranges.select("d"), "d"))
+    keyed = base.select(*own_digest(), "text", "row").withColumn("told", among(ranges.select("d"), "d"))
+    # texts without ranges stay where they are
+    joined = keyed.filter("told").join(ranges, DIGEST, "left").select("text", "row", "ranges")
+    return joined.union(keyed.filter("not told").select("text", "row", F.lit(None).cast(ranges.schema["ranges"].dataType)))
+
+
+def spans_of(text: bytes, ranges: pa.ListScalar) -> list[dict]:
+    """Maximal removed runs of a text."""
+    own: list[dict] = []
+    if ranges.is_valid:
+        flat = ranges.values
+        for low, high in sorted(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True)):
+            low, high = max(low, 0), min(high, len(text))
+            if own and low <= own[-1]["end"]:
+                own[-1]["end"] = max(high, own[-1]["end"])
+            else:
+                own.append({"start": low, "end": high})
+    return own
+
+
+def remaining(text: bytes, spans: list[dict]) -> bytes:
+    edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+    return b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """doc_id, n_bytes, spans (removed [start, end) runs) and kept (remaining bytes) of each row."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for slow in range(0, batch.num_rows, 500):
                 part = batch.slice(slow, 500)
-                sizes, spans, kept = [], [], []
-                for text, ranges in zip(part.column(1).to_pylist(), part.column(2), strict=True):
-                    own: list[dict] = []
-                    if ranges.is_valid:
-                        flat = ranges.values
-                        for low, high in sorted(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True)):
-                            low, high = max(low, 0), min(high, len(text))
-                            if own and low <= own[-1]["end"]:
-                                own[-1]["end"] = max(high, own[-1]["end"])
-                            else:
-                                own.append({"start": low, "end": high})
-                    edges = [0, *(x for s in own for x in (s["start"], s["end"])), len(text)]
-                    sizes.append(len(text))
-                    spans.append(own)
-                    kept.append(b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), part.column(3)], ["doc_id", "n_bytes", "spans", "kept", "row"])
+                texts = part.column(0).to_pylist()
+                spans = [spans_of(t, r) for t, r in zip(texts, part.column(2), strict=True)]
+                kept = [remaining(t, s) for t, s in zip(texts, spans, strict=True)]
+                columns = [part.column(1), pa.array(list(map(len, texts)), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
 
-    # texts without ranges stay where they are
-    joined = keyed.filter("told").join(ranges, DIGEST, "left").select("doc_id", "text", "ranges", "row")
-    joined = joined.union(keyed.filter("not told").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType), "row"))
-    found = joined.mapInArrow(lean(remove), f"doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {base.schema['row'].dataType.simpleString()}")
-    return found if carry else found.drop("row")
+    joined = with_ranges(docs, F.col("doc_id").cast("long"), length, gram, shard)
+    return joined.mapInArrow(lean(remove), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """`docs` with the remaining text in each row; bytes of a character that a cut went through go as well."""
-    found = dedup(docs, length, carry=True)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py().decode(errors="ignore") for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "row"])
+            for slow in range(0, batch.num_rows, 500):
+                part = batch.slice(slow, 500)
+                texts = [remaining(t, spans_of(t, r)).decode(errors="ignore") for t, r in zip(part.column(0).to_pylist(), part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(1)], ["text", "row"])
 
-    whole = found.select("kept", "row").mapInArrow(lean(decode), f"text string, row {found.schema['row'].dataType.simpleString()}")
+    joined = with_ranges(docs, F.struct("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text"))), length, gram, shard)
+    whole = joined.mapInArrow(lean(replace), f"text string, row {joined.schema['row'].dataType.simpleString()}")
     return whole.select("row.*", "text").select(*docs.columns)

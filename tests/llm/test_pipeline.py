@@ -1,7 +1,8 @@
 import corpus_pipeline
 import pytest
 from test_classifiers import corpus, labels
-from test_packing_topk_simhash import brute_components, brute_print, valid
+from test_near_copies import jaccard
+from test_packing_topk_simhash import brute_components, valid
 from test_suffixes import brute
 
 from doclog.llm import quality, toxicity
@@ -34,8 +35,7 @@ def test_each_stage_against_brute_force(spark, folder):
             scores = {r.doc_id: r.score for r in toxicity.toxic_scores(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
             assert {r.doc_id for r in out.collect()} == {i for i, s in scores.items() if s < 0.5}
         elif name == "simhash":
-            prints = {i: brute_print(t) for i, t in before.items()}
-            near = brute_components(sorted(before), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+            near = brute_components(sorted(before), lambda a, b: jaccard(before[a], before[b]) >= 0.8)
             assert {r.doc_id for r in out.collect()} == set(near.values())
         elif name == "suffixes":
             ids = sorted(before)
