@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 #: Types whose content is text.
 TEXT_TYPES = ("text/markdown", "text/plain", "text/x-markdown")
-#: Links in plain text, with bounded repeats: scheme:, wwwN. or host.tld/ and a run of at most 2000 characters.
+#: What a link in plain text is, so that texts give the links that they gave elsewhere; the repeats are bounded here:
+#: scheme:, wwwN. or host.tld/ and a run of at most 2000 characters, and what no link ends with.
 LINK = r"(?i)(?:[a-z][a-z0-9_-]{1,62}:(?:/{1,3}|[a-z0-9%])|www[0-9]{0,3}[.]|[a-z0-9.-]{1,253}[.][a-z]{2,4}/)[^\s()<>]{1,2000}+(?:\([^\s()<>]{0,500}\)[^\s()<>]{0,500}+)*+"
 LINK_END = "[`!\\[\\]{};:'\".,?«»“”‘’]+$"
 TEXT_LIMIT = 1 << 20
@@ -26,6 +27,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), SEPARATORS), lambda t: t != "")
 
 
+def split_tokens(text: str) -> list[str]:
+    """The same as tokens(), of a plain string."""
+    return [t for t in re.split(SEPARATORS, text.translate(str.maketrans(UPPER, LOWER))) if t]
+
+
 def first_token(text: Column) -> Column:
     return F.get(tokens(text), F.lit(0))
 
@@ -110,25 +116,45 @@ def embeds_in_markdown(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(r"!\[[^\]\n]{0,500}\]\(\s{0,5}<?([^\s)<>]{1,2000})>?[^)\n]{0,200}\)"), 1))
 
 
-def hashtags(body: Column) -> Column:
-    found = F.regexp_extract_all(body, F.lit(r"(?:^|[\s(])#([0-9A-Za-z_-]{3,})\b"), 1)
-    return F.array_distinct(F.filter(found, lambda x: ~x.rlike("^[0-9]*$")))
+#: Characters of a tag, and the fewest of them; the longest title; the fewest characters of a keyword and what its line starts with.
+TAG, LEAST_TAG, TITLE = "0-9A-Za-z_-", 3, 40
+KEYWORD_LINE, LEAST_KEYWORD = "Keywords: ", 3
+#: A calendar date with one or two dashes after the year.
+DATE = "[0-9]{4}--?[0-9]{2}-[0-9]{2}"
+
+
+def lines_of(body: Column) -> Column:
+    return F.split(body, "\r\n|\r|\n")
+
 
+def hashtags(body: Column, least: int = LEAST_TAG) -> Column:
+    """Tags of words that start with #, after white space or an opening bracket; numbers are none."""
+    words = F.filter(F.split(body, r"[\s(]"), lambda w: w.startswith("#"))
+    tags = F.transform(words, lambda w: F.rtrim(F.regexp_extract(w, f"^#([{TAG}]*)", 1), F.lit("-")))
+    return F.array_distinct(F.filter(tags, lambda t: (F.length(t) >= least) & t.rlike("[^0-9]")))
 
-def keywords(body: Column) -> Column:
-    lines = F.regexp_extract_all(body, F.lit(r"\bKeywords: ([^\r\n]*)\b"), 1)
-    items = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit("([^,]{3,})(?:, )?"), 1)))
-    return F.array_distinct(items)
 
+def keywords(body: Column, label: str = KEYWORD_LINE, least: int = LEAST_KEYWORD) -> Column:
+    """Items of the lists behind a label, parted by commas, short ones left out; a blank belongs to the comma behind an item that counts."""
+    lists = F.filter(F.transform(lines_of(body), lambda x: F.rtrim(F.regexp_extract(x, rf"\b{label}(.*)", 1))), lambda x: x != "")
+    found = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(f"([^,]{{{least},}})(?:, )?"), 1)))
+    return F.array_distinct(found)
 
-def topic(body: Column) -> Column:
-    """The first line, where a blank line follows and it reads like a title; cut at a date."""
-    line = F.regexp_extract(body, r"^([^\r\n]+)(?:\r\n|\r|\n){2}", 1)
-    date = r"\b[0-9]{4}--?[0-9]{2}-[0-9]{2,3}\b"
-    at = F.regexp_instr(line, F.lit(date))
-    no = (line == "") | line.rlike(r"^(>|#|\\#)") | line.rlike(r"[.?!:]$") | line.rlike(r"^[0-9A-Za-z_][0-9A-Za-z_-]*:\S")
-    cut = F.when(at > 1, F.trim(F.substring(line, F.lit(1), at - 1)))
-    return F.when(~no, F.when(at > 0, cut).when(F.length(line) <= 40, F.trim(line)))
+
+def topic(body: Column, longest: int = TITLE) -> Column:
+    """The first line as a title: a blank line follows it, it is no quotation, heading, sentence or labelled value, and short enough.
+
+    What stands before a date is the title however long; a line that starts with its date has none.
+    """
+    lines = lines_of(body)
+    line = F.when((F.size(lines) > 2) & (F.get(lines, F.lit(1)) == ""), F.get(lines, F.lit(0)))
+    ends = F.right(line, F.lit(1)).isin(".", "?", "!", ":")
+    marked = F.left(line, F.lit(1)).isin(">", "#") | F.startswith(line, F.lit("\\#"))
+    label = F.regexp_extract(line, r"^([^:]*):\S", 1)
+    labelled = label.rlike(f"^[0-9A-Za-z_][{TAG}]*$")
+    dated = F.split(line, rf"\b{DATE}[0-9]?\b", 2)
+    title = F.when(F.size(dated) > 1, F.get(dated, F.lit(0))).when(F.length(line) <= longest, line)
+    return F.when(~ends & ~marked & ~labelled, F.nullif(F.trim(title), F.lit("")))
 
 
 def iso_time(when: Column) -> Column:
@@ -136,41 +162,78 @@ def iso_time(when: Column) -> Column:
 
 
 def dates(body: Column) -> Column:
-    """Dates and times of a text as ISO instants in UTC, in order; impossible ones are left out."""
-    pattern = r"(?i)\b([0-9]{4})--?([0-9]{2})-([0-9]{2})(?: ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?: ?(AM|PM))?)?"
+    """Dates of a text, with the time of day behind them if there is one, as ISO instants in UTC; impossible ones are left out."""
+    clock = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?: ?([AaPp])[Mm])?"
+    found = F.regexp_extract_all(body, F.lit(rf"\b{DATE}(?: {clock})?"), 0)
 
     def instant(x: Column) -> Column:
-        part = lambda n: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(x, pattern, n), F.lit("")), F.lit("9999")).cast("int"), F.lit(0))
-        half = F.upper(F.regexp_extract(x, pattern, 7))
-        hour = F.when(half != "", part(4) % 12).otherwise(part(4)) + F.when(half == "PM", 12).otherwise(0)
-        return iso_time(F.try_make_timestamp(part(1), part(2), part(3), hour, part(5), part(6).cast("decimal(8,6)")))
+        part = lambda n: F.coalesce(F.nullif(F.regexp_extract(x, clock, n), F.lit("")).cast("int"), F.lit(0))
+        half = F.upper(F.regexp_extract(x, clock, 4))
+        hour = F.when(half == "", part(1)).otherwise(part(1) % 12 + F.when(half == "P", 12).otherwise(0))
+        day = F.split(F.replace(F.regexp_extract(x, f"^{DATE}", 0), F.lit("--"), F.lit("-")), "-")
+        number = lambda n: F.get(day, F.lit(n)).cast("int")
+        return iso_time(F.try_make_timestamp(number(0), number(1), number(2), hour, part(2), part(3).cast("decimal(8,6)")))
 
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(body, F.lit(pattern), 0), instant), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(found, instant), lambda x: x.isNotNull()))
 
 
-def phones(body: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?:\b(?:1-)?[0-9]{3}-|\([0-9]{3}\) )[0-9]{3}-[0-9]{4}\b"), 0))
+def phones(body: Column, groups: tuple[int, int, int] = (3, 3, 4), country: str = "1-") -> Column:
+    """Numbers of three groups of digits joined by dashes, the first in brackets or behind the country's digit and a dash."""
+    area, middle, last = (f"[0-9]{{{n}}}" for n in groups)
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?:\({area}\) |\b(?:{country})?{area}-){middle}-{last}\b"), 0))
 
 
-def tag_edits(body: Column) -> Column:
+def tag_edits(body: Column, least: int = LEAST_TAG) -> Column:
     """struct(target, tags) of a file that only adds or removes tags of another; removals are ignored."""
-    whole = r"^(hash:\S+)[\r\n]+(?:[+-] #[0-9A-Za-z_-]{3,}[\r\n]*)+$"
-    added = F.regexp_extract_all(body, F.lit(r"\+ #([0-9A-Za-z_-]{3,})\b"), 1)
-    return F.when(body.rlike(whole), F.struct(F.regexp_extract(body, r"^(hash:\S+)", 1).alias("target"), F.array_distinct(added).alias("tags")))
+    lines = F.filter(lines_of(body), lambda x: x != "")
+    target, edits = F.get(lines, F.lit(0)), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    good = (F.size(edits) > 0) & target.rlike(r"^hash:\S+$") & F.forall(edits, lambda x: x.rlike(f"^[+-] #[{TAG}]{{{least},}}$"))
+    tags = F.transform(F.filter(edits, lambda x: x.startswith("+")), lambda x: F.rtrim(F.substring(x, 4, 1 << 20), F.lit("-")))
+    return F.when(good, F.struct(target.alias("target"), F.array_distinct(tags).alias("tags")))
+
+
+def classify_visibility(rows: DataFrame, topics: DataFrame, tags: DataFrame, allowed: DataFrame, blocked: DataFrame, private: tuple[str, ...] = ("private",), body: str = "body", uri: str = "uri") -> DataFrame:
+    """`rows` with a column public: its topic, a tag of it or its address is listed, and nothing in it is private.
+
+    The lists are tables: topics(topic), tags(tag), allowed(uri) and blocked(uri); they may be of any size. `private` are tags and
+    keywords that, like a phone number, keep a text private.
+    """
+    column = F.col(body)
+    none = F.array().cast("array<string>")
+    told = rows.withColumn("row_", F.monotonically_increasing_id()).withColumn("topic_", topic(column)).withColumn("tags_", F.coalesce(hashtags(column), none))
+    secret = F.exists("tags_", lambda t: t.isin(*private)) | F.exists(F.coalesce(keywords(column), none), lambda t: t.isin(*private)) | (F.size(F.coalesce(phones(column), none)) > 0)
+    told = told.withColumn("secret_", secret)
+    listed = lambda df, name, to: df.select(F.col(name).alias(to)).distinct().withColumn(f"in_{to}", F.lit(True))
+    tagged = told.select("row_", F.explode("tags_").alias("tag_")).join(listed(tags, "tag", "tag_"), "tag_", "left_semi").select("row_").distinct().withColumn("tagged_", F.lit(True))
+    found = told.join(listed(topics, "topic", "topic_"), "topic_", "left").join(tagged, "row_", "left")
+    found = found.join(listed(allowed, "uri", uri), uri, "left").withColumnRenamed(f"in_{uri}", "allowed_").join(listed(blocked, "uri", uri), uri, "left").withColumnRenamed(f"in_{uri}", "blocked_")
+    public = (F.col("in_topic_").isNotNull() | F.col("tagged_").isNotNull() | F.col("allowed_").isNotNull()) & ~F.col("secret_") & F.col("blocked_").isNull()
+    return found.withColumn("public", public).select(*rows.columns, "public")
 
 
 def escape_html(text: Column) -> Column:
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
 
-def render_plain(body: Column) -> Column:
-    """A plain text as escaped HTML with its links marked; addresses become queries, with the raw address beside them."""
-    safe = escape_html(body)
-    linked = F.regexp_replace(safe, r"(?i)\b((?:https?|ftp)://[^\s()<>&]{1,2000})", '<a rel="nofollow" href="$1">$1</a>')
-    addressed = F.regexp_replace(linked, r"\b(hash://[0-9A-Za-z.-]{1,60}/[0-9A-Za-z]{1,200})", '<a href="?q=$1">$1</a><sup>[<a href="$1">#</a>]</sup>')
-    return F.concat(F.lit("<pre>"), addressed, F.lit("</pre>"))
+def render_plain(body: Column, note: str = "hash address") -> Column:
+    """A plain text as escaped HTML with its links (those of links_in_text) marked; hash addresses become queries, with the raw one beside them."""
+
+    def marked(x: Column) -> Column:
+        safe = escape_html(x)
+        asked = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+        hashed = F.concat(F.lit('<a href="?q='), asked, F.lit('">'), safe, F.lit('</a><sup>[<a href="'), safe, F.lit(f'" title="{note}">#</a>]</sup>'))
+        return F.when(F.lower(F.substring(x, 1, 5)) == "hash:", hashed).otherwise(F.concat(F.lit('<a href="'), safe, F.lit('">'), safe, F.lit("</a>")))
+
+    def linked(x: Column) -> Column:
+        link = F.regexp_replace(x, LINK_END, "")
+        return F.when(link == "", escape_html(x)).otherwise(F.concat(marked(link), escape_html(F.right(x, F.length(x) - F.length(link)))))
+
+    # texts and links by turns
+    texts, links = F.split(body, LINK, -1), F.regexp_extract_all(body, F.lit(LINK), 0)
+    parts = F.zip_with(texts, links, lambda t, x: F.concat(escape_html(t), F.coalesce(linked(x), F.lit(""))))
+    return F.concat(F.lit("<pre>"), F.array_join(parts, ""), F.lit("</pre>"))
 
 
 def human_size(size: Column) -> Column:

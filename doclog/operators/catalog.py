@@ -23,17 +23,19 @@ class Catalog:
     metafiles: DataFrame
     metadata: DataFrame
     postings: DataFrame
+    #: postings under stems, where the log has them
+    stems: DataFrame | None = None
 
     def targets(self) -> DataFrame:
         """meta_file_id, file_id: every file that a meta-file's target address stands for."""
         return self.metafiles.join(self.uris, F.col("target_uri") == F.col("uri")).select("meta_file_id", "file_id")
 
 
-def ingest(blobs: DataFrame, algorithms: dict = ALGORITHMS) -> DataFrame:
-    """seq, hash, type, size and addresses of non-empty blobs (seq, content, type); content stays in the scan stage."""
+def ingest(blobs: DataFrame, algorithms: dict = ALGORITHMS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """seq, hash, type, size and addresses of non-empty blobs (seq, content, type), and the columns to keep; content stays in the scan stage."""
     content = F.col("content").cast("binary")
     good = blobs.filter(F.octet_length(content) > 0)
-    return good.select("seq", internal_hash(content).alias("hash"), "type", F.octet_length(content).cast("long").alias("size"), hash_uris(content, algorithms).alias("addresses"))
+    return good.select("seq", internal_hash(content).alias("hash"), "type", F.octet_length(content).cast("long").alias("size"), hash_uris(content, algorithms).alias("addresses"), *keep)
 
 
 def dedup_files(ingested: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, first_token, tokens
+from ..functions.text import ascii_lower, first_token, porter_stem, split_tokens
 from .catalog import Catalog, synonyms
 
 
 def _itself(rows: DataFrame, name: str = "file_id") -> DataFrame:
-    return rows.select(F.col(name).alias("sort_id"), F.col(name).alias("file_id")).distinct()
+    """Rows of tables that hold a file once at most."""
+    return rows.select(F.col(name).alias("sort_id"), F.col(name).alias("file_id"))
 
 
 def _earliest(c: Catalog, metas: DataFrame) -> DataFrame:
@@ -45,21 +46,26 @@ def by_type(c: Catalog, kind: str) -> DataFrame:
 
 
 def fulltext(c: Catalog, text: str) -> DataFrame:
-    """Files with a meta-file that holds the first token of `text`; later tokens are ignored, none is an error."""
-    term = c.files.sparkSession.range(1).select(first_token(F.lit(text)).alias("t")).first()[0]
-    if term is None:
+    """Files with a meta-file that holds the first token of `text`; later tokens are ignored, none is an error.
+
+    A log with stems is searched for the token's stem, another one for the token.
+    """
+    words = split_tokens(text)
+    if not words:
         raise ValueError(f"no token in {text!r}")
-    return _earliest(c, c.postings.filter(F.col("term") == term).select("meta_file_id"))
+    if c.stems is None:
+        return _earliest(c, c.postings.filter(F.col("term") == words[0]).select("meta_file_id"))
+    return _earliest(c, c.stems.filter(F.col("term") == porter_stem(words[0])).select("meta_file_id"))
 
 
 def phrase(c: Catalog, places: DataFrame, text: str) -> DataFrame:
     """Files with a meta-file that holds all tokens of `text` in a row; `places` has meta_file_id, position and term."""
-    words = c.files.sparkSession.range(1).select(tokens(F.lit(text)).alias("t")).first()[0]
+    words = split_tokens(text)
     if not words:
         raise ValueError(f"no token in {text!r}")
     parts = [places.filter(F.col("term") == w).select("meta_file_id", (F.col("position") - k).alias("at"), F.lit(k).alias("k")) for k, w in enumerate(words)]
     found = reduce(DataFrame.union, parts).groupBy("meta_file_id", "at").agg(F.count_distinct("k").alias("n")).filter(F.col("n") == len(words))
-    return _earliest(c, found.select("meta_file_id").distinct())
+    return _earliest(c, found.select("meta_file_id"))
 
 
 def metadata(c: Catalog, field: str, value: str, ignore_case: bool = False) -> DataFrame:
@@ -67,13 +73,13 @@ def metadata(c: Catalog, field: str, value: str, ignore_case: bool = False) -> D
         same = (ascii_lower(F.col("field")) == field.lower()) & (ascii_lower(F.col("value")) == value.lower())
     else:
         same = (F.col("field") == field) & (F.col("value") == value)
-    return _earliest(c, c.metadata.filter(same).select("meta_file_id").distinct())
+    return _earliest(c, c.metadata.filter(same).select("meta_file_id"))
 
 
 def links_to(c: Catalog, uri: str) -> DataFrame:
     """Files with a link to any address of the file that `uri` stands for: at most the addresses of one file."""
     wanted = synonyms(c.uris, c.files.sparkSession.range(1).select(F.lit(uri).alias("uri"))).select(F.col("synonym").alias("value"))
-    return _earliest(c, c.metadata.filter("field = 'link'").join(wanted, "value", "left_semi").select("meta_file_id").distinct())
+    return _earliest(c, c.metadata.filter("field = 'link'").join(wanted, "value", "left_semi").select("meta_file_id"))
 
 
 def linked_from(c: Catalog, uri: str) -> DataFrame:
@@ -111,13 +117,28 @@ def many_queries(c: Catalog, clauses: DataFrame) -> DataFrame:
 
     clauses: query_id, group_id, kind ('metadata' or 'fulltext'), field, value, negated. A negated group removes files that any
     of its clauses had matched at or before the position of the rest; a query of negated groups alone gives nothing.
+
+    Each distinct clause is looked up once, whatever the number of queries that share it. A query starts from the positive group with
+    the fewest matches; its other groups meet only the files that are left.
     """
-    meta = clauses.filter("kind = 'metadata'").join(c.metadata, ["field", "value"]).select("query_id", "group_id", "negated", "meta_file_id")
-    words = clauses.filter("kind = 'fulltext'").withColumn("term", first_token(F.col("value")))
-    full = words.join(c.postings, "term").select("query_id", "group_id", "negated", "meta_file_id")
-    hits = meta.union(full).join(c.targets(), "meta_file_id").groupBy("query_id", "group_id", "negated", "file_id").agg(F.min("meta_file_id").alias("age"))
-    needed = clauses.filter("not negated").groupBy("query_id").agg(F.count_distinct("group_id").alias("needed"))
+    word = F.when(F.col("kind") == "fulltext", F.coalesce(first_token(F.col("value")), F.lit(""))).otherwise(F.col("value"))
+    asked = clauses.select("query_id", "group_id", "kind", F.when(F.col("kind") == "metadata", F.col("field")).otherwise("").alias("field"), word.alias("value"), "negated")
+    wanted = asked.select("kind", "field", "value").distinct()
+    meta = wanted.filter("kind = 'metadata'").join(c.metadata, ["field", "value"]).select("kind", "field", "value", "meta_file_id")
+    full = wanted.filter("kind = 'fulltext'").join(c.postings.select(F.col("term").alias("value"), "meta_file_id"), "value").select("kind", "field", "value", "meta_file_id")
+    own = ["kind", "field", "value"]
+    ages = meta.union(full).join(c.targets(), "meta_file_id").groupBy(*own, "file_id").agg(F.min("meta_file_id").alias("age"))
+    sizes = ages.groupBy(*own).agg(F.count("*").alias("files"))
+    groups = asked.join(sizes, own, "left").groupBy("query_id", "group_id", "negated").agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+    plans = groups.groupBy("query_id").agg(F.min(F.when(~F.col("negated"), F.struct("files", "group_id"))).alias("rarest"), F.count_if(~F.col("negated")).alias("needed"), F.count_if(~F.col("negated") & (F.col("files") == 0)).alias("empty"))
+    live = asked.join(plans.filter("rarest is not null and empty = 0").select("query_id", "rarest.group_id", "needed").withColumnRenamed("group_id", "first"), "query_id")
+    seeds = live.filter("group_id = first").join(ages, own).groupBy("query_id", "needed", "file_id").agg(F.min("age").alias("age"))
+    rest = live.filter("group_id <> first").select("query_id", "group_id", "negated", *own)
+    # files of the rarest group meet the query's other clauses, and those the clauses' ages by file: no clause meets all its files
+    met = seeds.select("query_id", "file_id").join(rest, "query_id").join(ages, [*own, "file_id"])
+    hits = met.groupBy("query_id", "file_id", "group_id", "negated").agg(F.min("age").alias("age"))
     plus = ~F.col("negated")
-    each = hits.groupBy("query_id", "file_id").agg(F.count_if(plus).alias("n"), F.max(F.when(plus, F.col("age"))).alias("sort_id"), F.min(F.when(~plus, F.col("age"))).alias("gone_at"))
-    good = each.join(needed, "query_id").filter("n = needed and (gone_at is null or gone_at > sort_id)")
+    each = hits.groupBy("query_id", "file_id").agg(F.count_if(plus).alias("n"), F.max(F.when(plus, F.col("age"))).alias("latest"), F.min(F.when(~plus, F.col("age"))).alias("gone_at"))
+    found = seeds.join(each, ["query_id", "file_id"], "left").withColumn("sort_id", F.greatest("age", F.coalesce("latest", "age")))
+    good = found.filter("coalesce(n, 0) = needed - 1 and (gone_at is null or gone_at > sort_id)")
     return good.select("query_id", "sort_id", "file_id")

@@ -53,7 +53,7 @@ def _scan_prefix(body: str) -> list[dict]:
 
 def over_limit_pairs(body: Column) -> Column:
     def scan(bodies: pd.Series) -> pd.Series:
-        return bodies.map(_scan_prefix)
+        return bodies.map(lambda b: None if b is None else _scan_prefix(b))
 
     return F.pandas_udf(scan, "array<struct<field: string, value: string>>")(body)
 
@@ -61,26 +61,32 @@ def over_limit_pairs(body: Column) -> Column:
 def flatten_meta(metas: DataFrame) -> DataFrame:
     """`metas` with fields: array of struct(field, value), or null where the body is rejected.
 
-    Top-level keys with a string, or with each key of their map; deeper levels are ignored. Numbers, booleans, nulls and arrays
-    at any depth reject the meta-file, and so do repeated keys and unclosed bodies, unless the content is over 1 MiB: then the
-    pairs complete before the cut count.
+    Top-level keys with a string, or with each key of their map; deeper levels are ignored, repeated keys all count. Numbers,
+    booleans, nulls and arrays at any depth reject the meta-file, and so do unclosed bodies, unless the content is over 1 MiB: then
+    the pairs complete before the cut count.
     """
-    small = metas.filter(F.octet_length("content") <= META_LIMIT)
-    large = metas.filter(F.octet_length("content") > META_LIMIT)
-    schema = F.schema_of_variant(F.try_parse_json("body"))
-    plain = schema.startswith("OBJECT") & ~schema.rlike(r"BIGINT|DOUBLE|DECIMAL|BOOLEAN|VOID|ARRAY|FLOAT|VARIANT") & ~F.col("body").rlike(r":\s*(null|true|false|\[|-?[0-9])")
-    outer = F.from_json("body", "map<string,string>")
-    inner = lambda v: F.from_json(v, "map<string,string>")
-    raw = F.expr(r"regexp_like(body, ':\\s*\\{')")
-
-    def pairs(key: Column, value: Column) -> Column:
-        nested = F.when(raw & value.startswith("{"), F.map_keys(inner(value)))
-        return F.transform(F.coalesce(nested, F.array(value)), lambda v: F.struct(key.alias("field"), v.alias("value")))
-
-    entries = F.flatten(F.transform(F.map_entries(outer), lambda e: pairs(e["key"], e["value"])))
-    done = small.withColumn("fields", F.when(F.coalesce(plain, F.lit(False)), entries))
-    cut = F.expr(f"decode(substring(cast(content as binary), 1, {META_LIMIT}), 'UTF-8')")
-    return done.unionByName(large.withColumn("fields", over_limit_pairs(F.regexp_replace(cut, r"^[^\r\n]*[\r\n]*", ""))))
+    body, large, strict_json = F.col("body"), F.octet_length("content") > META_LIMIT, {"allowSingleQuotes": "false"}
+    entries = lambda text: F.map_entries(F.from_json(text, "map<string,string>", strict_json))
+    # the body without its strings: braces, colons, commas and a mark for each string; anything else is a value of another type
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\\[\s\S]", ""), r'"[^"]*"', '"'), r"[ \t\r\n]", "")
+    braces = F.filter(F.split(F.regexp_replace("bare", "[^{}]", ""), ""), lambda c: c != "")
+
+    def walk(s: Column, c: Column) -> Column:
+        opens = c == "{"
+        inside = (s.depth > 0) | ~s.begun
+        return F.struct((s.depth + F.when(opens, 1).otherwise(-1)).alias("depth"), (s.maps + F.when(opens & (s.depth == 1), 1).otherwise(0)).alias("maps"), (s.whole & inside).alias("whole"), F.lit(True).alias("begun"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("maps"), F.lit(True).alias("whole"), F.lit(False).alias("begun"))
+    told = metas.withColumn("bare", bare).withColumn("shape", F.aggregate(braces, start, walk)).withColumn("outer", entries(body))
+    whole = F.col("bare").rlike(r'^\{[{}:,"]*\}$') & F.col("shape.whole") & (F.col("shape.depth") == 0) & F.col("outer").isNotNull()
+    # a value that starts with a brace is a map, unless some strings do as well: the scan tells those bodies' strings and maps apart
+    braced = F.size(F.filter("outer", lambda e: e.value.startswith("{")))
+    plain = (F.col("shape.maps") == 0) | (F.col("shape.maps") == braced)
+    names = lambda e: F.when((F.col("shape.maps") > 0) & e.value.startswith("{"), F.transform(entries(e.value), lambda n: n.key)).otherwise(F.array(e.value))
+    built = F.flatten(F.transform("outer", lambda e: F.transform(names(e), lambda v: F.struct(e.key.alias("field"), v.alias("value")))))
+    cut_body = F.regexp_replace(F.expr(f"make_valid_utf8(cast(substring(cast(content as binary), 1, {META_LIMIT}) as string))"), r"^[^\r\n]*[\r\n]*", "")
+    scanned = over_limit_pairs(F.when(large, cut_body).when(whole & ~plain, body))
+    return told.withColumn("fields", F.when(large, scanned).when(whole, F.when(plain, built).otherwise(scanned))).drop("bare", "shape", "outer")
 
 
 def add_metadata(rows: DataFrame) -> DataFrame:

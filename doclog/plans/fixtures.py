@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog, dedup_files, ingest, uri_index
-from ..operators.meta import META_TYPES, add_metadata, build_postings, validate_target
+from ..operators.meta import META_TYPES, add_metadata, build_postings, flatten_meta, split_target, stemmed, validate_target
 from ..sources.writers import load_catalog, save_table
 
 MARKDOWN, PLAIN, HTML = "text/markdown; charset=utf-8", "text/plain; charset=utf-8", "text/html; charset=utf-8"
@@ -53,13 +53,18 @@ def metas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meta_content(target: Column, fields: Column) -> Column:
-    body = F.array_join(F.transform(fields, lambda f: F.concat(F.lit('"'), f.field, F.lit('":"'), f.value, F.lit('"'))), ",")
+    safe = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    body = F.array_join(F.transform(fields, lambda f: F.concat(F.lit('"'), f.field, F.lit('":"'), safe(f.value), F.lit('"'))), ",")
     return F.concat(target, F.lit("\n\n{"), body, F.lit("}"))
 
 
 def shared(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"  # a local master is one machine
     return f"{root}/doclog-{uuid.uuid4().hex}"
 
 
@@ -76,24 +81,31 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return load_catalog(spark, _built[key])
 
 
+def staged_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meta-files as the log has them: from their content alone comes what they say, but for the full texts."""
+    made = metas(spark, sf_dir).select("seq", meta_content(F.col("target_uri"), F.col("fields")).alias("content"), F.lit(META_TYPES[0]).alias("type"), "fulltext")
+    return ingest(flatten_meta(split_target(made)), keep=("target_uri", "fields", "fulltext"))
+
+
 def build(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Ingest: hashes are taken in the scan stage, then each table is written from the ones before it."""
-    rows = metas(spark, sf_dir)
-    content = meta_content(F.col("target_uri"), F.col("fields")).alias("content")
-    staged = ingest(blobs(spark, sf_dir).union(rows.select("seq", content, F.lit(META_TYPES[0]).alias("type"))))
-    staged.write.parquet(f"{root}/staged")
-    staged = spark.read.parquet(f"{root}/staged")
+    staged_metas(spark, sf_dir).write.parquet(f"{root}/metas")
+    rows = spark.read.parquet(f"{root}/metas")
+    ingest(blobs(spark, sf_dir)).write.parquet(f"{root}/blobs")
+    blob = spark.read.parquet(f"{root}/blobs")
+    staged = blob.union(rows.select(*blob.columns))
     dedup_files(staged).write.parquet(f"{root}/files")
     files = spark.read.parquet(f"{root}/files")
     save_table(uri_index(staged), root, "uris", ["uri"])
     uris = spark.read.parquet(f"{root}/uris")
     known = files.filter(F.col("type") == META_TYPES[0]).select(F.col("file_id").alias("meta_file_id"))
-    kept = rows.withColumnRenamed("seq", "meta_file_id").join(known, "meta_file_id", "left_semi")
+    kept = rows.select(F.col("seq").alias("meta_file_id"), "target_uri", "fields", "fulltext").join(known, "meta_file_id", "left_semi")
     save_table(validate_target(kept.select("meta_file_id", "target_uri"), uris, known), root, "metafiles", ["target_uri"])
     metafiles = spark.read.parquet(f"{root}/metafiles")
     valid = kept.join(metafiles.select("meta_file_id"), "meta_file_id", "left_semi")
     save_table(add_metadata(valid), root, "metadata", ["field", "value"])
     save_table(build_postings(valid.filter("fulltext is not null")), root, "postings", ["term"])
+    save_table(stemmed(spark.read.parquet(f"{root}/postings")), root, "stems", ["term"])
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +137,7 @@ blob AS (
   UNION ALL SELECT 3000000000 + 10 * a.doc_id, a.uri, [{'field': 'link', 'value': left(b.uri, 38)}], NULL FROM d a JOIN d b ON b.doc_id = a.doc_id // 2 WHERE a.doc_id % 5 = 0
   UNION ALL SELECT 4000000000 + event_id, uri, [{'field': 'event', 'value': event_type}, {'field': 'user', 'value': CAST(user_id AS VARCHAR)}], NULL FROM events JOIN d ON d.doc_id = event_id % 200
 ), meta AS (
-  SELECT *, target || chr(10) || chr(10) || '{' || array_to_string(list_transform(fields, lambda f: '"' || f.field || '":"' || f.value || '"'), ',') || '}' AS content FROM meta0
+  SELECT *, target || chr(10) || chr(10) || '{' || array_to_string(list_transform(fields, lambda f: '"' || f.field || '":"' || replace(replace(f.value, '\\', '\\\\'), '"', '\\"') || '"'), ',') || '}' AS content FROM meta0
 ), raw AS (
   SELECT seq, sha256(content) AS hash, sha1(content) AS hash1, type, strlen(content) AS size FROM blob WHERE content <> ''
   UNION ALL SELECT seq, sha256(content), sha1(content), 'application/vnd.doclog.meta', strlen(content) FROM meta

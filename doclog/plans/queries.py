@@ -12,6 +12,7 @@ from ..operators import analytics, audit, filters, meta, results, sync
 from ..operators import catalog as files_of
 from ..sources import readers, writers
 from ..streaming import tail as tails
+from ..streaming.ingest import LOG_TABLES
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,13 +91,28 @@ def provenance(spark, d):
 # Meta-files
 
 
-@query("SELECT seq AS meta_file_id, f.field AS field, f.value AS value FROM (SELECT seq, unnest(fields) AS f FROM meta0 WHERE seq < 2000000000)")
+@query("SELECT seq AS meta_file_id, f.field AS field, f.value AS value FROM (SELECT seq, unnest(fields) AS f FROM meta0)")
 def meta_flatten(spark, d):
-    rows = fx.metas(spark, d).filter("seq < 2000000000").withColumn("content", fx.meta_content(F.col("target_uri"), F.col("fields")))
+    rows = fx.metas(spark, d).withColumn("content", fx.meta_content(F.col("target_uri"), F.col("fields")))
     found = meta.flatten_meta(meta.split_target(rows.select(F.col("seq").alias("meta_file_id"), "content")))
     return found.select("meta_file_id", F.explode("fields").alias("f")).select("meta_file_id", "f.*")
 
 
+@query("SELECT file_id, hash FROM files WHERE type = 'application/vnd.doclog.meta'")
+def select_meta(spark, d):
+    return meta.select_meta(fx.catalog(spark, d).files.withColumn("type", F.upper("type"))).select("file_id", "hash")
+
+
+@query("SELECT item_id, u.field AS field, u.value AS value FROM (SELECT item_id, unnest([{'field': 'title', 'value': 'item ' || item_id}, {'field': 'tag', 'value': 'long'}]) AS u FROM benchmark)", log=False)
+def cap_meta(spark, d):
+    """Meta-files whose full text, the item's over and over, runs past the limit: what stands complete before the cut counts."""
+    head = F.concat(F.lit('hash://sha256/ab\n\n{"title":"item '), F.col("item_id").cast("string"), F.lit('","tag":{"long":{}},"fulltext":"'))
+    plain = F.concat(F.regexp_replace("text", r'["\\\x00-\x1f]', " "), F.lit(" é "))
+    long = F.concat(head, F.expr("repeat(t, cast(1100000 div octet_length(t) + 1 as int))"))
+    found = meta.flatten_meta(meta.split_target(fx.table(spark, d, "benchmark").withColumn("t", plain).select("item_id", long.alias("content"))))
+    return found.select("item_id", F.explode("fields").alias("f")).select("item_id", "f.*")
+
+
 @query("SELECT meta_file_id, target_uri FROM metafiles")
 def meta_validate(spark, d):
     return fx.catalog(spark, d).metafiles
@@ -173,17 +189,56 @@ def phones(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.explode(text.phones(F.col("text"))).alias("phone"))
 
 
-@query("SELECT doc_id, lang = 'fr' AND NOT regexp_matches(text, '(?:\\b(?:1-)?[0-9]{3}-|\\([0-9]{3}\\) )[0-9]{3}-[0-9]{4}\\b') AS public FROM documents", log=False)
+@query("""SELECT doc_id, (lang = 'fr' AND source IN (SELECT min(source) FROM documents) OR source IN (SELECT max(source) FROM documents) OR doc_id % 10 = 1) AND lang <> 'es' AND doc_id % 10 <> 2
+AND NOT regexp_matches(text, '(?:\\b(?:1-)?[0-9]{3}-|\\([0-9]{3}\\) )[0-9]{3}-[0-9]{4}\\b') AS public FROM documents""", log=False)
 def visibility(spark, d):
-    rows = fx.annotated(spark, d)
-    body = F.col("body")
-    return rows.select("doc_id", (F.exists(text.hashtags(body), lambda t: F.startswith(t, F.lit("fr_"))) & ~F.exists(text.keywords(body), lambda k: k == "private") & (F.size(text.phones(body)) == 0)).alias("public"))
+    """Topics, tags and addresses come from tables; a language's keyword keeps a text private."""
+    docs = fx.table(spark, d, "documents")
+    rows = fx.annotated(spark, d).withColumn("uri", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    ends = docs.agg(F.min("source").alias("low"), F.max("source").alias("high"))
+    topics = ends.select(F.concat(F.lit("Topic "), "high").alias("topic"))
+    tags = ends.select(F.concat(F.lit("fr_"), "low").alias("tag"))
+    listed = lambda rest: docs.filter(F.col("doc_id") % 10 == rest).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uri"))
+    return text.classify_visibility(rows, topics, tags, listed(1), listed(2), private=("private", "esuage")).select("doc_id", "public")
 
 
 @query("SELECT doc_id, 'http://example.com/d/' || doc_id AS link FROM documents", log=False)
 def links_text(spark, d):
-    links = F.filter(text.links_in_text(F.col("body")), lambda x: F.startswith(x, F.lit("http://example.com/d/")))
-    return fx.annotated(spark, d).select("doc_id", F.explode(links).alias("link"))
+    return fx.annotated(spark, d).select("doc_id", F.explode(text.links_in_text(F.col("body"))).alias("link"))
+
+
+MARKED = "'![pic](img/' || doc_id || '.png) [see](http://example.com/m/' || doc_id || ') <http://example.com/a/' || doc_id || '>' || chr(10) || '[ref]: http://example.com/r/' || doc_id || chr(10) || chr(10)"
+
+
+def marked(spark, d):
+    """doc_id and a Markdown body: an image, an inline link, a bracketed one, a reference, and the text."""
+    n = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("![pic](img/"), n, F.lit(".png) [see](http://example.com/m/"), n, F.lit(") <http://example.com/a/"), n, F.lit(">\n[ref]: http://example.com/r/"), n, F.lit("\n\n"))
+    return fx.table(spark, d, "documents").select("doc_id", F.concat(head, "text").alias("body"))
+
+
+@query("SELECT doc_id, 'http://example.com/' || unnest(['m', 'a', 'r']) || '/' || doc_id AS link FROM documents", log=False)
+def links_markdown(spark, d):
+    return marked(spark, d).select("doc_id", F.explode(text.links_in_markdown(F.col("body"))).alias("link"))
+
+
+@query("SELECT doc_id, 'img/' || doc_id || '.png' AS embed FROM documents", log=False)
+def embeds_markdown(spark, d):
+    return marked(spark, d).select("doc_id", F.explode(text.embeds_in_markdown(F.col("body"))).alias("embed"))
+
+
+@query("SELECT file_id, type LIKE 'text/markdown%' OR type LIKE 'text/plain%' AS is_text FROM files")
+def text_types(spark, d):
+    return fx.catalog(spark, d).files.select("file_id", text.is_text_type(F.col("type")).alias("is_text"))
+
+
+@query("SELECT doc_id, 'hash://sha256/' || sha256(text) AS target, unnest([lang || '_tag', source || '_tag']) AS tag FROM documents WHERE doc_id % 3 <> 0", log=False)
+def tag_edits(spark, d):
+    """Edits of each document's tags; every third is a text with more lines, which is no edit."""
+    tag = lambda sign, name: F.concat(F.lit(f"\n{sign} #"), name, F.lit("_tag"))
+    edits = F.concat("doc_uri", tag("+", F.col("lang")), tag("-", F.lit("old")), tag("+", F.col("source")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n"), "text", F.lit("\nend"))).otherwise(F.lit("\n")))
+    found = fx.doc_uris(spark, d).select("doc_id", text.tag_edits(edits).alias("e")).filter("e is not null")
+    return found.select("doc_id", "e.target", F.explode("e.tags").alias("tag"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages", log=False)
@@ -191,17 +246,38 @@ def links_pages(spark, d):
     return fx.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(fx.HREF), 1)).alias("link"))
 
 
-@query("SELECT uri, count(*) AS n FROM (SELECT DISTINCT uri, text, doc_id % 4 = 0 AS m FROM d) GROUP BY uri")
+FULLTEXT_SQL = f"""SELECT uri AS target_uri, f.field AS field, sha256(f.value) AS value_sha256 FROM (
+SELECT uri, unnest(list_concat([{{'field': 'fulltext', 'value': body}}, {{'field': 'link', 'value': 'http://example.com/a/' || doc_id}}, {{'field': 'link', 'value': 'http://example.com/m/' || doc_id}}, {{'field': 'link', 'value': 'http://example.com/r/' || doc_id}}],
+CASE WHEN doc_id % 4 = 0 THEN [{{'field': 'embed', 'value': 'img/' || doc_id || '.png'}}] ELSE [] END)) AS f
+FROM (SELECT doc_id, {MARKED} || text AS body, 'doc:' || doc_id AS uri FROM documents))"""
+
+
+@query(FULLTEXT_SQL, log=False)
 def fulltext_meta(spark, d):
-    docs = fx.doc_uris(spark, d).select(F.col("doc_uri").alias("uri"), F.col("text").alias("content"), F.when(F.col("doc_id") % 4 == 0, fx.MARKDOWN).otherwise(fx.PLAIN).alias("type")).distinct()
-    made = writers.fulltext_meta(docs).select(F.col("target_uri").alias("uri"), F.explode("fields").alias("f")).filter("f.field = 'fulltext'")
-    return made.groupBy("uri").agg(F.count("*").alias("n"))
+    """Everything that the converters give for Markdown (every fourth document) and plain texts."""
+    kind = F.when(F.col("doc_id") % 4 == 0, fx.MARKDOWN).otherwise(fx.PLAIN)
+    docs = marked(spark, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uri"), F.col("body").alias("content"), kind.alias("type"))
+    return writers.fulltext_meta(docs).select("target_uri", F.explode("fields").alias("f")).select("target_uri", "f.field", F.sha2("f.value", 256).alias("value_sha256"))
+
+
+@query(FULLTEXT_SQL, log=False)
+def reprocess(spark, d):
+    """The same, written by the job that runs extraction over files once more, and read back."""
+    path = shared(spark)
+    kind = F.when(F.col("doc_id") % 4 == 0, fx.MARKDOWN).otherwise(fx.PLAIN)
+    writers.reprocess(marked(spark, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uri"), F.col("body").alias("content"), kind.alias("type")), path)
+    return spark.read.parquet(path).select("target_uri", F.explode("fields").alias("f")).select("target_uri", "f.field", F.sha2("f.value", 256).alias("value_sha256"))
+
 
+ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
-@query("""SELECT doc_id, length(html) AS n FROM (SELECT doc_id, '<pre>' || replace(replace(replace(replace(replace('t:' || source || '<&>"''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '</pre>' AS html FROM documents)""", log=False)
+
+@query(f"""SELECT doc_id, sha256('<pre>' || {ESCAPED.format("text || chr(10) || 'see '")} || '<a href="http://example.com/d/' || doc_id || '">http://example.com/d/' || doc_id || '</a>. <a href="?q=hash%3A%2F%2Fsha256%2F' || sha256(text) || '">hash://sha256/' || sha256(text) || '</a><sup>[<a href="hash://sha256/' || sha256(text) || '" title="hash address">#</a>]</sup></pre>') AS html_sha256 FROM documents""", log=False)
 def render_plain(spark, d):
-    body = F.concat(F.lit("t:"), "source", F.lit("<&>\"'"))
-    return fx.table(spark, d, "documents").select("doc_id", F.length(text.render_plain(body)).cast("long").alias("n"))
+    """Each whole text with a link and its hash address behind it."""
+    docs = fx.doc_uris(spark, d)
+    body = F.concat("text", F.lit("\nsee http://example.com/d/"), F.col("doc_id").cast("string"), F.lit(". "), "doc_uri")
+    return docs.select("doc_id", F.sha2(text.render_plain(body), 256).alias("html_sha256"))
 
 
 # Filters
@@ -232,8 +308,9 @@ def f_target(spark, d):
     return filters.by_target(fx.catalog(spark, d), doc_uri(spark, d, 5))
 
 
-@query("SELECT min(meta_file_id) AS sort_id, file_id FROM postings JOIN targets USING (meta_file_id) WHERE term = 'the' GROUP BY file_id")
+@query("SELECT min(meta_file_id) AS sort_id, file_id FROM postings JOIN targets USING (meta_file_id) WHERE term IN ('the', 'thes', 'theing') GROUP BY file_id")
 def f_fulltext(spark, d):
+    """By the stem of the first token: the SQL names all forms with it."""
     return filters.fulltext(fx.catalog(spark, d), "The-other words")
 
 
@@ -316,10 +393,11 @@ def many_queries(spark, d):
 
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY sort_id, file_id) AS INTEGER) AS at, sort_id, file_id FROM
-(SELECT min(meta_file_id) AS sort_id, file_id FROM targets GROUP BY file_id) WHERE (sort_id, file_id) > (SELECT (min(meta_file_id), file_id) FROM targets WHERE file_id = (SELECT max(file_id) FROM files WHERE type LIKE 'text/html%') GROUP BY file_id) ORDER BY sort_id, file_id LIMIT 20""")
+(SELECT min(meta_file_id) AS sort_id, file_id FROM targets GROUP BY file_id) WHERE (sort_id, file_id) > (SELECT (min(meta_file_id), file_id) FROM targets WHERE file_id = (SELECT min(file_id) FROM files WHERE type LIKE 'text/html%') GROUP BY file_id) ORDER BY sort_id, file_id LIMIT 20""")
 def page_forward(spark, d):
     c = fx.catalog(spark, d)
-    return results.page(c, filters.visible(c), last_page(c), 20)
+    oldest = c.files.filter(F.col("type") == fx.HTML).agg(F.min_by("hash", "file_id")).first()[0]
+    return results.page(c, filters.visible(c), f"hash://sha256/{oldest}", 20)
 
 
 def last_page(c) -> str:
@@ -456,15 +534,34 @@ def uri_list(spark, d):
     return readers.read_numbered_uri_list(spark, path)
 
 
-@query("SELECT f.file_id, f.type, strlen(content) AS size FROM files f JOIN blob ON seq = file_id WHERE f.type LIKE 'text/html%'")
+@query("""SELECT 'hash://sha256/' || f.hash AS uri, f.type AS type, sha256(content) AS content_sha256, NULL AS target_uri FROM files f JOIN blob ON seq = file_id WHERE f.type LIKE 'text/html%'
+UNION ALL SELECT 'hash://sha256/' || m.hash, NULL, NULL, target_uri FROM metafiles JOIN files m ON m.file_id = meta_file_id WHERE target_uri IN (SELECT 'hash://sha256/' || hash FROM files WHERE type LIKE 'text/html%')""")
 def dump_and_load(spark, d):
+    """Pages and the meta-files that target them, written as a dump and read back."""
     c, path = fx.catalog(spark, d), shared(spark)
     content = fx.blobs(spark, d).select(F.col("seq").alias("file_id"), F.col("content").cast("binary").alias("content"))
     rows = results.with_uri(filters.by_type(c, fx.HTML), c.files).join(content, "file_id").select("sort_id", "file_id", "uri", "type", "content")
-    metas = rows.join(c.metafiles, F.col("uri") == F.col("target_uri")).select("sort_id", "file_id", "uri", "target_uri")
-    writers.dump(rows, metas, path)
-    back, _ = readers.load_dump(spark, path)
-    return back.join(c.files.select(F.concat(F.lit("hash://sha256/"), "hash").alias("uri"), "type", "file_id"), ["uri", "type"]).select("file_id", "type", F.octet_length("content").cast("long").alias("size"))
+    of_pages = c.metafiles.join(rows.select(F.col("uri").alias("target_uri")), "target_uri", "left_semi").select(F.col("meta_file_id").alias("file_id"), F.col("meta_file_id").alias("sort_id"), "target_uri")
+    writers.dump(rows, results.with_uri(of_pages, c.files).select("sort_id", "file_id", "uri", "target_uri"), path)
+    files, metas = readers.load_dump(spark, path)
+    none = F.lit(None).cast("string")
+    return files.select("uri", "type", F.sha2("content", 256).alias("content_sha256"), none.alias("target_uri")).union(metas.select(F.col("meta_uri"), none, none, "target_uri"))
+
+
+@query("SELECT 'hash://sha256/' || hash AS meta_uri, target_uri FROM metafiles JOIN files ON file_id = meta_file_id")
+def meta_list(spark, d):
+    """All meta-files as a list of addresses and targets, written and read back."""
+    c, path = fx.catalog(spark, d), shared(spark)
+    rows = c.metafiles.select(F.col("meta_file_id").alias("file_id"), F.col("meta_file_id").alias("sort_id"), "target_uri")
+    writers.write_meta_list(results.with_uri(rows, c.files), path)
+    return readers.read_meta_list(spark, path)[0]
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'text/html' ELSE 'application/octet-stream' END AS type FROM documents", log=False)
+def extension_types(spark, d):
+    end = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".html", ".unknown"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    paths = fx.table(spark, d, "documents").select("doc_id", F.concat(F.lit("/a.b/"), "source", end).alias("path"))
+    return readers.with_type(paths, readers.mime_types(spark)).select("doc_id", "type")
 
 
 @query("SELECT doc_id, regexp_replace('file' || doc_id || '.txt', '[0-9]+', lpad(CAST(doc_id AS VARCHAR), 20, '0')) AS key FROM documents", log=False)
@@ -517,22 +614,32 @@ def tail_not(spark, d):
 
 
 @query("""SELECT seq, uri, target_uri, CAST(row_number() OVER (PARTITION BY target_uri ORDER BY seq) - 1 AS BIGINT) AS position FROM
-(SELECT meta_file_id AS seq, 'hash://sha256/' || hash AS uri, target_uri FROM metafiles JOIN files ON file_id = meta_file_id WHERE target_uri IN (SELECT 'hash://sha256/' || hash FROM files WHERE type LIKE 'text/%'))""")
+(SELECT meta_file_id AS seq, 'hash://sha256/' || hash AS uri, target_uri FROM metafiles JOIN files ON file_id = meta_file_id WHERE target_uri IN (SELECT uri FROM uris JOIN files USING (file_id) WHERE type LIKE 'text/%'))""")
 def hold_until_target(spark, d):
-    """Meta-files arrive first (their seq), all files after them; each is released once its file is there."""
+    """Meta-files arrive first (their seq), all files after them; each is released once a file with its target address is there."""
     c = fx.catalog(spark, d)
     own = F.concat(F.lit("hash://sha256/"), "hash")
-    files = c.files.filter("type like 'text/%'").select(own.alias("target_uri"), (F.col("file_id") + 10_000_000_000).alias("seq"), F.lit(False).alias("is_meta"), own.alias("uri"))
-    metas = c.metafiles.join(c.files, F.col("file_id") == F.col("meta_file_id")).select("target_uri", F.col("meta_file_id").alias("seq"), F.lit(True).alias("is_meta"), own.alias("uri"))
+    addresses = c.uris.groupBy("file_id").agg(F.collect_list("uri").alias("addresses"))
+    files = c.files.filter("type like 'text/%'").join(addresses, "file_id").select(own.alias("target_uri"), (F.col("file_id") + 10_000_000_000).alias("seq"), F.lit(False).alias("is_meta"), own.alias("uri"), "addresses")
+    metas = c.metafiles.join(c.files, F.col("file_id") == F.col("meta_file_id")).select("target_uri", F.col("meta_file_id").alias("seq"), F.lit(True).alias("is_meta"), own.alias("uri"), F.lit(None).cast("array<string>").alias("addresses"))
     return follow(spark, files.union(metas), shared(spark), "seq", tails.hold_until_target)
 
 
-@query("SELECT event_type, count(*) AS events FROM events GROUP BY event_type", log=False)
+@query("""SELECT 'files' AS name, file_id AS id, type AS a, hash AS b FROM files UNION ALL SELECT 'uris', file_id, uri, NULL FROM uris UNION ALL SELECT 'metafiles', meta_file_id, target_uri, NULL FROM metafiles
+UNION ALL SELECT 'metadata', meta_file_id, field, value FROM metadata UNION ALL SELECT 'postings', meta_file_id, term, NULL FROM postings""")
 def maintained_tables(spark, d):
-    """Events as micro-batches into two tables; what complete batches hold."""
-    root, rows = shared(spark), fx.table(spark, d, "events").select("event_id", "event_type")
-    rows.write.parquet(f"{root}/log")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/log")
-    tables = {"types": lambda b: b.select("event_type").distinct(), "events": lambda b: b}
-    tails.maintain(stream, tables, root, f"{root}/checkpoint")
-    return tails.read_maintained(spark, "events", root).groupBy("event_type").agg(F.count("*").alias("events"))
+    """The whole log as a stream in two halves; the five tables that its micro-batches have built."""
+    root = shared(spark)
+    content = fx.meta_content(F.col("target_uri"), F.col("fields")).alias("content")
+    rows = fx.blobs(spark, d).select("seq", "content", "type", F.lit(None).cast("string").alias("fulltext")).union(fx.metas(spark, d).select("seq", content, F.lit(meta.META_TYPES[0]), "fulltext"))
+    middle = int(rows.approxQuantile("seq", [0.5], 0.01)[0])
+    for low in (True, False):
+        rows.filter((F.col("seq") <= middle) == F.lit(low)).write.mode("append").parquet(f"{root}/log")
+        tails.maintain(spark.readStream.schema(rows.schema).parquet(f"{root}/log"), LOG_TABLES, root, f"{root}/checkpoint")
+    read = lambda name: tails.read_maintained(spark, name, root)
+    none = F.lit(None).cast("string")
+    out = read("files").select(F.lit("files").alias("name"), F.col("file_id").alias("id"), F.col("type").alias("a"), F.col("hash").alias("b"))
+    out = out.union(read("uris").filter("not startswith(uri, 'hash://sha512/')").select(F.lit("uris"), "file_id", "uri", none))
+    out = out.union(read("metafiles").select(F.lit("metafiles"), "meta_file_id", "target_uri", none))
+    out = out.union(read("metadata").select(F.lit("metadata"), "meta_file_id", "field", "value"))
+    return out.union(read("postings").select(F.lit("postings"), "meta_file_id", "term", none))

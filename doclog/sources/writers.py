@@ -64,4 +64,4 @@ def save_table(rows: DataFrame, root: str, name: str, keys: list[str]) -> None:
 
 def load_catalog(spark: SparkSession, root: str) -> Catalog:
     files, uris, metafiles, metadata, postings = (spark.read.parquet(f"{root}/{name}") for name in ("files", "uris", "metafiles", "metadata", "postings"))
-    return Catalog(files, uris, metafiles.select("meta_file_id", "target_uri"), metadata, postings)
+    return Catalog(files, uris, metafiles.select("meta_file_id", "target_uri"), metadata, postings, spark.read.parquet(f"{root}/stems"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,10 +52,13 @@ def tail_all_of(matches: DataFrame, clauses: int) -> DataFrame:
 
 
 def hold_until_target(steps: DataFrame) -> DataFrame:
-    """Release meta-files once their target is there: a stream of (target_uri, seq, is_meta, uri) gives (seq, uri, target_uri, position).
+    """Release meta-files once their target is there: a stream of (target_uri, seq, is_meta, uri, addresses) gives (seq, uri, target_uri, position).
 
-    A file row opens its address; its held meta-files follow it in the order of their seq, later ones at once.
+    A file row opens each of its addresses (`addresses`, or else target_uri); the meta-files held under any of them follow it in the
+    order of their seq, later ones at once. State is kept per address.
     """
+    each = F.when(F.col("is_meta"), F.array("target_uri")).otherwise(F.coalesce("addresses", F.array("target_uri")))
+    steps = steps.select(F.explode(each).alias("target_uri"), "seq", "is_meta", "uri")
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened, seqs, uris, done = state.get if state.exists else (False, [], [], 0)
@@ -83,19 +86,30 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def maintain(stream: DataFrame, tables: dict[str, Callable[[DataFrame], DataFrame]], root: str, checkpoint: str) -> None:
-    """Append each micro-batch to all tables under its batch id; a marker makes the batch visible, so readers see all or nothing."""
+def maintain(stream: DataFrame, tables: dict[str, Callable[[DataFrame, Callable[[str], DataFrame | None]], DataFrame]], root: str, checkpoint: str) -> None:
+    """Append each micro-batch to all tables under its batch id; a marker makes the batch visible, so readers see all or nothing.
+
+    A table is made from the batch and a reader: of a name, what complete batches and this batch's tables so far hold, None at first.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, done = batch.sparkSession, []
+
+        def seen(name: str) -> DataFrame | None:
+            earlier = read_maintained(spark, name, root) if batch_id else None
+            own = spark.read.parquet(f"{root}/{name}/batch_id={batch_id}") if name in done else None
+            return own if earlier is None else earlier if own is None else earlier.union(own)
+
         batch.persist()
         for name, make in tables.items():
-            make(batch).write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
-        batch.sparkSession.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{root}/_complete/batch={batch_id}")
+            make(batch, seen).write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+            done.append(name)
+        spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{root}/_complete/batch={batch_id}")
         batch.unpersist()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def read_maintained(spark, name: str, root: str) -> DataFrame:
+def read_maintained(spark: SparkSession, name: str, root: str) -> DataFrame:
     done = spark.read.parquet(f"{root}/_complete").select("batch_id")
-    return spark.read.parquet(f"{root}/{name}").join(done, "batch_id", "left_semi").drop("batch_id")
+    return spark.read.parquet(f"{root}/{name}").join(F.broadcast(done), "batch_id", "left_semi").drop("batch_id")

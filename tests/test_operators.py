@@ -1,6 +1,8 @@
 """Hand-made logs for the traps of the query semantics."""
 
 import json
+import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +85,46 @@ def test_fulltext_takes_the_first_token(spark):
         filters.fulltext(c, "-- !")
 
 
+def test_fulltext_by_stems(spark):
+    c = make(spark, [(1, "aaaaaa", "t"), (2, "bbbbbb", "t")], [(5, URI + "aaaaaa"), (6, URI + "bbbbbb")], [], [("run", 5), ("running", 6)])
+    assert rows(filters.fulltext(c, "running")) == [(6, 2)]
+    assert rows(filters.fulltext(replace(c, stems=meta.stemmed(c.postings)), "Runs-fast")) == [(5, 1), (6, 2)]
+
+
+def test_many_queries_of_every_shape(spark):
+    """Against the combinators, over drawn queries."""
+    r = random.Random(3)
+    files = [(k, f"{k:06}", "t") for k in range(1, 31)]
+    metas = [(100 + n, URI + f"{r.randint(1, 30):06}") for n in range(200)]
+    fields = [(m, f, str(r.randint(0, 2))) for m, _ in metas for f in "ab" if r.random() < 0.6]
+    c = make(spark, files, metas, fields, [(r.choice(["foo", "bar", "baz"]), m) for m, _ in metas])
+    clauses, want = [], []
+    for q in range(25):
+        plus, minus = [], []
+        for g in range(r.randint(1, 4)):
+            negated, parts = r.random() < 0.3, []
+            for _ in range(r.randint(1, 3)):
+                kind, field, value = r.choice([("metadata", "a", str(r.randint(0, 3))), ("metadata", "b", "1"), ("fulltext", "", r.choice(["foo x", "bar", "none"]))])
+                clauses.append((q, g, kind, field, value, negated))
+                parts.append(filters.fulltext(c, value) if kind == "fulltext" else filters.metadata(c, field, value))
+            (minus if negated else plus).append(filters.any_of(*parts))
+        if plus and q < 12:
+            found = filters.all_of(*plus)
+            for m in minus:
+                found = filters.without(found, m)
+            want += [(q, *x) for x in rows(found)]
+    df = spark.createDataFrame(clauses, "query_id int, group_id int, kind string, field string, value string, negated boolean")
+    assert sorted(tuple(x) for x in filters.many_queries(c, df).filter("query_id < 12").collect()) == sorted(want)
+
+
+def test_visibility(spark):
+    table = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    bodies = [("u1", "Notes\n\nx"), ("u2", "x #open y"), ("u3", "x"), ("u4", "Notes\n\ncall 1-234-567-8901"), ("u5", "x #open #private"), ("u6", "#open\nKeywords: alpha, private"), ("u7", "#open"), ("u8", None), ("u8", "plain")]
+    df = spark.createDataFrame(bodies, "uri string, body string")
+    got = text.classify_visibility(df, table("topic", "Notes"), table("tag", "open", "open"), table("uri", "u3"), table("uri", "u7"))
+    assert sorted((r.uri, r.public) for r in got.collect()) == [("u1", True), ("u2", True), ("u3", True), ("u4", False), ("u5", False), ("u6", False), ("u7", False), ("u8", False), ("u8", False)]
+
+
 def test_many_queries(spark):
     c = make(spark, [(1, "aaaaaa", "t"), (2, "bbbbbb", "t")], [(5, URI + "aaaaaa"), (6, URI + "bbbbbb"), (7, URI + "bbbbbb")], [(5, "a", "1"), (6, "a", "1"), (7, "z", "1")], [("foo", 5), ("foo", 7)])
     q = [(1, 0, "metadata", "a", "1", False), (1, 1, "fulltext", "", "foo bar", False), (2, 0, "metadata", "a", "1", False), (2, 1, "metadata", "z", "1", True), (3, 0, "metadata", "a", "1", True), (4, 0, "metadata", "a", "1", False), (4, 1, "metadata", "none", "1", False)]
@@ -108,7 +150,10 @@ def test_parse_hash_uri(spark, uri, want):
 
 BODIES = [
     ('{"a":"x","b":{"y":{},"z":{}}}', {("a", "x"), ("b", "y"), ("b", "z")}), ('{"a":{"b":{"c":{}}}}', {("a", "b")}), ("{}", set()),
-    ('{"this":"is","really":"simple","json":"right?"}', {("this", "is"), ("really", "simple"), ("json", "right?")}),
+    ('{"from":"http://h:8080/x","at":"12:30","said":"see: true story, [1] {x}"}', {("from", "http://h:8080/x"), ("at", "12:30"), ("said", "see: true story, [1] {x}")}),
+    ('{"ARRAY":"x","BIGINT":{"NULL":{}}}', {("ARRAY", "x"), ("BIGINT", "NULL")}), ('{"k":"1","k":"2","k":{"3":{},"4":{}}}', {("k", "1"), ("k", "2"), ("k", "3"), ("k", "4")}),
+    (r'{"a":"say \"hi\"","b":"{\"n\":1}","c":{"d\\":{}}}', {("a", 'say "hi"'), ("b", '{"n":1}'), ("c", "d\\")}), ('{"a":{}}', set()), (' { "a" :\n{ "b" : "c" } } ', {("a", "b")}),
+    ('{"a":"x"} {"b":"y"}', None), ('{"a":"x"},"b":{"c":"d"}', None), ("{'a':'x'}", None), ('{"a":"x",}', None), ('{"a":{"b":[]}}', None), ("", None), ("{", None), ('{"a"}', None),
     ('{"a":1}', None), ('{"a":[]}', None), ('{"a":null}', None), ('{"a":true}', None), ('{"a":{"b":{"c":5}}}', None), ('{"a":"x"', None), ("[]", None),
 ]
 
@@ -159,7 +204,8 @@ def test_porter(spark):
         (text.dates, "on 2024--02-03 3:05 PM and 2024-13-01", ["2024-02-03T15:05:00Z"]), (text.phones, "1-234-567-8901 or (234) 567-8901", ["1-234-567-8901", "(234) 567-8901"]),
         (text.links_in_text, "see http://a.b/c(d). and (www.x.org/y)", ["http://a.b/c(d)", "www.x.org/y"]), (text.links_in_text, "x" * (1 << 20) + " http://a.b/", None),
         (text.links_in_markdown, "[a](http://x.y/z) ![i](pic.png) <http://q.r/>", ["http://x.y/z", "http://q.r/"]), (text.embeds_in_markdown, "![i](pic.png) [a](b)", ["pic.png"]),
-        (text.render_plain, "<hash://sha256/ab>", '<pre>&lt;<a href="?q=hash://sha256/ab">hash://sha256/ab</a><sup>[<a href="hash://sha256/ab">#</a>]</sup>&gt;</pre>'), (text.cdata, "a]]>b", "<![CDATA[a]]]]><![CDATA[>b]]>"),
+        (text.render_plain, "<hash://sha256/ab>", '<pre>&lt;<a href="?q=hash%3A%2F%2Fsha256%2Fab">hash://sha256/ab</a><sup>[<a href="hash://sha256/ab" title="hash address">#</a>]</sup>&gt;</pre>'),
+        (text.render_plain, "it's (http://a.b/c?d=1&e.) www.x.org", '<pre>it&apos;s (<a href="http://a.b/c?d=1&amp;e">http://a.b/c?d=1&amp;e</a>.) <a href="www.x.org">www.x.org</a></pre>'), (text.render_plain, "a < b", "<pre>a &lt; b</pre>"), (text.cdata, "a]]>b", "<![CDATA[a]]]]><![CDATA[>b]]>"),
         (text.natural_key, "a10b", "a" + "10".zfill(20) + "b"),
     ],
 )
