@@ -123,7 +123,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     minima are written before they are joined, so that both sides of the join are plain exchanges and AQE can split a hub.
     Null ends are dropped; a null links with nothing.
     """
-    edges = checkpoint(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(local_forest), "a long, b long"))
+    stars = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    # a group that many tasks have met leaves its stars in each of them: fewer tasks shrink these once more
+    stars = checkpoint(stars.mapInArrow(lean(local_forest), "a long, b long"))
+    tasks = max(1, stars.rdd.getNumPartitions() // 16)
+    edges = checkpoint(stars.coalesce(tasks).mapInArrow(lean(local_forest), "a long, b long"))
     seen = None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))

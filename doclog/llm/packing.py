@@ -52,6 +52,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.most = CACHE_CHUNKS
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,7 +92,7 @@ class WordEncoder:
         lists = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
         found = lists.flatten().dictionary_encode()
         chunks = found.dictionary.to_pylist()
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > self.most:
             self.known.clear()
         self.learn([c for c in chunks if c not in self.known])
         ids = [self.known[c] for c in chunks]
@@ -130,13 +131,17 @@ def groups(texts: pa.Array, most: int = GROUP_CHARACTERS) -> Iterator[tuple[int,
         low = high
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit) of each piece of each row."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, chunks: int = CACHE_CHUNKS, characters: int = GROUP_CHARACTERS) -> DataFrame:
+    """doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit) of each piece of each row.
+
+    `chunks` that a worker remembers and `characters` that it encodes at once bound its memory; ids don't depend on them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(tokenizer), np.array([END_TOKEN], "<u4").tobytes()
+        words.most = chunks
         for batch in batches:
-            for low, high in groups(batch.column(1)):
+            for low, high in groups(batch.column(1), characters):
                 part = batch.slice(low, high - low)
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):

@@ -194,28 +194,31 @@ def meet(rows: DataFrame, most: int, run: int | None) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(pairs), "a long, b long, late boolean")
 
 
-def in_blocks(members: DataFrame, compare: Callable[[DataFrame], DataFrame], run: int) -> DataFrame:
-    """Links (a, b) that connect what compare() would link among all members (key, id, ...) of each key.
+def in_blocks(members: DataFrame, told: DataFrame, compare: Callable[[DataFrame], DataFrame], run: int) -> DataFrame:
+    """Links (a, b) that connect what compare() would link among all members (key, id) of each key; `told` (id, ...) is what it needs of each.
 
-    A key with over `run` members is dealt over blocks of half as many, twice, and compare() sees (block, id, ...). What that leaves
-    outside the largest component of a key then meets all of the key's blocks: any other pair is connected already.
+    A key with over `run` members is dealt over blocks of half as many, twice, and compare() sees (block, id, ...). An id with several
+    keys, all of them that large, is dealt under the largest. What that leaves outside the largest component of a key then meets
+    all of the key's blocks: any other pair is connected already.
     """
-    rest = [c for c in members.columns if c not in ("key", "id")]
+    rest = [c for c in told.columns if c != "id"]
     sizes = checkpoint(members.groupBy("key").agg(F.count("*").alias("n")))
     blocks = F.when(F.col("n") > run, F.ceil(F.col("n") / (run // 2))).otherwise(1).cast("int").alias("blocks")
-    dealt = stored(members.join(sizes.select("key", blocks), "key"), "dealt")
-    own = F.pmod(F.xxhash64("id", "key", "deal"), "blocks").cast("int")
-    each = dealt.withColumn("deal", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("own", own)
-    out = checkpoint(compare(each.select(F.xxhash64("key", "deal", "own").alias("block"), "id", *rest)))
-    many = each.filter("blocks > 1 and deal = 0")
+    sized = stored(members.join(sizes.select("key", blocks), "key"), "members")
+    main = sized.groupBy("id").agg(F.max(F.struct("blocks", "key")).alias("m")).select("m.key", "id", "m.blocks")
+    own = lambda deal: F.pmod(F.xxhash64("id", "key", deal), "blocks").cast("int")
+    each = main.withColumn("deal", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    out = checkpoint(compare(each.select(F.xxhash64("key", "deal", own(F.col("deal"))).alias("block"), "id").join(told, "id").select("block", "id", *rest)))
+    many = sized.filter("blocks > 1")
     if many.isEmpty():
         return out
-    parts = many.join(components(out).select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    found = checkpoint(components(out).select(F.col("node").alias("id"), "component"))
+    parts = many.join(found, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     largest = checkpoint(parts.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "most"))
-    open_ = stored(parts.join(largest, "key").withColumn("outside", F.col("part") != F.col("most")).drop("part", "most"), "open")
+    open_ = parts.join(largest, "key").withColumn("own", own(F.lit(2))).withColumn("outside", F.col("part") != F.col("most"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))
     again = open_.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(F.array("own"), others)).otherwise(F.array("own"))))
-    return out.union(checkpoint(compare(again.select(F.xxhash64("key", F.lit(2), "at").alias("block"), "id", *rest))))
+    return out.union(checkpoint(compare(again.select(F.xxhash64("key", F.lit(2), "at").alias("block"), "id").join(told, "id").select("block", "id", *rest))))
 
 
 def linked(rows: DataFrame, prints: DataFrame, most: int, run: int) -> DataFrame:
@@ -225,8 +228,7 @@ def linked(rows: DataFrame, prints: DataFrame, most: int, run: int) -> DataFrame
     found = met.filter("not late").select("a", "b")
     if late.isEmpty():
         return found
-    members = late.join(prints, "id").select("key", *prints.columns)
-    return found.union(in_blocks(members, lambda x: meet(x.withColumnRenamed("block", "key"), most, None).select("a", "b"), run))
+    return found.union(in_blocks(late, prints, lambda x: meet(x.withColumnRenamed("block", "key"), most, None).select("a", "b"), run))
 
 
 def links(fps: DataFrame, run: int = RUN) -> DataFrame:
@@ -395,7 +397,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = LEAST, run:
     groups = components(linked(rows, ids, CHECKED, run))
     members = checkpoint(groups.select(F.col("node").alias("id"), F.col("component").alias("key")).join(nodes.select(F.col("node").alias("id"), "row"), "id"))
     needed = texts.filter(among(members.select(F.xxhash64("row").alias("x")), F.xxhash64("row"))).select("row", "text")
-    return in_blocks(members, lambda x: compared(x, needed, least), sets)
+    return in_blocks(members.select("key", "id"), members.select("id", "row"), lambda x: compared(x, needed, least), sets)
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, run: int = RUN, sets: int = SETS) -> DataFrame:
