@@ -37,7 +37,8 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and the sequences that hold them."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # after four other stages an executor's heap is full-grown: workers keep less here than where packing runs alone
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), chunks=150_000, characters=1 << 20)
     digests = pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
     return packing.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
