@@ -225,7 +225,8 @@ def linked(rows: DataFrame, prints: DataFrame, most: int, run: int) -> DataFrame
     """Links (a, b) that span every group of ids within `most` bits among rows (key, id, prints...); `prints` (id, prints...) once each."""
     met = checkpoint(meet(rows, most, run))
     late = met.filter("late").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    found = met.filter("not late").select("a", "b")
+    # a group meets under many keys, and each task gives a forest of its own: fewer tasks join these before they go on
+    found = met.filter("not late").select("a", "b").coalesce(max(4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
     if late.isEmpty():
         return found
     return found.union(in_blocks(late, prints, lambda x: meet(x.withColumnRenamed("block", "key"), most, None).select("a", "b"), run))
