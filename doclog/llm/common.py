@@ -116,23 +116,30 @@ def local_forest(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for narrow rows of a few longs."""
+    return max(8, rows // 500_000)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over `links` (a, b), for nodes that have a link.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014), each a shuffle whose result is checkpointed. The
     minima are written before they are joined, so that both sides of the join are plain exchanges and AQE can split a hub.
-    Null ends are dropped; a null links with nothing.
+    A round's tables have as many tasks as their links need, whatever the number of shuffle partitions: the driver keeps a
+    record of each task. Null ends are dropped; a null links with nothing.
     """
     edges = checkpoint(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(local_forest), "a long, b long"))
-    seen = None
+    tasks, seen = tasks_for(edges.count()), None
+    edges = edges.coalesce(tasks)
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
-        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = checkpoint(large.filter("a <> b"))  # a > b for every row
-        least = checkpoint(down.groupBy("a").agg(F.min("b").alias("m")))
+        down = checkpoint(large.filter("a <> b").coalesce(tasks))  # a > b for every row
+        least = checkpoint(down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
         small = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = checkpoint(small.distinct())
+        edges = checkpoint(small.distinct().coalesce(tasks))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             break
@@ -161,7 +168,8 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     """
     name = hashes.columns[0]
     hashes = checkpoint(hashes)
-    power = min(max((BITMAP_SHARE * hashes.count()).bit_length(), BITMAP_LEAST), BITMAP_MOST)
+    n = hashes.count()
+    power = min(max((BITMAP_SHARE * n).bit_length(), BITMAP_LEAST), BITMAP_MOST)
     width = 1 << (power - 3)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +185,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     slot = F.shiftrightunsigned(F.col(name), 64 - power).alias("slot")
     dealt = hashes.select(slot).select((F.col("slot") * BITMAP_PIECES / (1 << power)).cast("int").alias("piece"), "slot").repartition("piece")
     out = np.zeros(width, np.uint8)
-    for piece, bits in dealt.mapInArrow(lean(fill), "piece int, bits binary").toLocalIterator():
+    for piece, bits in dealt.coalesce(tasks_for(n)).mapInArrow(lean(fill), "piece int, bits binary").toLocalIterator():  # a job for each partition
         out[piece * len(bits) : (piece + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
