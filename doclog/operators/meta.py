@@ -12,8 +12,12 @@ META_TYPES = ("application/vnd.doclog.meta", "text/x-doclog-meta", "text/doclog-
 META_LIMIT = 1 << 20
 
 
+def is_meta(kind: Column, types: tuple[str, ...] = META_TYPES) -> Column:
+    return F.lower(kind).isin(*types)
+
+
 def select_meta(files: DataFrame, types: tuple[str, ...] = META_TYPES) -> DataFrame:
-    return files.filter(F.lower("type").isin(*types))
+    return files.filter(is_meta(F.col("type"), types))
 
 
 def split_target(metas: DataFrame) -> DataFrame:
@@ -77,7 +81,10 @@ def flatten_meta(metas: DataFrame) -> DataFrame:
         return F.struct((s.depth + F.when(opens, 1).otherwise(-1)).alias("depth"), (s.maps + F.when(opens & (s.depth == 1), 1).otherwise(0)).alias("maps"), (s.whole & inside).alias("whole"), F.lit(True).alias("begun"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("maps"), F.lit(True).alias("whole"), F.lit(False).alias("begun"))
-    told = metas.withColumn("bare", bare).withColumn("shape", F.aggregate(braces, start, walk)).withColumn("outer", entries(body))
+    # most bodies have no braces inside: nothing to walk over
+    flat = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("maps"), F.lit(True).alias("whole"), F.lit(True).alias("begun"))
+    shape = F.when(F.col("bare").rlike(r"^\{[^{}]*\}$"), flat).otherwise(F.aggregate(braces, start, walk))
+    told = metas.withColumn("bare", bare).withColumn("shape", shape).withColumn("outer", entries(body))
     whole = F.col("bare").rlike(r'^\{[{}:,"]*\}$') & F.col("shape.whole") & (F.col("shape.depth") == 0) & F.col("outer").isNotNull()
     # a value that starts with a brace is a map, unless some strings do as well: the scan tells those bodies' strings and maps apart
     braced = F.size(F.filter("outer", lambda e: e.value.startswith("{")))

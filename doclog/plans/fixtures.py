@@ -49,7 +49,8 @@ def metas(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = ids.select(F.col("doc_id").alias("half"), short.alias("to"))
     linked = ids.filter("doc_id % 5 = 0").withColumn("half", F.expr("doc_id div 2")).join(to, "half").select((3_000_000_000 + 10 * F.col("doc_id")).alias("seq"), "doc_uri", F.array(pair("link", F.col("to"))), none)
     events = table(spark, sf_dir, "events").withColumn("doc_id", F.col("event_id") % 200).join(ids, "doc_id").select((4_000_000_000 + F.col("event_id")).alias("seq"), "doc_uri", F.array(pair("event", F.col("event_type")), pair("user", F.col("user_id"))), none)
-    return own.union(labels).union(pages).union(linked).union(events)
+    whole = own.union(labels).union(pages).union(linked).union(events)
+    return whole.repartition(spark.sparkContext.defaultParallelism)  # a small table is one partition, whose meta-files one task would parse
 
 
 def meta_content(target: Column, fields: Column) -> Column:

@@ -11,8 +11,8 @@ from ..functions import address, text
 from ..operators import analytics, audit, filters, meta, results, sync
 from ..operators import catalog as files_of
 from ..sources import readers, writers
+from ..streaming import ingest as maintained
 from ..streaming import tail as tails
-from ..streaming.ingest import LOG_TABLES
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -584,33 +584,33 @@ def clause_stream(spark, d, parts: list[tuple[str, str, bool]]):
     return rows, root
 
 
-def follow(spark, rows, root, column, make):
+def follow(spark, rows, root, column, make, mode="append"):
     """Run a stream over what comes before the middle of the log, then over the rest; give its whole output."""
     middle = rows.approxQuantile(column, [0.5], 0.01)
     middle = int(middle[0]) if middle else 0
     for low in (True, False):
         rows.filter((F.col(column) <= middle) == F.lit(low)).write.mode("append").parquet(f"{root}/log")
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/log")
-        tails.run_to_end(make(stream), f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out")
+        tails.run_to_end(make(stream), f"{root}/out", f"{root}/checkpoint", mode)
+    return spark.read.parquet(f"{root}/out").drop("batch_id")
 
 
 @query("SELECT sort_id, file_id FROM ages WHERE field = 'event' AND value = 'click'")
 def tail_metadata(spark, d):
     rows, root = clause_stream(spark, d, [("event", "click", False)])
-    return follow(spark, rows, root, "sort_id", tails.tail)
+    return follow(spark, rows, root, "sort_id", tails.tail, "update")
 
 
 @query("SELECT max(sort_id) AS sort_id, file_id FROM ages WHERE (field = 'lang' AND value = 'en') OR (field = 'event' AND value = 'click') GROUP BY file_id HAVING count(*) = 2")
 def tail_and(spark, d):
     rows, root = clause_stream(spark, d, [("lang", "en", False), ("event", "click", False)])
-    return follow(spark, rows, root, "sort_id", lambda s: tails.tail_all_of(s, 2))
+    return follow(spark, rows, root, "sort_id", lambda s: tails.tail_all_of(s, 2), "update")
 
 
 @query(NOT_SQL)
 def tail_not(spark, d):
     rows, root = clause_stream(spark, d, [("event", "click", False), ("event", "error", True)])
-    return follow(spark, rows, root, "sort_id", lambda s: tails.tail_all_of(s, 1))
+    return follow(spark, rows, root, "sort_id", lambda s: tails.tail_all_of(s, 1), "update")
 
 
 @query("""SELECT seq, uri, target_uri, CAST(row_number() OVER (PARTITION BY target_uri ORDER BY seq) - 1 AS BIGINT) AS position FROM
@@ -630,13 +630,14 @@ UNION ALL SELECT 'metadata', meta_file_id, field, value FROM metadata UNION ALL
 def maintained_tables(spark, d):
     """The whole log as a stream in two halves; the five tables that its micro-batches have built."""
     root = shared(spark)
+    log = maintained.LogTables(spark, root, 8)
     content = fx.meta_content(F.col("target_uri"), F.col("fields")).alias("content")
     rows = fx.blobs(spark, d).select("seq", "content", "type", F.lit(None).cast("string").alias("fulltext")).union(fx.metas(spark, d).select("seq", content, F.lit(meta.META_TYPES[0]), "fulltext"))
     middle = int(rows.approxQuantile("seq", [0.5], 0.01)[0])
     for low in (True, False):
         rows.filter((F.col("seq") <= middle) == F.lit(low)).write.mode("append").parquet(f"{root}/log")
-        tails.maintain(spark.readStream.schema(rows.schema).parquet(f"{root}/log"), LOG_TABLES, root, f"{root}/checkpoint")
-    read = lambda name: tails.read_maintained(spark, name, root)
+        maintained.maintain(spark.readStream.schema(rows.schema).parquet(f"{root}/log"), log, f"{root}/checkpoint")
+    read = log.read
     none = F.lit(None).cast("string")
     out = read("files").select(F.lit("files").alias("name"), F.col("file_id").alias("id"), F.col("type").alias("a"), F.col("hash").alias("b"))
     out = out.union(read("uris").filter("not startswith(uri, 'hash://sha512/')").select(F.lit("uris"), "file_id", "uri", none))

@@ -1,52 +1,117 @@
-"""The five tables of a log from its micro-batches (seq, content, type, fulltext), in the order in which they need each other.
+"""The five tables of a log, kept up to date by its micro-batches (seq, content, type, fulltext).
 
-Each takes the batch and a reader of what complete batches and the tables before it in this batch hold (None: nothing yet). The
-log comes in the order of seq, batch by batch: a meta-file's target is in an earlier batch or in its own.
+The log comes in the order of seq, batch by batch: a meta-file's target is in an earlier batch or in its own. A batch is hashed and
+parsed once. Two questions need history: is a file new (by its hash), and what was the first file of a target (by its address). The
+tables that answer them are bucketed by what is asked, so the batch's few keys go to the buckets and history stays where it is:
+no shuffle grows with the log. Everything else follows from the batch.
+
+A micro-batch is a partition of each table, written again as a whole if it is run again. A marker, written last, makes it visible, so
+readers see all or nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import append_files, dedup_files, ingest, uri_index
-from ..operators.meta import add_metadata, build_postings, flatten_meta, select_meta, split_target, validate_target
-
-Seen = Callable[[str], DataFrame | None]
-
-
-def files(batch: DataFrame, seen: Seen) -> DataFrame:
-    earlier = seen("files")
-    return dedup_files(ingest(batch)) if earlier is None else append_files(earlier, ingest(batch))
-
-
-def uris(batch: DataFrame, seen: Seen) -> DataFrame:
-    return uri_index(ingest(batch)).join(seen("files").select("file_id"), "file_id", "left_semi").select("uri", "file_id")
-
-
-def _kept(batch: DataFrame, seen: Seen) -> DataFrame:
-    """Meta-files of the batch that no earlier file equals, with what they say."""
-    parsed = flatten_meta(split_target(select_meta(batch))).withColumnRenamed("seq", "meta_file_id")
-    return parsed.join(seen("files").select(F.col("file_id").alias("meta_file_id")), "meta_file_id", "left_semi")
-
-
-def metafiles(batch: DataFrame, seen: Seen) -> DataFrame:
-    known = select_meta(seen("files")).select(F.col("file_id").alias("meta_file_id"))
-    return validate_target(_kept(batch, seen).select("meta_file_id", "target_uri"), seen("uris"), known)
-
-
-def _valid(batch: DataFrame, seen: Seen) -> DataFrame:
-    return _kept(batch, seen).join(seen("metafiles").select("meta_file_id"), "meta_file_id", "left_semi")
-
-
-def metadata(batch: DataFrame, seen: Seen) -> DataFrame:
-    return add_metadata(_valid(batch, seen))
-
-
-def postings(batch: DataFrame, seen: Seen) -> DataFrame:
-    return build_postings(_valid(batch, seen).filter("fulltext is not null"))
-
-
-LOG_TABLES = {f.__name__: f for f in (files, uris, metafiles, metadata, postings)}
+from ..operators.catalog import dedup_files, ingest, uri_index
+from ..operators.meta import add_metadata, build_postings, flatten_meta, is_meta, split_target
+
+#: Columns of the tables, and the key that a table is bucketed by.
+TABLES = {
+    "files": ("file_id long, hash string, type string, size long", "hash"),
+    "uris": ("uri string, file_id long, of_meta boolean", "uri"),
+    "metafiles": ("meta_file_id long, target_uri string", None),
+    "metadata": ("meta_file_id long, field string, value string", None),
+    "postings": ("term string, meta_file_id long", None),
+}
+
+
+class LogTables:
+    """The tables under a folder that all executors see. `buckets` has to stay as it was when the tables were made."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root, buckets
+        prefix = f"log_{hashlib.md5(root.encode()).hexdigest()[:16]}"
+        self.names = {name: f"{prefix}_{name}" for name in TABLES}
+        whole = self.complete()
+        for name, (columns, key) in TABLES.items():
+            clustered = f"CLUSTERED BY ({key}) INTO {buckets} BUCKETS" if key else ""
+            if not spark.catalog.tableExists(self.names[name]):
+                spark.sql(f"CREATE TABLE {self.names[name]} ({columns}, batch_id long) USING parquet PARTITIONED BY (batch_id) {clustered} LOCATION '{root}/{name}'")
+                if whole >= 0:  # another session's partitions
+                    spark.sql(f"ALTER TABLE {self.names[name]} RECOVER PARTITIONS")
+
+    def complete(self) -> int:
+        """The last batch that is whole; -1: none. Batches are numbered without a gap."""
+        self.spark.range(0).select(F.col("id").alias("batch_id")).write.mode("ignore").parquet(f"{self.root}/complete/batch=none")
+        return self.spark.read.schema("batch_id long").parquet(f"{self.root}/complete").agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+
+    def read(self, name: str) -> DataFrame:
+        """What whole batches have brought."""
+        return self.before(name, self.complete() + 1)
+
+    def before(self, name: str, batch_id: int) -> DataFrame:
+        return self.spark.table(self.names[name]).filter(F.col("batch_id") < batch_id).drop("batch_id")
+
+    def write(self, name: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Make `rows` the table's partition of this batch; what comes back is read from there."""
+        key = TABLES[name][1]
+        rows = rows.select(*(c.split()[0] for c in TABLES[name][0].split(", ")))
+        rows = rows.repartition(self.buckets, key) if key else rows
+        spark = rows.sparkSession  # a micro-batch has one of its own
+        spark.sql(f"INSERT OVERWRITE TABLE {self.names[name]} PARTITION (batch_id = {batch_id}) SELECT * FROM {{rows}}", rows=rows)
+        return spark.table(self.names[name]).filter(F.col("batch_id") == batch_id).drop("batch_id")
+
+    def put_down(self, name: str, rows: DataFrame) -> DataFrame:
+        """`rows`, a batch's at most, as a table that the next batch replaces: a table can't be written from what is read from it."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{self.root}/{name}")
+
+
+def _found(history: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of a bucketed table with one of the distinct keys: these are dealt to its buckets and looked up there."""
+    return history.join(keys.hint("shuffle_hash"), key)
+
+
+def known_files(history: DataFrame, staged: DataFrame) -> DataFrame:
+    """hash, type of the staged files that history has."""
+    return _found(history.select("hash", "type"), staged.select("hash").distinct(), "hash")
+
+
+def first_files(history: DataFrame, own: DataFrame, metas: DataFrame) -> DataFrame:
+    """target_uri, and the least file_id with whether it is a meta-file, of the targets of `metas` that history or the batch's `own` uris have."""
+    wanted = metas.select(F.col("target_uri").alias("uri")).distinct()
+    old = _found(history, wanted, "uri").select("uri", "file_id", "of_meta")
+    new = own.join(wanted, "uri", "left_semi").select("uri", "file_id", "of_meta")
+    return old.union(new).groupBy("uri").agg(F.min(F.struct("file_id", "of_meta")).alias("first")).select(F.col("uri").alias("target_uri"), "first.*")
+
+
+def append_batch(log: LogTables, batch: DataFrame, batch_id: int) -> None:
+    """One micro-batch into all tables; the batch is parsed once, and kept until its tables are written."""
+    metas = flatten_meta(split_target(batch.filter(is_meta(F.col("type")))))
+    others = batch.filter(~is_meta(F.col("type")))
+    kept = ("target_uri", "fields", "fulltext")
+    none = [F.lit(None).cast("string").alias("target_uri"), F.lit(None).cast("array<struct<field: string, value: string>>").alias("fields"), F.lit(None).cast("string").alias("fulltext")]
+    staged = ingest(metas, keep=kept).unionByName(ingest(others).select("*", *none)).persist()
+    known = log.put_down("known", known_files(log.before("files", batch_id), staged))
+    files = log.write("files", dedup_files(staged).join(known, ["hash", "type"], "left_anti"), batch_id)
+    new = staged.join(files.select(F.col("file_id").alias("seq")), "seq", "left_semi")
+    meta = is_meta(F.col("type"))
+    said = new.filter(meta).select(F.col("seq").alias("meta_file_id"), *kept)
+    uris = log.write("uris", uri_index(new).join(files.select("file_id", meta.alias("of_meta")), "file_id"), batch_id)
+    first = first_files(log.before("uris", batch_id), uris, said)
+    valid = said.join(first, "target_uri").filter("file_id < meta_file_id and not of_meta").persist()
+    log.write("metafiles", valid, batch_id)
+    log.write("metadata", add_metadata(valid), batch_id)
+    log.write("postings", build_postings(valid.filter("fulltext is not null")), batch_id)
+    log.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1).write.mode("overwrite").parquet(f"{log.root}/complete/batch={batch_id}")
+    valid.unpersist()
+    staged.unpersist()
+
+
+def maintain(stream: DataFrame, log: LogTables, checkpoint: str) -> None:
+    """Append what a stream has to the tables, micro-batch by micro-batch, and stop; a later call goes on from there."""
+    stream.writeStream.foreachBatch(lambda batch, k: append_batch(log, batch, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,115 +1,118 @@
 """Queries that follow a growing log: history first, then what arrives, each file once.
 
-State is kept per file or per target for as long as the query lives; order is log position, so there are no watermarks.
+State is kept per file or per target for as long as the query lives; order is log position, so there are no watermarks. The log comes
+in order: no row of a later micro-batch has a smaller position than one of an earlier one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def tail(matches: DataFrame) -> DataFrame:
-    """First sight of each file in a stream of (sort_id, file_id) in log order."""
 
-    def once(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        least = min(int(p.sort_id.min()) for p in parts)
-        if not state.exists:
-            state.update((least,))
-            yield pd.DataFrame({"sort_id": [least], "file_id": [key[0]]})
+def on_disk_state(spark: SparkSession) -> None:
+    """State in RocksDB, of which a micro-batch reads and writes what its keys need; set unless the session has a choice of its own."""
+    for name, value in (("providerClass", ROCKSDB), ("rocksdb.changelogCheckpointing.enabled", "true")):
+        if spark.conf.get(f"spark.sql.streaming.stateStore.{name}", None) in (None, "", "false") or "HDFSBacked" in spark.conf.get(f"spark.sql.streaming.stateStore.{name}"):
+            spark.conf.set(f"spark.sql.streaming.stateStore.{name}", value)
 
-    return matches.groupBy("file_id").applyInPandasWithState(once, "sort_id long, file_id long", "sort_id long", "append", GroupStateTimeout.NoTimeout)
+
+#: When a row was seen: the time of its micro-batch, the same for all its rows, and again when a failed one is run once more.
+SEEN = "seen_"
+
+
+def tail(matches: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """First sight of each key in a stream with sort_id: its least position, in output mode update.
+
+    A streaming aggregation keeps position and time of the first sight; only the micro-batch whose time it is gives the row. (Dropping
+    duplicates would keep any of a micro-batch's rows, not its first.)
+    """
+    first = matches.withColumn(SEEN, F.current_timestamp()).groupBy(*keys).agg(F.min("sort_id").alias("sort_id"), F.min(SEEN).alias(SEEN))
+    return first.filter(F.col(SEEN) == F.current_timestamp()).select("sort_id", *keys)
 
 
 def tail_all_of(matches: DataFrame, clauses: int) -> DataFrame:
-    """Files of a stream (sort_id, file_id, clause, negated) when the last of `clauses` positive clauses (from 0) arrives.
+    """Files of a stream (sort_id, file_id, clause, negated) when the last of `clauses` positive clauses (from 0) arrives, in output mode update.
 
     A negated clause at or before that position excludes the file for good.
     """
+    own = [(F.col("clause") == k) & ~F.col("negated") for k in range(clauses)]
+    least = lambda what, when: F.min(F.when(when, F.col(what)))
+    ages = [least("sort_id", w).alias(f"age{k}_") for k, w in enumerate(own)] + [least(SEEN, w).alias(f"seen{k}_") for k, w in enumerate(own)]
+    state = matches.withColumn(SEEN, F.current_timestamp()).groupBy("file_id").agg(*ages, least("sort_id", F.col("negated")).alias("gone_at"))
+
+    def last(name: str) -> Column:
+        parts = [F.col(f"{name}{k}_") for k in range(clauses)]
+        every = parts[0].isNotNull()
+        for p in parts[1:]:
+            every = every & p.isNotNull()
+        return F.when(every, F.greatest(*parts) if clauses > 1 else parts[0])
+
+    done = state.withColumn("sort_id", last("age")).filter((last("seen") == F.current_timestamp()) & (F.col("gone_at").isNull() | (F.col("gone_at") > F.col("sort_id"))))
+    return done.select("sort_id", "file_id")
+
+
+class _Hold(StatefulProcessor):
+    """Meta-files of one address: each waiting one is an element of the list, so neither a step nor its commit reads those that wait."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", "seq long, uri string")
+        self.told = handle.getValueState("told", "opened boolean, done long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:  # noqa: N802
+        opened, done = self.told.get() if self.told.exists() else (False, 0)
+        was, before, new = opened, done, []
+        release = lambda seq, uri: Row(seq=seq, uri=uri, target_uri=key[0], position=done)
+        for row in sorted(rows, key=lambda r: (r.seq, r.is_meta)):
+            if row.is_meta:
+                new.append((row.seq, row.uri))
+            elif not opened:
+                opened = True
+                for seq, uri in self.waiting.get() if self.waiting.exists() else ():
+                    yield release(seq, uri)
+                    done += 1
+            if opened:
+                for seq, uri in new:
+                    yield release(seq, uri)
+                    done += 1
+                new = []
+        if new:
+            self.waiting.appendList(new)
+        if opened and not was:
+            self.waiting.clear()
+        if (opened, done) != (was, before):
+            self.told.update((opened, done))
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mask, closed = state.get if state.exists else (0, False)
-        rows = pd.concat(parts).sort_values(["sort_id", "negated"], ascending=[True, False])  # a negated match comes first
-        for row in rows.itertuples(index=False):
-            if closed:
-                break
-            if row.negated:
-                closed = True
-            else:
-                mask |= 1 << int(row.clause)
-                if mask == (1 << clauses) - 1:
-                    same = rows[(rows.sort_id == row.sort_id) & rows.negated]
-                    closed = True
-                    if same.empty:
-                        yield pd.DataFrame({"sort_id": [int(row.sort_id)], "file_id": [key[0]]})
-        state.update((mask, closed))
-
-    return matches.groupBy("file_id").applyInPandasWithState(step, "sort_id long, file_id long", "mask long, closed boolean", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
 def hold_until_target(steps: DataFrame) -> DataFrame:
     """Release meta-files once their target is there: a stream of (target_uri, seq, is_meta, uri, addresses) gives (seq, uri, target_uri, position).
 
     A file row opens each of its addresses (`addresses`, or else target_uri); the meta-files held under any of them follow it in the
-    order of their seq, later ones at once. State is kept per address.
+    order in which they came, later ones at once. State is kept per address, in output mode append.
     """
+    on_disk_state(steps.sparkSession)
     each = F.when(F.col("is_meta"), F.array("target_uri")).otherwise(F.coalesce("addresses", F.array("target_uri")))
     steps = steps.select(F.explode(each).alias("target_uri"), "seq", "is_meta", "uri")
+    return steps.groupBy("target_uri").transformWithState(_Hold(), "seq long, uri string, target_uri string, position long", "append", "none")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, seqs, uris, done = state.get if state.exists else (False, [], [], 0)
-        seqs, uris, out = list(seqs), list(uris), []
-        for row in pd.concat(parts).sort_values("seq").itertuples(index=False):
-            if not row.is_meta:
-                opened = True
-            else:
-                seqs.append(int(row.seq))
-                uris.append(row.uri)
-            if opened:
-                out += sorted(zip(seqs, uris, strict=True))
-                seqs, uris = [], []
-        state.update((opened, seqs, uris, done + len(out)))
-        if out:
-            yield pd.DataFrame({"seq": [s for s, _ in out], "uri": [u for _, u in out], "target_uri": key[0], "position": range(done, done + len(out))})
-
-    return steps.groupBy("target_uri").applyInPandasWithState(
-        step, "seq long, uri string, target_uri string, position long", "opened boolean, seqs array<long>, uris array<string>, done long", "append", GroupStateTimeout.NoTimeout
-    )
 
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Process what is there and stop; a later call with the same checkpoint goes on from there. Read the result with spark.read.parquet.
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there and stop; a later call with the same checkpoint goes on from there."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def maintain(stream: DataFrame, tables: dict[str, Callable[[DataFrame, Callable[[str], DataFrame | None]], DataFrame]], root: str, checkpoint: str) -> None:
-    """Append each micro-batch to all tables under its batch id; a marker makes the batch visible, so readers see all or nothing.
-
-    A table is made from the batch and a reader: of a name, what complete batches and this batch's tables so far hold, None at first.
+    In mode update every micro-batch is a folder of its own, written again if it is run again.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark, done = batch.sparkSession, []
-
-        def seen(name: str) -> DataFrame | None:
-            earlier = read_maintained(spark, name, root) if batch_id else None
-            own = spark.read.parquet(f"{root}/{name}/batch_id={batch_id}") if name in done else None
-            return own if earlier is None else earlier if own is None else earlier.union(own)
-
-        batch.persist()
-        for name, make in tables.items():
-            make(batch, seen).write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
-            done.append(name)
-        spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{root}/_complete/batch={batch_id}")
-        batch.unpersist()
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def read_maintained(spark: SparkSession, name: str, root: str) -> DataFrame:
-    done = spark.read.parquet(f"{root}/_complete").select("batch_id")
-    return spark.read.parquet(f"{root}/{name}").join(F.broadcast(done), "batch_id", "left_semi").drop("batch_id")
+    on_disk_state(stream.sparkSession)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.outputMode(mode).foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch_id={k}"))
+    writer.start().awaitTermination()
