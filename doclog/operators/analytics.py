@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import put_down
 from .catalog import Catalog
 
 
@@ -27,9 +28,24 @@ def term_stats(c: Catalog) -> DataFrame:
     return c.postings.groupBy("term").agg(F.count("*").alias("documents"))
 
 
-def link_graph(c: Catalog) -> DataFrame:
+def link_graph(c: Catalog, field: str = "link") -> DataFrame:
     """src_file_id, dst_uri, dst_file_id (oldest file of that address; null for dangling links)."""
-    links = c.metadata.filter("field = 'link'").select("meta_file_id", F.col("value").alias("dst_uri"))
+    links = c.metadata.filter(F.col("field") == field).select("meta_file_id", F.col("value").alias("dst_uri"))
     edges = links.join(c.targets(), "meta_file_id").select(F.col("file_id").alias("src_file_id"), "dst_uri").distinct()
     known = c.uris.groupBy("uri").agg(F.min("file_id").alias("dst_file_id"))
     return edges.join(known, F.col("dst_uri") == F.col("uri"), "left").select("src_file_id", "dst_uri", "dst_file_id")
+
+
+def backlinks_two_hops(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(src_file_id, dst_file_id, ways): files that link to files that link to a file, and over how many; edges (src_file_id, dst_file_id).
+
+    A file that more than `most` others link to is a hub: its backlinks are dealt over as many parts as they fill, and what it links to
+    goes to each part, so no task gets a hub whole. Loops and dangling links are no hops; a file may come back to itself.
+    """
+    hops = put_down(edges.filter("dst_file_id is not null and src_file_id <> dst_file_id").select("src_file_id", "dst_file_id").distinct())
+    hubs = hops.groupBy(F.col("dst_file_id").alias("via")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("via", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    first = hops.select("src_file_id", F.col("dst_file_id").alias("via")).join(hubs, "via", "left")
+    first = first.select("src_file_id", "via", F.pmod(F.hash("src_file_id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    second = hops.select(F.col("src_file_id").alias("via"), "dst_file_id").join(hubs, "via", "left")
+    second = second.select("via", "dst_file_id", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return first.join(second, ["via", "part"]).groupBy("src_file_id", "dst_file_id").agg(F.count("*").alias("ways"))

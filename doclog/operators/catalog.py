@@ -25,6 +25,8 @@ class Catalog:
     postings: DataFrame
     #: postings under stems, where the log has them
     stems: DataFrame | None = None
+    #: where terms stand: term, meta_file_id, positions (ascending)
+    places: DataFrame | None = None
 
     def targets(self) -> DataFrame:
         """meta_file_id, file_id: every file that a meta-file's target address stands for."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, first_token, porter_stem, split_tokens
+from ..storage import put_down
 from .catalog import Catalog, synonyms
 
 
@@ -59,13 +60,20 @@ def fulltext(c: Catalog, text: str) -> DataFrame:
 
 
 def phrase(c: Catalog, places: DataFrame, text: str) -> DataFrame:
-    """Files with a meta-file that holds all tokens of `text` in a row; `places` has meta_file_id, position and term."""
+    """Files with a meta-file that holds all tokens of `text` in a row; `places` has term, meta_file_id and positions.
+
+    Only the rows of its terms are read. Positions of the k-th token, less k, are places where the phrase may start; where all
+    tokens' places meet, it does.
+    """
     words = split_tokens(text)
     if not words:
         raise ValueError(f"no token in {text!r}")
-    parts = [places.filter(F.col("term") == w).select("meta_file_id", (F.col("position") - k).alias("at"), F.lit(k).alias("k")) for k, w in enumerate(words)]
-    found = reduce(DataFrame.union, parts).groupBy("meta_file_id", "at").agg(F.count_distinct("k").alias("n")).filter(F.col("n") == len(words))
-    return _earliest(c, found.select("meta_file_id"))
+    shifts = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in enumerate(words)))
+    mine = F.transform(F.filter(shifts, lambda x: x.w == F.col("term")), lambda x: F.struct(x.k.alias("k"), F.transform("positions", lambda p: p - x.k).alias("starts")))
+    each = places.filter(F.col("term").isin(*set(words))).select("meta_file_id", F.explode(mine).alias("x"))
+    whole = each.groupBy("meta_file_id").agg(F.collect_list("x.starts").alias("starts")).filter(F.size("starts") == len(words))
+    meet = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
+    return _earliest(c, whole.filter(F.size(meet) > 0).select("meta_file_id"))
 
 
 def metadata(c: Catalog, field: str, value: str, ignore_case: bool = False) -> DataFrame:
@@ -127,7 +135,7 @@ def many_queries(c: Catalog, clauses: DataFrame) -> DataFrame:
     meta = wanted.filter("kind = 'metadata'").join(c.metadata, ["field", "value"]).select("kind", "field", "value", "meta_file_id")
     full = wanted.filter("kind = 'fulltext'").join(c.postings.select(F.col("term").alias("value"), "meta_file_id"), "value").select("kind", "field", "value", "meta_file_id")
     own = ["kind", "field", "value"]
-    ages = meta.union(full).join(c.targets(), "meta_file_id").groupBy(*own, "file_id").agg(F.min("meta_file_id").alias("age"))
+    ages = put_down(meta.union(full).join(c.targets(), "meta_file_id").groupBy(*own, "file_id").agg(F.min("meta_file_id").alias("age")))  # used three times
     sizes = ages.groupBy(*own).agg(F.count("*").alias("files"))
     groups = asked.join(sizes, own, "left").groupBy("query_id", "group_id", "negated").agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
     plans = groups.groupBy("query_id").agg(F.min(F.when(~F.col("negated"), F.struct("files", "group_id"))).alias("rarest"), F.count_if(~F.col("negated")).alias("needed"), F.count_if(~F.col("negated") & (F.col("files") == 0)).alias("empty"))

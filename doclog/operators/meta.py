@@ -102,6 +102,23 @@ def add_metadata(rows: DataFrame) -> DataFrame:
     return flat.filter("value <> ''").distinct()
 
 
+def judge_parse(metas: DataFrame) -> DataFrame:
+    """`metas` as flatten_meta() gives them, with reason: why one is rejected by what it says, else null.
+
+    target: no valid first line; json: the body is no JSON, or is cut below the limit (so does one that repeats a key, if it has a value
+    of another kind); kind: some value, at any depth, is a number, a boolean, a null or an array, or the body is no map.
+    """
+    bad = F.when(F.try_parse_json("body").isNotNull(), "kind").otherwise("json")
+    return metas.withColumn("reason", F.when(F.col("target_uri").isNull(), "target").when(F.col("fields").isNull(), bad))
+
+
+def judge_target(judged: DataFrame, first: DataFrame) -> DataFrame:
+    """`judged` (meta_file_id, target_uri, reason, ...) with reason 412 where the target's first file (target_uri, file_id, of_meta) isn't there yet, or is a meta-file."""
+    known = judged.join(first, "target_uri", "left")
+    good = (F.col("file_id") < F.col("meta_file_id")) & ~F.col("of_meta")
+    return known.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(good, F.lit(False)), "412"))).drop("file_id", "of_meta")
+
+
 def validate_target(metas: DataFrame, uris: DataFrame, known_metas: DataFrame) -> DataFrame:
     """`metas` (meta_file_id, target_uri) whose target is an older file, its oldest one no meta-file."""
     older = metas.join(uris, F.col("target_uri") == F.col("uri")).filter("file_id < meta_file_id")
@@ -145,8 +162,10 @@ def build_postings(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(tokens(F.col("fulltext")))).alias("term"), "meta_file_id")
 
 
-def positions(texts: DataFrame) -> DataFrame:
-    return texts.select("meta_file_id", F.posexplode(tokens(F.col("fulltext"))).alias("position", "term"))
+def build_places(texts: DataFrame) -> DataFrame:
+    """term, meta_file_id, positions: where each term stands in a text, ascending; `texts` has meta_file_id and fulltext."""
+    flat = texts.select("meta_file_id", F.posexplode(tokens(F.col("fulltext"))).alias("at", "term"))
+    return flat.groupBy("term", "meta_file_id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
 def stem(word: Column) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog, dedup_files, ingest, uri_index
-from ..operators.meta import META_TYPES, add_metadata, build_postings, flatten_meta, split_target, stemmed, validate_target
+from ..operators.meta import META_TYPES, add_metadata, build_places, build_postings, flatten_meta, split_target, stemmed, validate_target
 from ..sources.writers import load_catalog, save_table
+from ..storage import shared
 
 MARKDOWN, PLAIN, HTML = "text/markdown; charset=utf-8", "text/plain; charset=utf-8", "text/html; charset=utf-8"
 HREF = 'href="([^"]*)"'
@@ -59,16 +57,6 @@ def meta_content(target: Column, fields: Column) -> Column:
     return F.concat(target, F.lit("\n\n{"), body, F.lit("}"))
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"  # a local master is one machine
-    return f"{root}/doclog-{uuid.uuid4().hex}"
-
-
 _built: dict[tuple[str, str], str] = {}
 
 
@@ -106,6 +94,7 @@ def build(spark: SparkSession, sf_dir: str, root: str) -> None:
     valid = kept.join(metafiles.select("meta_file_id"), "meta_file_id", "left_semi")
     save_table(add_metadata(valid), root, "metadata", ["field", "value"])
     save_table(build_postings(valid.filter("fulltext is not null")), root, "postings", ["term"])
+    save_table(build_places(valid.filter("fulltext is not null")), root, "places", ["term", "meta_file_id"], spread=True)
     save_table(stemmed(spark.read.parquet(f"{root}/postings")), root, "stems", ["term"])
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import address, text
-from ..operators import analytics, audit, filters, meta, results, sync
+from ..operators import analytics, audit, filters, meta, results, sync, tags
 from ..operators import catalog as files_of
 from ..sources import readers, writers
 from ..streaming import ingest as maintained
@@ -84,7 +85,7 @@ def skip_existing(spark, d):
 @query("SELECT DISTINCT f.file_id, d.doc_id % 7 AS session_id FROM documents d JOIN files f ON f.hash = sha256(d.text) AND f.type = CASE WHEN d.doc_id % 4 = 0 THEN 'text/markdown; charset=utf-8' ELSE 'text/plain; charset=utf-8' END")
 def provenance(spark, d):
     rows = ingested(spark, d)
-    submitted = rows.filter("seq < 1000000000").withColumn("session_id", F.expr("(seq - 1) div 10 % 7"))
+    submitted = rows.filter(F.col("type") != fx.HTML).withColumn("session_id", F.expr("(seq - 1) div 10 % 7"))
     return files_of.provenance(submitted.join(files_of.dedup_files(rows), ["hash", "type"]))
 
 
@@ -118,6 +119,49 @@ def meta_validate(spark, d):
     return fx.catalog(spark, d).metafiles
 
 
+BAD_META_SQL = """, bad0 AS (
+  SELECT 6000000000 + event_id AS seq, event_id % 8 AS k, CASE event_id % 8 WHEN 3 THEN '' WHEN 4 THEN 'hash://sha256/' || sha256('none ' || event_id) ELSE uri END AS target, event_type, event_id, props
+  FROM events JOIN d ON d.doc_id = event_id % 200
+), bad1 AS (
+  SELECT *, CASE k WHEN 1 THEN props WHEN 2 THEN '{"n":"' || event_id || '"' WHEN 6 THEN '{"n":["' || event_id || '"]}' WHEN 7 THEN '{"n":{"' || event_id || '":{"deep":"er"}}}' ELSE '{"n":"' || event_id || '","event":"' || event_type || '"}' END AS body FROM bad0
+), bad2 AS (
+  SELECT seq, k, CASE WHEN k = 5 THEN 'hash://sha256/' || sha256(lag(target || chr(10) || chr(10) || body, 5) OVER (ORDER BY seq)) ELSE target END AS target, body FROM bad1
+), bad AS (
+  SELECT arg_min(b, seq) AS b FROM (SELECT seq, {'seq': seq, 'target': target, 'body': body} AS b FROM bad2) GROUP BY b.target, b.body
+), judged AS (
+  SELECT b.seq AS meta_file_id, nullif(b.target, '') AS target_uri, b.body AS body,
+         CASE WHEN b.target = '' THEN 'target' WHEN NOT json_valid(b.body) THEN 'json'
+              WHEN (SELECT count(*) FROM json_tree(CASE WHEN json_valid(b.body) THEN b.body ELSE '{}' END) WHERE type NOT IN ('OBJECT', 'VARCHAR')) > 0 THEN 'kind'
+              WHEN b.target NOT IN (SELECT uri FROM d) THEN '412' END AS reason FROM bad
+)
+"""
+
+
+def bad_metas(spark, d):
+    """Meta-files of every event in eight kinds: whole ones, and such with a bad target, body, value, or a target that is no file yet or a meta-file."""
+    docs = fx.doc_uris(spark, d).select("doc_id", "doc_uri")
+    kind, number = F.col("event_id") % 8, F.col("event_id").cast("string")
+    around = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    unknown = around("hash://sha256/", F.sha2(around("none ", number), 256))
+    whole = around('{"n":"', number, '","event":"', F.col("event_type"), '"}')
+    body = F.when(kind == 1, F.col("props")).when(kind == 2, around('{"n":"', number, '"')).when(kind == 6, around('{"n":["', number, '"]}')).when(kind == 7, around('{"n":{"', number, '":{"deep":"er"}}}')).otherwise(whole)
+    events = fx.table(spark, d, "events")
+    rows = events.withColumn("doc_id", F.col("event_id") % 200).join(docs, "doc_id").select("event_id", F.when(kind == 3, "").when(kind == 4, unknown).otherwise(F.col("doc_uri")).alias("target"), body.alias("body"))
+    said = rows.withColumn("content", around(F.col("target"), "\n\n", F.col("body")))
+    first = said.filter(F.col("event_id") % 8 == 0).select((F.col("event_id") + 5).alias("event_id"), around("hash://sha256/", F.sha2("content", 256)).alias("of_meta"))
+    said = said.join(first, "event_id", "left").withColumn("content", F.when(F.col("of_meta").isNotNull(), around(F.col("of_meta"), "\n\n", F.col("body"))).otherwise(F.col("content")))
+    return said.select((F.col("event_id") + 6_000_000_000).alias("seq"), "content", F.lit(meta.META_TYPES[0]).alias("type"), F.lit(None).cast("string").alias("fulltext"))
+
+
+@query(BAD_META_SQL + "SELECT meta_file_id, target_uri, coalesce(reason, 'none') AS reason FROM judged")
+def rejected_metas(spark, d):
+    """The documents and a meta-file of each event as one micro-batch: what the log took (none), and what it rejected for which reason."""
+    log = maintained.LogTables(spark, shared(spark), 8)
+    docs = fx.blobs(spark, d).filter(F.col("type") != fx.HTML).select("seq", "content", "type", F.lit(None).cast("string").alias("fulltext"))
+    maintained.append_batch(log, docs.union(bad_metas(spark, d)), 0)
+    return log.read("rejects").select("meta_file_id", "target_uri", "reason").union(log.read("metafiles").select("meta_file_id", "target_uri", F.lit("none")))
+
+
 @query("SELECT target_uri, min(meta_file_id) AS meta_file_id FROM metafiles GROUP BY target_uri")
 def first_unique(spark, d):
     return meta.first_unique(fx.catalog(spark, d).metafiles)
@@ -161,6 +205,11 @@ def term_df(spark, d):
     return analytics.term_stats(fx.catalog(spark, d))
 
 
+@query("SELECT term, meta_file_id, list_sort(list(CAST(spot - 1 AS INTEGER))) AS positions FROM (SELECT meta_file_id, unnest(t) AS term, generate_subscripts(t, 1) AS spot FROM words) GROUP BY ALL")
+def term_places(spark, d):
+    return fx.catalog(spark, d).places
+
+
 @query()
 def postings_stemmed(spark, d):
     return meta.stemmed(meta.build_postings(fx.texts(spark, d)))
@@ -269,6 +318,29 @@ def reprocess(spark, d):
     return spark.read.parquet(path).select("target_uri", F.explode("fields").alias("f")).select("target_uri", "f.field", F.sha2("f.value", 256).alias("value_sha256"))
 
 
+class PageConverter:
+    """Links and the title of an HTML page."""
+
+    def eval(self, kind: str, content: str):
+        import re
+
+        for name, form in (("link", fx.HREF), ("title", "<title>([^<]*)</title>")):
+            for value in re.findall(form, content):
+                yield name, value
+
+
+@query("""SELECT 'page:' || page_id AS target_uri, 'link' AS field, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value FROM pages
+UNION ALL SELECT 'page:' || page_id, 'title', unnest(regexp_extract_all(html, '<title>([^<]*)</title>', 1)) FROM pages
+UNION ALL SELECT 'doc:' || doc_id, 'fulltext', text FROM documents""", log=False)
+def converted_custom(spark, d):
+    """Pages by a converter of our own, a Python table function, and documents by the columns for plain texts; the first that fits is used."""
+    pages = fx.table(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("uri"), F.lit(fx.HTML).alias("type"), F.col("html").alias("content"))
+    docs = fx.table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.lit(fx.PLAIN), "text")
+    own = writers.TableConverter(lambda t: t.startswith("text/html"), PageConverter)
+    late = writers.TableConverter(lambda t: t.startswith("text/"), PageConverter)
+    return writers.converted(pages.union(docs), [own, *writers.CONVERTERS, late])
+
+
 ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
@@ -341,7 +413,7 @@ def f_linked_from(spark, d):
 
 @query("""SELECT min(p.meta_file_id) AS sort_id, file_id FROM (SELECT meta_file_id, unnest(t) AS a, unnest(list_concat(t[2:], [''])) AS b FROM words) p JOIN targets USING (meta_file_id) WHERE a = 'of' AND b = 'the' GROUP BY file_id""")
 def f_phrase(spark, d):
-    return filters.phrase(fx.catalog(spark, d), meta.positions(fx.texts(spark, d)), "of the")
+    return filters.phrase(fx.catalog(spark, d), fx.catalog(spark, d).places, "of the")
 
 
 @query("SELECT max(sort_id) AS sort_id, file_id FROM ages WHERE (field = 'lang' AND value = 'en') OR (field = 'event' AND value = 'click') GROUP BY file_id HAVING count(*) = 2")
@@ -465,9 +537,107 @@ def link_graph(spark, d):
     return analytics.link_graph(fx.catalog(spark, d))
 
 
+EMBEDS_SQL = """, n AS (SELECT count(*) AS n FROM documents), embeds AS (
+  SELECT DISTINCT t.file_id AS src, u.file_id AS dst FROM d a, n JOIN d b ON b.doc_id = (a.doc_id * 7 + 3) % n JOIN targets t ON t.meta_file_id = 10 * a.doc_id + 2
+  JOIN (SELECT uri, min(file_id) AS file_id FROM uris GROUP BY uri) u ON u.uri = b.uri
+), hops AS (
+  SELECT DISTINCT src, dst FROM (SELECT src, dst FROM embeds UNION ALL SELECT a.file_id, u.file_id FROM ages a JOIN (SELECT uri, min(file_id) AS file_id FROM uris GROUP BY uri) u ON u.uri = a.value WHERE field = 'link') WHERE src <> dst
+)
+"""
+
+
+def embedding(spark, d):
+    """The log, whose documents embed others: the one seven times as far, and three more, round the table."""
+    c, docs = fx.catalog(spark, d), fx.doc_uris(spark, d).select("doc_id", "doc_uri")
+    n = docs.agg(F.count("*").alias("n"))
+    to = docs.select(F.col("doc_id").alias("to"), F.col("doc_uri").alias("value"))
+    own = docs.crossJoin(F.broadcast(n)).select("doc_id", ((F.col("doc_id") * 7 + 3) % F.col("n")).alias("to")).join(to, "to")
+    rows = own.select((10 * F.col("doc_id") + 2).alias("meta_file_id"), F.lit("embed").alias("field"), "value").join(c.metafiles.select("meta_file_id"), "meta_file_id", "left_semi")
+    return replace(c, metadata=c.metadata.union(rows.select("meta_file_id", "field", "value")))
+
+
+@query(EMBEDS_SQL + "SELECT a.src AS src_file_id, b.dst AS dst_file_id, count(*) AS ways FROM hops a JOIN hops b ON a.dst = b.src GROUP BY ALL")
+def backlinks_two_hops(spark, d):
+    """Over links and embeds, with hubs split from 20 backlinks on."""
+    c = embedding(spark, d)
+    return analytics.backlinks_two_hops(analytics.link_graph(c).union(analytics.link_graph(c, "embed")), most=20)
+
+
+TAGS_SQL = """, lev AS (
+  SELECT file_id, event_type AS tag, user_id % 4 AS level, min(m.meta_file_id) AS sort_id FROM events JOIN metafiles m ON m.meta_file_id = 4000000000 + event_id JOIN targets t ON t.meta_file_id = m.meta_file_id GROUP BY ALL
+), num AS (SELECT *, row_number() OVER (PARTITION BY file_id, tag ORDER BY level) - 1 AS nth, max(sort_id) OVER (PARTITION BY file_id, tag ORDER BY level) AS since FROM lev),
+ask AS (SELECT DISTINCT 4000000000 + event_id AS "at", event_type AS tag FROM events WHERE event_id % 500 = 499)
+SELECT "at", file_id, tag, max(since) FILTER (level % 2 = 0) AS since FROM num JOIN ask USING (tag) WHERE nth = level AND since <= "at" GROUP BY "at", file_id, tag HAVING count(*) % 2 = 1"""
+
+
+def tagging(spark, d):
+    """The log, whose events set their type as a tag of the document, or take it back, by the user's number."""
+    c = fx.catalog(spark, d)
+    level = F.col("user_id") % 4
+    value = F.when(level == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit("~"), level.cast("string")))
+    rows = fx.table(spark, d, "events").select((F.col("event_id") + 4_000_000_000).alias("meta_file_id"), F.lit("tag").alias("field"), value.alias("value"))
+    return replace(c, metadata=rows.join(c.metafiles.select("meta_file_id"), "meta_file_id", "left_semi"))
+
+
+def tags_asked(spark, d):
+    return fx.table(spark, d, "events").filter("event_id % 500 = 499").select(F.col("event_type").alias("tag"), (F.col("event_id") + 4_000_000_000).alias("at"))
+
+
+@query(TAGS_SQL)
+def tags_as_of(spark, d):
+    """Which files had a tag at the log positions of every 500th event."""
+    return tags.tags_as_of(tags.tag_intervals(tags.tag_levels(tagging(spark, d))), tags_asked(spark, d))
+
+
+@query(TAGS_SQL)
+def tail_tags(spark, d):
+    """The same from a stream of the levels' first sights, in two halves."""
+    c = tagging(spark, d)
+    said = c.metadata.join(c.targets(), "meta_file_id").select(F.col("meta_file_id").alias("sort_id"), "file_id", "value")
+    levels = said.select("sort_id", "file_id", *tags.parsed(F.col("value")))
+    seen = follow(spark, levels, shared(spark), "sort_id", lambda s: tails.tail(s, ("file_id", "tag", "level")), "update")
+    return tags.tags_as_of(tags.tag_intervals(seen), tags_asked(spark, d))
+
+
 # Sync and audit
 
 
+@query(EMBEDS_SQL + """, held AS (SELECT file_id FROM files WHERE file_id % 3 = 0),
+walk(file_id, depth) AS (
+  SELECT file_id, 0 FROM targets WHERE file_id % 97 = 1 AND file_id NOT IN (SELECT file_id FROM held)
+  UNION SELECT e.dst, depth + 1 FROM walk w JOIN embeds e ON e.src = w.file_id WHERE depth < 60 AND e.dst NOT IN (SELECT file_id FROM held)
+) SELECT file_id, min(depth) AS depth FROM walk GROUP BY file_id""")
+def sync_closure(spark, d):
+    """What a 97th of the visible files embeds, and what that embeds, and so on, but for what the destination has."""
+    c = embedding(spark, d)
+    wanted = filters.visible(c).filter("file_id % 97 = 1")
+    return sync.sync_closure(analytics.link_graph(c, "embed"), wanted, c.files.filter("file_id % 3 = 0"))
+
+
+@query("""SELECT pull_id, source_id, sort_id, file_id, uri FROM (
+  SELECT source_id, file_id, arg_min({'p': pull_id, 's': sort_id}, pull_id) AS x, 'hash://sha256/' || any_value(hash) AS uri FROM (
+    SELECT m % 3 AS source_id, pull_id, sort_id, a.file_id, hash FROM (
+      SELECT 10 + row_number() OVER (ORDER BY source) AS pull_id, row_number() OVER (ORDER BY source) AS m, source, CASE (row_number() OVER (ORDER BY source)) % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS lang FROM (SELECT DISTINCT source FROM documents)
+    ) p JOIN (SELECT s.file_id, greatest(s.sort_id, l.sort_id) AS sort_id, s.value AS source, l.value AS lang FROM ages s JOIN ages l ON l.file_id = s.file_id AND l.field = 'lang' WHERE s.field = 'source') a USING (source, lang)
+    JOIN files f ON f.file_id = a.file_id WHERE a.file_id % 5 <> m % 3 AND NOT EXISTS (SELECT 1 FROM ages t WHERE t.field = 'toxic' AND t.value = '1' AND t.file_id = a.file_id AND t.sort_id <= a.sort_id)
+      AND hash NOT IN (SELECT hash FROM files WHERE file_id % 7 = 0)
+  ) GROUP BY source_id, file_id), LATERAL (SELECT x.p AS pull_id, x.s AS sort_id)""")
+def pull_sets(spark, d):
+    """A pull for each name of a source, of three sources by turns: its documents in one of four languages that aren't toxic."""
+    c = fx.catalog(spark, d)
+    names = fx.table(spark, d, "documents").select("source").distinct()
+    number = F.row_number().over(Window.orderBy("source"))  # over the names of sources
+    pulls = names.withColumn("m", number).select("source", "m", (F.col("m") + 10).alias("pull_id"), (F.col("m") % 3).alias("source_id"))
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("m") % 4 + 1).cast("int"))
+    clause = lambda g, field, value, negated: F.struct(F.lit(g).alias("group_id"), F.lit("metadata").alias("kind"), F.lit(field).alias("field"), value.alias("value"), F.lit(negated).alias("negated"))
+    each = F.array(clause(0, "source", F.col("source"), False), clause(1, "lang", lang, False), clause(2, "toxic", F.lit("1"), True))
+    clauses = pulls.select(F.col("pull_id").alias("query_id"), F.explode(each).alias("x")).select("query_id", "x.*")
+    files = results.with_uri(c.files.select("file_id"), c.files).select("file_id", "uri")
+    sources = F.filter(F.array(*map(F.lit, (0, 1, 2))), lambda s: F.col("file_id") % 5 != s)
+    holdings = files.select(F.explode(sources).alias("source_id"), "file_id", "uri")
+    return sync.pull_sets(c, pulls, clauses, holdings, files.filter("file_id % 7 = 0"))
+
+
 def split_log(spark, d):
     c = fx.catalog(spark, d)
     rows = results.with_uri(c.files.select("file_id", F.col("file_id").alias("sort_id")), c.files).select("file_id", "uri", "type")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,24 +34,63 @@ def dump(files: DataFrame, metas: DataFrame, path: str) -> None:
     blobs.repartition("algo", "prefix").write.partitionBy("algo", "prefix").parquet(f"{path}/blobs")
 
 
-Converter = tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column], Column]]
+class Converter(NamedTuple):
+    """What turns a text of some types into links and embeds, as columns."""
+
+    fits: Callable[[Column], Column]
+    links: Callable[[Column], Column]
+    embeds: Callable[[Column], Column]
+
+    def rows(self, files: DataFrame) -> DataFrame:
+        return files.select("uri", F.explode(fields_of(self.links(F.col("content")), self.embeds(F.col("content")), F.col("content"))).alias("f")).select("uri", "f.field", "f.value")
+
+
+class TableConverter(NamedTuple):
+    """A converter of one's own: a Python table function of (type, content) that gives any number of rows (field, value) for a text."""
+
+    fits: Callable[[Column], Column]
+    function: type
+
+    def rows(self, files: DataFrame) -> DataFrame:
+        made = F.udtf(self.function, returnType="field string, value string")
+        return files.lateralJoin(made(F.col("type").outer(), F.col("content").outer())).select("uri", "field", "value").filter("field is not null and value is not null")
+
+
 NONE = lambda body: F.array().cast("array<string>")
-#: What turns a text into links and embeds: (type test, links, embeds); the first whose test holds is used.
-CONVERTERS: Sequence[Converter] = (
-    (lambda t: F.lower(t).rlike(r"^text/(x-)?markdown\b"), links_in_markdown, embeds_in_markdown),
-    (is_text_type, links_in_text, NONE),
+#: The first whose test of the type holds is used.
+CONVERTERS: Sequence[Converter | TableConverter] = (
+    Converter(lambda t: F.lower(t).rlike(r"^text/(x-)?markdown\b"), links_in_markdown, embeds_in_markdown),
+    Converter(is_text_type, links_in_text, NONE),
 )
 
 
+def fields_of(links: Column, embeds: Column, content: Column) -> Column:
+    """Fields of a converted text; null where it is refused."""
+    pair = lambda name: lambda v: F.struct(F.lit(name).alias("field"), v.alias("value"))
+    return F.concat(F.transform(links, pair("link")), F.transform(embeds, pair("embed")), F.array(pair("fulltext")(content)))
+
+
 def fulltext_meta(files: DataFrame, converters: Sequence[Converter] = CONVERTERS) -> DataFrame:
     """target_uri and fields (link, embed, fulltext) of a meta-file for each text file (uri, type, content string)."""
     links, embeds, any_ = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit(False)
-    for fits, link, embed in reversed(converters):
-        own = fits(F.col("type"))
-        links, embeds, any_ = F.when(own, link(F.col("content"))).otherwise(links), F.when(own, embed(F.col("content"))).otherwise(embeds), any_ | own
-    pair = lambda name: lambda v: F.struct(F.lit(name).alias("field"), v.alias("value"))
-    fields = F.concat(F.transform(links, pair("link")), F.transform(embeds, pair("embed")), F.array(pair("fulltext")(F.col("content"))))
-    return files.filter(any_).select(F.col("uri").alias("target_uri"), fields.alias("fields")).filter("fields is not null")
+    for c in reversed(converters):
+        own = c.fits(F.col("type"))
+        links, embeds, any_ = F.when(own, c.links(F.col("content"))).otherwise(links), F.when(own, c.embeds(F.col("content"))).otherwise(embeds), any_ | own
+    return files.filter(any_).select(F.col("uri").alias("target_uri"), fields_of(links, embeds, F.col("content")).alias("fields")).filter("fields is not null")
+
+
+def converted(files: DataFrame, converters: Sequence[Converter | TableConverter] = CONVERTERS) -> DataFrame:
+    """target_uri, field, value of files (uri, type, content string): a row for each value, by the first converter that fits the type.
+
+    Converters may be columns or table functions in Python; only files that come to a table function go through Python. A null type
+    fits none.
+    """
+    which = F.lit(None).cast("int")
+    for k, c in reversed(list(enumerate(converters))):
+        which = F.when(c.fits(F.col("type")), k).otherwise(which)
+    dealt = files.select("uri", "type", "content", which.alias("which"))
+    parts = [c.rows(dealt.filter(F.col("which") == k)) for k, c in enumerate(converters)]
+    return reduce(DataFrame.union, parts).withColumnRenamed("uri", "target_uri")
 
 
 def reprocess(files: DataFrame, path: str, converters: Sequence[Converter] = CONVERTERS) -> None:
@@ -57,11 +98,12 @@ def reprocess(files: DataFrame, path: str, converters: Sequence[Converter] = CON
     fulltext_meta(files, converters).write.mode("append").parquet(path)
 
 
-def save_table(rows: DataFrame, root: str, name: str, keys: list[str]) -> None:
-    """Write a table clustered by its lookup keys, so that equality filters skip row groups."""
+def save_table(rows: DataFrame, root: str, name: str, keys: list[str], *, spread: bool = False) -> None:
+    """Write a table clustered by its lookup keys, so that equality filters skip row groups; `spread`: sorted over all its files."""
+    rows = rows.repartitionByRange(*keys) if spread else rows
     rows.sortWithinPartitions(*keys).write.mode("append").parquet(f"{root}/{name}")
 
 
 def load_catalog(spark: SparkSession, root: str) -> Catalog:
     files, uris, metafiles, metadata, postings = (spark.read.parquet(f"{root}/{name}") for name in ("files", "uris", "metafiles", "metadata", "postings"))
-    return Catalog(files, uris, metafiles.select("meta_file_id", "target_uri"), metadata, postings, spark.read.parquet(f"{root}/stems"))
+    return Catalog(files, uris, metafiles.select("meta_file_id", "target_uri"), metadata, postings, spark.read.parquet(f"{root}/stems"), spark.read.parquet(f"{root}/places"))

@@ -1,4 +1,4 @@
-"""The five tables of a log, kept up to date by its micro-batches (seq, content, type, fulltext).
+"""The tables of a log and the meta-files that it rejected, kept up to date by its micro-batches (seq, content, type, fulltext).
 
 The log comes in the order of seq, batch by batch: a meta-file's target is in an earlier batch or in its own. A batch is hashed and
 parsed once. Two questions need history: is a file new (by its hash), and what was the first file of a target (by its address). The
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import dedup_files, ingest, uri_index
-from ..operators.meta import add_metadata, build_postings, flatten_meta, is_meta, split_target
+from ..operators.meta import add_metadata, build_postings, flatten_meta, is_meta, judge_parse, judge_target, split_target
 
 #: Columns of the tables, and the key that a table is bucketed by.
 TABLES = {
@@ -26,6 +26,7 @@ TABLES = {
     "metafiles": ("meta_file_id long, target_uri string", None),
     "metadata": ("meta_file_id long, field string, value string", None),
     "postings": ("term string, meta_file_id long", None),
+    "rejects": ("meta_file_id long, target_uri string, reason string", None),
 }
 
 
@@ -91,24 +92,25 @@ def first_files(history: DataFrame, own: DataFrame, metas: DataFrame) -> DataFra
 
 def append_batch(log: LogTables, batch: DataFrame, batch_id: int) -> None:
     """One micro-batch into all tables; the batch is parsed once, and kept until its tables are written."""
-    metas = flatten_meta(split_target(batch.filter(is_meta(F.col("type")))))
+    metas = judge_parse(flatten_meta(split_target(batch.filter(is_meta(F.col("type"))))))
     others = batch.filter(~is_meta(F.col("type")))
-    kept = ("target_uri", "fields", "fulltext")
-    none = [F.lit(None).cast("string").alias("target_uri"), F.lit(None).cast("array<struct<field: string, value: string>>").alias("fields"), F.lit(None).cast("string").alias("fulltext")]
-    staged = ingest(metas, keep=kept).unionByName(ingest(others).select("*", *none)).persist()
+    kept = {"target_uri": "string", "fields": "array<struct<field: string, value: string>>", "fulltext": "string", "reason": "string"}
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in kept.items()]
+    staged = ingest(metas, keep=tuple(kept)).unionByName(ingest(others).select("*", *none)).persist()
     known = log.put_down("known", known_files(log.before("files", batch_id), staged))
     files = log.write("files", dedup_files(staged).join(known, ["hash", "type"], "left_anti"), batch_id)
     new = staged.join(files.select(F.col("file_id").alias("seq")), "seq", "left_semi")
     meta = is_meta(F.col("type"))
-    said = new.filter(meta).select(F.col("seq").alias("meta_file_id"), *kept)
     uris = log.write("uris", uri_index(new).join(files.select("file_id", meta.alias("of_meta")), "file_id"), batch_id)
-    first = first_files(log.before("uris", batch_id), uris, said)
-    valid = said.join(first, "target_uri").filter("file_id < meta_file_id and not of_meta").persist()
+    said = new.filter(meta).select(F.col("seq").alias("meta_file_id"), *kept)
+    judged = judge_target(said, first_files(log.before("uris", batch_id), uris, said)).persist()
+    log.write("rejects", judged.filter("reason is not null"), batch_id)
+    valid = judged.filter("reason is null")
     log.write("metafiles", valid, batch_id)
     log.write("metadata", add_metadata(valid), batch_id)
     log.write("postings", build_postings(valid.filter("fulltext is not null")), batch_id)
     log.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1).write.mode("overwrite").parquet(f"{log.root}/complete/batch={batch_id}")
-    valid.unpersist()
+    judged.unpersist()
     staged.unpersist()
 
 
