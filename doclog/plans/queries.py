@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import address, text
 from ..operators import analytics, audit, filters, meta, results, sync, tags
 from ..operators import catalog as files_of
+from ..sources import follow as lists
 from ..sources import readers, writers
 from ..streaming import ingest as maintained
 from ..streaming import tail as tails
@@ -795,6 +796,18 @@ def hold_until_target(spark, d):
     return follow(spark, files.union(metas), shared(spark), "seq", tails.hold_until_target)
 
 
+@query("SELECT 'hash://sha256/' || hash AS uri, CAST(count(*) AS INTEGER) AS times FROM files SEMI JOIN targets USING (file_id) GROUP BY hash")
+def resume_from_list(spark, d):
+    """A list of all visible files that comes in two parts: followed to the end of the first one, stopped, and followed again."""
+    c, root = fx.catalog(spark, d), shared(spark)
+    rows = results.with_uri(filters.visible(c), c.files).select("sort_id", "file_id", "uri")
+    middle = rows.approxQuantile("sort_id", [0.5], 0.01)[0]
+    for k, part in enumerate((rows.filter(F.col("sort_id") <= middle), rows.filter(F.col("sort_id") > middle))):
+        writers.write_uri_list(part, f"{root}/list/{k}")
+        tails.run_to_end(lists.follow_list(spark, f"{root}/list"), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").groupBy("uri").agg(F.count("*").cast("int").alias("times"))
+
+
 @query("""SELECT 'files' AS name, file_id AS id, type AS a, hash AS b FROM files UNION ALL SELECT 'uris', file_id, uri, NULL FROM uris UNION ALL SELECT 'metafiles', meta_file_id, target_uri, NULL FROM metafiles
 UNION ALL SELECT 'metadata', meta_file_id, field, value FROM metadata UNION ALL SELECT 'postings', meta_file_id, term, NULL FROM postings""")
 def maintained_tables(spark, d):
