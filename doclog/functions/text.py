@@ -11,11 +11,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 #: Types whose content is text.
 TEXT_TYPES = ("text/markdown", "text/plain", "text/x-markdown")
-#: What a link in plain text is, so that texts give the links that they gave elsewhere; the repeats are bounded here:
-#: scheme:, wwwN. or host.tld/ and a run of at most 2000 characters, and what no link ends with.
-LINK = r"(?i)(?:[a-z][a-z0-9_-]{1,62}:(?:/{1,3}|[a-z0-9%])|www[0-9]{0,3}[.]|[a-z0-9.-]{1,253}[.][a-z]{2,4}/)[^\s()<>]{1,2000}+(?:\([^\s()<>]{0,500}\)[^\s()<>]{0,500}+)*+"
+#: Fixed values, which decide what a text says, so that texts say here what they said elsewhere. A link: scheme:, wwwN. or host.tld/ and
+#: a run without blanks, with brackets closed in it, and what no link ends with. Every repeat keeps what it took, so a text is read once.
+LINK = r"(?i)(?:[a-z][a-z0-9_-]{1,62}:(?:/{1,3}|[a-z0-9%])|www[0-9]{0,3}[.]|[a-z0-9.-]{1,253}[.][a-z]{2,4}/)[^\s()<>]++(?:\([^\s()<>]*+\)[^\s()<>]*+)*+"
 LINK_END = "[`!\\[\\]{};:'\".,?«»“”‘’]+$"
+#: Bytes of a text that is read for links.
 TEXT_LIMIT = 1 << 20
+#: Characters of a tag, and the fewest of them; the fewest characters of a keyword and what its line starts with.
+TAG, LEAST_TAG = "0-9A-Za-z_-", 3
+KEYWORD_LINE, LEAST_KEYWORD = "Keywords: ", 3
+#: The longest title; what a line that is no title ends or begins with.
+TITLE, SENTENCE_ENDS, QUOTE_OR_HEADING = 40, (".", "?", "!", ":"), (">", "#")
+#: A calendar date with one or two dashes after the year; digits of the groups of a phone number and what may stand before it.
+DATE = "[0-9]{4}--?[0-9]{2}-[0-9]{2}"
+PHONE, COUNTRY = (3, 3, 4), "1-"
+
+# Markdown: an approximation by patterns of our own. A target may hold brackets that are closed in it; link texts hold none.
+TARGET = r"<?((?:[^\s()<>]++|\([^\s()<>]*+\))++)>?"
+INLINE = r"\[[^\[\]\n]*+\]\(\s*+" + TARGET + r"(?:\s++[^()\n]*+)?\)"
+IMAGE, REFERENCE, BRACKETED = "!" + INLINE, r"(?m)^ {0,3}\[[^\[\]\n]++\]:[ \t]++<?([^\s<>]++)>?", r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*+)>"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -103,24 +117,15 @@ def links_in_text(body: Column) -> Column:
 
 
 def links_in_markdown(body: Column) -> Column:
-    """Inline, reference and bracketed link targets, and plain links; an approximation of Markdown by patterns."""
-    inline = F.regexp_extract_all(body, F.lit(r"(?<!!)\[[^\]\n]{0,500}\]\(\s{0,5}<?([^\s)<>]{1,2000})>?[^)\n]{0,200}\)"), 1)
-    reference = F.regexp_extract_all(body, F.lit(r"(?m)^ {0,3}\[[^\]\n]{1,500}\]:\s{1,5}<?([^\s<>]{1,2000})>?"), 1)
-    bracketed = F.regexp_extract_all(body, F.lit(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]{0,2000})>"), 1)
-    images = r"!\[[^\]\n]{0,500}\]\([^)\n]{0,2200}\)"
-    plain = links_in_text(F.regexp_replace(body, images, " "))
-    return F.array_distinct(F.concat(inline, reference, bracketed, F.coalesce(plain, F.array().cast("array<string>"))))
+    """Inline, reference and bracketed link targets, and plain links, of any length; images are no links, but may stand for a link's text."""
+    text = F.regexp_replace(body, IMAGE, " ")
+    marked = F.concat(*(F.regexp_extract_all(text, F.lit(form), 1) for form in (INLINE, REFERENCE, BRACKETED)))
+    return F.array_distinct(F.concat(marked, F.coalesce(links_in_text(text), F.array().cast("array<string>"))))
 
 
 def embeds_in_markdown(body: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"!\[[^\]\n]{0,500}\]\(\s{0,5}<?([^\s)<>]{1,2000})>?[^)\n]{0,200}\)"), 1))
-
-
-#: Characters of a tag, and the fewest of them; the longest title; the fewest characters of a keyword and what its line starts with.
-TAG, LEAST_TAG, TITLE = "0-9A-Za-z_-", 3, 40
-KEYWORD_LINE, LEAST_KEYWORD = "Keywords: ", 3
-#: A calendar date with one or two dashes after the year.
-DATE = "[0-9]{4}--?[0-9]{2}-[0-9]{2}"
+    """Targets of images, of any length."""
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(IMAGE), 1))
 
 
 def lines_of(body: Column) -> Column:
@@ -148,8 +153,8 @@ def topic(body: Column, longest: int = TITLE) -> Column:
     """
     lines = lines_of(body)
     line = F.when((F.size(lines) > 2) & (F.get(lines, F.lit(1)) == ""), F.get(lines, F.lit(0)))
-    ends = F.right(line, F.lit(1)).isin(".", "?", "!", ":")
-    marked = F.left(line, F.lit(1)).isin(">", "#") | F.startswith(line, F.lit("\\#"))
+    ends = F.right(line, F.lit(1)).isin(*SENTENCE_ENDS)
+    marked = F.left(line, F.lit(1)).isin(*QUOTE_OR_HEADING) | F.startswith(line, F.lit("\\#"))
     label = F.regexp_extract(line, r"^([^:]*):\S", 1)
     labelled = label.rlike(f"^[0-9A-Za-z_][{TAG}]*$")
     dated = F.split(line, rf"\b{DATE}[0-9]?\b", 2)
@@ -177,7 +182,7 @@ def dates(body: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, instant), lambda x: x.isNotNull()))
 
 
-def phones(body: Column, groups: tuple[int, int, int] = (3, 3, 4), country: str = "1-") -> Column:
+def phones(body: Column, groups: tuple[int, int, int] = PHONE, country: str = COUNTRY) -> Column:
     """Numbers of three groups of digits joined by dashes, the first in brackets or behind the country's digit and a dash."""
     area, middle, last = (f"[0-9]{{{n}}}" for n in groups)
     return F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?:\({area}\) |\b(?:{country})?{area}-){middle}-{last}\b"), 0))

@@ -48,6 +48,25 @@ def hash_uris(spark, d):
     return files_of.uri_index(ingested(spark, d)).filter("not startswith(uri, 'hash://sha512/')")
 
 
+@query("""SELECT DISTINCT 'hash://' || x.a || '/' || x.h AS uri, file_id FROM (
+SELECT min(seq) AS file_id, unnest([{'a': 'md5', 'h': md5(content)}, {'a': 'md5', 'h': left(md5(content), 24)}, {'a': 'sha1', 'h': sha1(content)}, {'a': 'sha1', 'h': left(sha1(content), 24)}]) AS x FROM blob WHERE content <> '' GROUP BY content, type)""")
+def hash_plugin(spark, d):
+    """Addresses by a table of algorithms of our own: one more, and one of the usual ones."""
+    own = {"md5": (16, F.md5), "sha1": address.ALGORITHMS["sha1"]}
+    return files_of.uri_index(files_of.ingest(fx.blobs(spark, d), own))
+
+
+@query("""SELECT doc_id, 'text/plain' AS type, sha256(text || chr(10)) AS content_sha256, sha256(chr(10) || left(text || chr(10), 524288)) AS fulltext_sha256, 'hash://sha256/' || sha256(text || chr(10)) AS target_uri FROM documents""", log=False)
+def read_tree(spark, d):
+    """Every document as a file of a tree, read back with its type, title and text, and the meta-file's target; titles are the writer's names."""
+    path = shared(spark)
+    fx.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path, lineSep="\n")
+    tree = readers.read_tree(spark, path).filter("title like '%.txt'")
+    metas = readers.tree_meta(tree.select("*")).select("target_uri", F.filter("fields", lambda f: f.field == "source-path")[0].value.alias("path"))
+    rows = tree.select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "path", "type", F.sha2("content", 256).alias("content_sha256"), F.sha2(F.expr("substring(fulltext, length(title) + 1)"), 256).alias("fulltext_sha256"))
+    return rows.join(metas, "path").drop("path")
+
+
 @query("SELECT doc_id, 'sha256' AS algo, left(sha256(text), 24) AS hash, 'q=1' AS query, 'f' AS fragment FROM documents", log=False)
 def parse_uris(spark, d):
     short = address.short_uri(F.col("doc_uri"))
@@ -495,16 +514,44 @@ def first_match(spark, d):
     return results.first(filters.metadata(fx.catalog(spark, d), "lang", "fr"))
 
 
-@query("SELECT file_id, './unknown/' || hash AS path, false AS escapes FROM ages JOIN files USING (file_id) WHERE field = 'lang' AND value = 'es'")
+NAMED_SQL = """, said AS (
+  SELECT 10 * doc_id + 2 AS meta_file_id, unnest(list_filter([
+    {'field': 'title', 'value': CASE WHEN doc_id % 3 = 1 THEN 'Title ' || source || ' of ' || doc_id END}, {'field': 'title', 'value': CASE WHEN doc_id % 6 = 1 THEN 'A title of ' || doc_id END},
+    {'field': 'description', 'value': CASE WHEN doc_id % 5 = 2 THEN 'about ' || lang END},
+    {'field': 'source-path', 'value': CASE WHEN doc_id % 7 = 0 THEN 'texts/' || source || '/' || doc_id WHEN doc_id % 7 = 1 THEN '../' || doc_id WHEN doc_id % 7 = 2 THEN '/etc/' || doc_id WHEN doc_id % 7 = 3 THEN 'a/..b/' || doc_id END}
+  ], lambda x: x.value IS NOT NULL)) AS f FROM d
+), named AS (SELECT DISTINCT meta_file_id, target_uri, f.field AS field, f.value AS value FROM said JOIN metafiles USING (meta_file_id)),
+of_file AS (SELECT DISTINCT file_id, field, value FROM named JOIN targets USING (meta_file_id)),
+of_uri AS (SELECT target_uri, field, arg_min(value, (meta_file_id, value)) AS value FROM named GROUP BY ALL)
+"""
+
+
+def naming(spark, d):
+    """The log, some of whose documents have titles (one or two), descriptions and source paths, safe ones and others."""
+    c, n = fx.catalog(spark, d), F.col("doc_id")
+    text_of = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    path = F.when(n % 7 == 0, text_of("texts/", F.col("source"), "/", n)).when(n % 7 == 1, text_of("../", n)).when(n % 7 == 2, text_of("/etc/", n)).when(n % 7 == 3, text_of("a/..b/", n))
+    said = F.array(
+        fx.pair("title", F.when(n % 3 == 1, text_of("Title ", F.col("source"), " of ", n))), fx.pair("title", F.when(n % 6 == 1, text_of("A title of ", n))),
+        fx.pair("description", F.when(n % 5 == 2, text_of("about ", F.col("lang")))), fx.pair("source-path", path),
+    )
+    rows = fx.table(spark, d, "documents").select((10 * n + 2).alias("meta_file_id"), F.explode(F.filter(said, lambda x: x.value.isNotNull())).alias("f")).select("meta_file_id", "f.*")
+    return replace(c, metadata=c.metadata.union(rows.join(c.metafiles.select("meta_file_id"), "meta_file_id", "left_semi")))
+
+
+@query(NAMED_SQL + """SELECT file_id, coalesce(min(l.value) FILTER (l.field = 'source-path'), './unknown/' || coalesce(min(l.value) FILTER (l.field = 'title'), any_value(hash))) AS path,
+  coalesce(min(l.value) FILTER (l.field = 'source-path'), '') SIMILAR TO '(/.*|\\.\\./.*)' AS escapes FROM ages a JOIN files USING (file_id) LEFT JOIN (SELECT file_id, field AS f, value AS v FROM of_file) o USING (file_id), LATERAL (SELECT coalesce(o.f, '') AS field, o.v AS value) l
+WHERE a.field = 'lang' AND a.value = 'es' GROUP BY file_id""")
 def export_paths(spark, d):
-    c = fx.catalog(spark, d)
+    c = naming(spark, d)
     return results.export_plan(c, filters.metadata(c, "lang", "es"))
 
 
-@query("""SELECT file_id, '(no title)' AS title, '(no description)' AS description, 'hash://sha256/' || hash AS hash_uri, '/file/sha256/' || hash AS raw_uri, '?q=hash%3A%2F%2Fsha256%2F' || hash AS query_uri,
-'?q=hash%3A%2F%2Fsha256%2F' || left(hash, 24) AS short_uri, '?q=link%3Dhash%3A%2F%2Fsha256%2F' || hash AS backlinks_uri, CASE WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE printf('%.0f B', CAST(size AS DOUBLE)) END AS size FROM targets JOIN files USING (file_id) GROUP BY ALL""")
+@query(NAMED_SQL + """SELECT file_id, coalesce(any_value(t.value), '(no title)') AS title, coalesce(any_value(e.value), '(no description)') AS description, 'hash://sha256/' || hash AS hash_uri, '/file/sha256/' || hash AS raw_uri, '?q=hash%3A%2F%2Fsha256%2F' || hash AS query_uri,
+'?q=hash%3A%2F%2Fsha256%2F' || left(hash, 24) AS short_uri, '?q=link%3Dhash%3A%2F%2Fsha256%2F' || hash AS backlinks_uri, CASE WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE printf('%.0f B', CAST(size AS DOUBLE)) END AS size FROM targets JOIN files USING (file_id)
+LEFT JOIN of_uri t ON t.field = 'title' AND t.target_uri = 'hash://sha256/' || hash LEFT JOIN of_uri e ON e.field = 'description' AND e.target_uri = 'hash://sha256/' || hash GROUP BY ALL""")
 def preview(spark, d):
-    c = fx.catalog(spark, d)
+    c = naming(spark, d)
     return results.preview(c, filters.visible(c))
 
 

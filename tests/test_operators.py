@@ -204,6 +204,9 @@ def test_porter(spark):
         (text.dates, "on 2024--02-03 3:05 PM and 2024-13-01", ["2024-02-03T15:05:00Z"]), (text.phones, "1-234-567-8901 or (234) 567-8901", ["1-234-567-8901", "(234) 567-8901"]),
         (text.links_in_text, "see http://a.b/c(d). and (www.x.org/y)", ["http://a.b/c(d)", "www.x.org/y"]), (text.links_in_text, "x" * (1 << 20) + " http://a.b/", None),
         (text.links_in_markdown, "[a](http://x.y/z) ![i](pic.png) <http://q.r/>", ["http://x.y/z", "http://q.r/"]), (text.embeds_in_markdown, "![i](pic.png) [a](b)", ["pic.png"]),
+        (text.links_in_text, "http://a.b/" + "x" * 9000 + ".", ["http://a.b/" + "x" * 9000]), (text.links_in_markdown, f"[a [b](http://x.y/{'z' * 5000}_(1) 'title')", [f"http://x.y/{'z' * 5000}_(1)"]),
+        (text.links_in_markdown, "[![i](pic.png)](http://x.y/z)\n\n[r]: <http://r.s/t> (note)", ["http://x.y/z", "http://r.s/t"]), (text.embeds_in_markdown, f"![i](data:image/png;base64,{'A' * 70_000})", [f"data:image/png;base64,{'A' * 70_000}"]),
+        (text.links_in_markdown, "[](" * 200_000, []), (text.links_in_markdown, "[" * 300_000, []), (text.links_in_text, "http://a.b/c" + "()" * 300_000, ["http://a.b/c" + "()" * 300_000]),
         (text.render_plain, "<hash://sha256/ab>", '<pre>&lt;<a href="?q=hash%3A%2F%2Fsha256%2Fab">hash://sha256/ab</a><sup>[<a href="hash://sha256/ab" title="hash address">#</a>]</sup>&gt;</pre>'),
         (text.render_plain, "it's (http://a.b/c?d=1&e.) www.x.org", '<pre>it&apos;s (<a href="http://a.b/c?d=1&amp;e">http://a.b/c?d=1&amp;e</a>.) <a href="www.x.org">www.x.org</a></pre>'), (text.render_plain, "a < b", "<pre>a &lt; b</pre>"), (text.cdata, "a]]>b", "<![CDATA[a]]]]><![CDATA[>b]]>"),
         (text.natural_key, "a10b", "a" + "10".zfill(20) + "b"),
