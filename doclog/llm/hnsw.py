@@ -4,9 +4,8 @@ Equal vectors are one class with a count, so copies cost nothing. Classes are de
 task builds each shard's graph (numpy, in batches: nodes of a batch search the graph so far and are linked to a diverse choice
 of what they find, both ways). Then each shard's vectors, as one block, query every shard of their dimension: down the upper
 layers, a beam over the bottom layer, and on from every near vector to all its near neighbours, however many there are. Each
-pair of blocks audits its queries against brute force, AUDIT at least and as many as it takes to see AUDIT_LINKS true links, and
-doubles its beam until RECALL is met; where even all queries have fewer links, brute force has found them all, and they are taken.
-A task searches two shards both ways. What either way found is verified by cosine in double precision, counted for both ends,
+pair of blocks audits AUDIT of its queries against brute force, by their nearest vectors and by their links, and doubles its beam until
+both recalls are met; all links come from the graphs, and the recalls are logged. A task searches two shards both ways. What either way found is verified by cosine in double precision, counted for both ends,
 and gives a spanning forest.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors of different length. Rows
@@ -15,6 +14,7 @@ that repeat, ids included, are vectors of their own. Rows with a null id link wi
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, forest, lean
 
+LOG = logging.getLogger(__name__)
 SHARD, LEAST_SHARDS = 16_384, 8
 LINKS, MOST_LINKS, BEAM, BATCH = 16, 48, 32, 256
-AUDIT, AUDIT_LINKS, RECALL = 48, 200, 0.99
+#: Queries of an audit and how many nearest ones each has to find; recall of these and of links.
+AUDIT, NEAREST, NEAREST_RECALL, RECALL = 48, 8, 0.9, 0.99
 
 
 class Graph:
@@ -187,26 +189,43 @@ def classes(vectors: DataFrame) -> DataFrame:
     return usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
 
-def search(x: np.ndarray, block: np.ndarray, graph: Graph, y: np.ndarray, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row of x, row of y) with a cosine of `least` or more in double precision; `block` and the graph hold the unit vectors."""
-    order, drawn, true = np.random.default_rng(5).permutation(len(block)), 0, []
-    while drawn < len(block) and (drawn < AUDIT or sum(len(r) for r, _ in true) < AUDIT_LINKS):
-        part = order[drawn : drawn + max(AUDIT, min(drawn, 1024))]
-        r, c = np.nonzero(block[part] @ graph.x.T >= least - 1e-5)
-        true.append((part[r], c))
-        drawn += len(part)
-    sample = order[:drawn]
-    if drawn == len(block):
-        return verified(x, y, *(np.concatenate(v) for v in zip(*true, strict=True)), least)
-    want = np.unique(np.concatenate([r * len(y) + c for r, c in true]))
-    while beam < len(graph.x):
-        found = [graph.near(block[sample[low : low + BATCH]], least - 1e-5, beam) for low in range(0, drawn, BATCH)]
-        got = np.concatenate([sample[BATCH * k + r] * len(y) + c for k, (r, c) in enumerate(found)])
-        if np.isin(want, got).sum() >= recall * len(want):
-            break
+class Audit:
+    """A sample of queries with what brute force finds for them: their NEAREST nearest others, which always exist, and their true links."""
+
+    def __init__(self, block: np.ndarray, graph: Graph, same: bool, least: float) -> None:
+        self.sample = np.random.default_rng(5).permutation(len(block))[:AUDIT]
+        self.queries, self.graph, self.least = block[self.sample], graph, least - 1e-5
+        s = self.queries @ graph.x.T
+        if same:
+            s[np.arange(len(s)), self.sample] = -2
+        k = min(NEAREST, s.shape[1] - same)
+        self.nearest = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.empty((len(s), 0), np.int64)
+        r, c = np.nonzero(s >= self.least)
+        self.links = r * len(graph.x) + c
+
+    def recall(self, width: int) -> tuple[float, float]:
+        """The share of the nearest ones, and of the links, that a beam of `width` finds."""
+        if width >= len(self.graph.x):
+            return 1.0, 1.0
+        near = [self.graph.beam(self.queries[low : low + BATCH], width)[0] for low in range(0, len(self.queries), BATCH)]
+        hits = (np.concatenate(near)[:, :, None] == self.nearest[:, None, :]).any(axis=1)
+        r, c = self.graph.near(self.queries, self.least, width)
+        held = np.isin(self.links, r * len(self.graph.x) + c)
+        return float(hits.mean()) if hits.size else 1.0, float(held.mean()) if held.size else 1.0
+
+
+def search(x: np.ndarray, block: np.ndarray, graph: Graph, y: np.ndarray, same: bool, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, tuple[int, float, float]]:
+    """(row of x, row of y) with a cosine of `least` or more in double precision, and the beam with its recall of nearest ones and links.
+
+    `block` and the graph hold the unit vectors. Brute force sees the audit's sample only; links come from the graph, whose beam is
+    doubled until the audit passes. A beam as wide as the graph sees all of it.
+    """
+    audit = Audit(block, graph, same, least)
+    while (told := audit.recall(beam))[0] < NEAREST_RECALL or told[1] < recall:
         beam *= 2
     parts = [(low, *graph.near(block[low : low + BATCH], least - 1e-5, beam)) for low in range(0, len(block), BATCH)]
-    return verified(x, y, np.concatenate([low + r for low, r, _ in parts]), np.concatenate([c for _, _, c in parts]), least)
+    r, c = verified(x, y, np.concatenate([low + r for low, r, _ in parts]), np.concatenate([c for _, _, c in parts]), least)
+    return r, c, (beam, *told)
 
 
 def verified(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -214,17 +233,17 @@ def verified(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, least:
     return r[exact >= least], c[exact >= least]
 
 
-def both_ways(x: np.ndarray, one: Graph, y: np.ndarray, two: Graph, same: bool, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct links (row of x, row of y) that a search from either side finds; within one shard each stands both ways."""
-    r, c = search(x, one.x, two, y, least, beam, recall)
-    more, back = (r, c) if same else search(y, two.x, one, x, least, beam, recall)
+def both_ways(x: np.ndarray, one: Graph, y: np.ndarray, two: Graph, same: bool, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, float, float]]]:
+    """Distinct links (row of x, row of y) that a search from either side finds, and the searches' beams and recalls; within one shard each link stands both ways."""
+    r, c, told = search(x, one.x, two, y, same, least, beam, recall)
+    more, back, also = (r, c, told) if same else search(y, two.x, one, x, same, least, beam, recall)
     found = np.unique(np.concatenate([r * len(y) + c, back * len(y) + more]))
     r, c = found // len(y), found % len(y)
-    return (r[r != c], c[r != c]) if same else (r, c)
+    return *((r[r != c], c[r != c]) if same else (r, c)), [told] if same else [told, also]
 
 
 def found_links(held: DataFrame, least: float, shard: int, beam: int, recall: float) -> DataFrame:
-    """Rows (a, b, n): links of a forest with n null, and with b null the number of vectors that a's class links to in a shard."""
+    """Rows (a, b, n): links of a forest, with b null the number of vectors that a's class links to in a shard; with a null a search's beam (n) and recalls (nearest, linked)."""
     total = held.count()
     shards = max(LEAST_SHARDS, -(-total // shard))
     dealt = held.withColumn("d", F.size("embedding")).withColumn("shard", F.col("d") * F.lit(shards).cast("long") + F.pmod(F.xxhash64("rep"), F.lit(shards)))
@@ -255,22 +274,28 @@ def found_links(held: DataFrame, least: float, shard: int, beam: int, recall: fl
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 (ids, counts, x, one), (others, more, y, two) = (held_graph(row, prefix) for prefix in ("q_", ""))
                 same = row["q_shard"] == row["shard"]
-                r, c = both_ways(x, one, y, two, same, least, beam, recall)
+                r, c, told = both_ways(x, one, y, two, same, least, beam, recall)
                 ends = [(ids, np.bincount(r, more[c], len(ids)))] + ([] if same else [(others, np.bincount(c, counts[r], len(others)))])
                 some = np.concatenate([i[n > 0] for i, n in ends])
                 n = np.concatenate([n[n > 0] for _, n in ends]).astype(np.int64)
                 a, b = forest(ids[r], others[c])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, a]), pa.array(np.r_[np.zeros(len(some), np.int64), b], mask=np.r_[np.ones(len(some), bool), np.zeros(len(a), bool)]), pa.array(np.r_[n, np.zeros(len(a), np.int64)])], ["a", "b", "n"])
+                nones = lambda k: [None] * k
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([*some.tolist(), *a.tolist(), *nones(len(told))], pa.int64()), pa.array([*nones(len(some)), *b.tolist(), *nones(len(told))], pa.int64()),
+                    pa.array([*n.tolist(), *nones(len(a)), *(w for w, _, _ in told)], pa.int64()), *(pa.array([*nones(len(some) + len(a)), *(t[k] for t in told)], pa.float64()) for k in (1, 2)),
+                ], ["a", "b", "n", "nearest", "linked"])
 
     pairs = asking.repartition("q_shard", "shard").join(graphs, "shard")
-    return checkpoint(pairs.mapInArrow(lean(ask), "a long, b long, n long"))
+    return checkpoint(pairs.mapInArrow(lean(ask), "a long, b long, n long, nearest double, linked double"))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, shard: int = SHARD, beam: int = BEAM, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     held = checkpoint(classes(vectors))
     found = found_links(held, least, shard, beam, recall)
-    links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
+    told = found.filter("a is null").agg(F.count("*"), F.min("nearest"), F.avg("nearest"), F.min("linked"), F.max("n")).first()
+    LOG.info("%s searches of graphs: recall of nearest vectors %s at least, %s on average, of links %s at least; widest beam %s", *told)
+    links = found.filter("a is not null and b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
     parts = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     named = held.join(links, "rep", "left").join(parts, "rep", "left").select("embedding", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     doubles = F.transform("embedding", lambda v: v.cast("double"))

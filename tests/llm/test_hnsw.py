@@ -56,19 +56,49 @@ def cut_off(x):
     return graph
 
 
-def test_audit_sees_links_that_few_queries_have():
+def test_a_bad_graph_fails_its_audit():
+    """The beam widens until it is as wide as the graph, and then sees all of it."""
     x = hnsw.unit(np.random.default_rng(1).normal(size=(3000, 32)))
     y = hnsw.unit(np.random.default_rng(2).normal(size=(3000, 32)))
     y[[5, 900, 2001]] = x[[7, 1000, 2000]]
-    r, c = hnsw.search(x, x.astype(np.float32), cut_off(y), y, 0.9, hnsw.BEAM, 0.99)
-    assert sorted(zip(r.tolist(), c.tolist())) == [(7, 5), (1000, 900), (2000, 2001)]
+    r, c, (beam, nearest, linked) = hnsw.search(x, x.astype(np.float32), cut_off(y), y, False, 0.9, hnsw.BEAM, 0.99)
+    assert sorted(zip(r.tolist(), c.tolist())) == [(7, 5), (1000, 900), (2000, 2001)] and beam >= 3000 and nearest == linked == 1
+
+
+def test_rare_links_come_from_the_graph(monkeypatch):
+    """Three links among 3,000 and 3,000 vectors: brute force looks at the sample of queries and at no other."""
+    x = hnsw.unit(np.random.default_rng(1).normal(size=(3000, 16)))
+    y = hnsw.unit(np.random.default_rng(2).normal(size=(3000, 16)))
+    y[[5, 900, 2001]] = x[[7, 1000, 2000]]
+    graph, asked, compared = hnsw.Graph(y.astype(np.float32)), [], []
+    near, walk = graph.near, hnsw.Graph.walk
+    monkeypatch.setattr(graph, "near", lambda q, least, width: asked.append((len(q), width)) or near(q, least, width), raising=False)
+
+    def counted(q, start, among, links, width):
+        out = walk(q, start, among, links, width)
+        compared.append(out[2].sum())
+        return out
+
+    monkeypatch.setattr(hnsw.Graph, "walk", staticmethod(counted))
+    r, c, (beam, nearest, linked) = hnsw.search(x, x.astype(np.float32), graph, y, False, 0.9, hnsw.BEAM, 0.99)
+    assert {(7, 5), (1000, 900), (2000, 2001)} <= set(zip(r.tolist(), c.tolist()))
+    assert max(w for _, w in asked) < 3000 and sum(n for n, w in asked if w == beam) == 3000 + hnsw.AUDIT and nearest >= hnsw.NEAREST_RECALL and linked == 1
+    assert sum(compared) < 0.5 * 3000 * 3000
+
+
+def test_recall_of_links_among_clusters():
+    x = hnsw.unit(np.array([v for _, v in clustered(6000, 32)]))
+    graph = hnsw.Graph(x.astype(np.float32))
+    r, c, _ = hnsw.search(x, x.astype(np.float32), graph, x, True, 0.9, hnsw.BEAM, 0.99)
+    want = {tuple(p) for p in np.argwhere(x @ x.T >= 0.9).tolist()}
+    assert len(want & set(zip(r.tolist(), c.tolist()))) >= 0.99 * len(want) and len(want) > 10_000
 
 
 def test_links_found_from_one_side_count_for_both(monkeypatch):
     x = np.eye(4)
-    monkeypatch.setattr(hnsw, "search", lambda a, block, graph, b, *_: (np.array([0, 2]), np.array([1, 3])) if a is x else (np.array([1, 0]), np.array([0, 3])))
+    monkeypatch.setattr(hnsw, "search", lambda a, block, graph, b, *_: (*((np.array([0, 2]), np.array([1, 3])) if a is x else (np.array([1, 0]), np.array([0, 3]))), (32, 1.0, 1.0)))
     one, two = hnsw.Graph(x.astype(np.float32)), hnsw.Graph(x.astype(np.float32))
-    r, c = hnsw.both_ways(x, one, x.copy(), two, False, 0.9, 32, 0.99)
+    r, c, _ = hnsw.both_ways(x, one, x.copy(), two, False, 0.9, 32, 0.99)
     assert list(zip(r.tolist(), c.tolist())) == [(0, 1), (2, 3), (3, 0)]
-    r, c = hnsw.both_ways(x, one, x, one, True, 0.9, 32, 0.99)
+    r, c, _ = hnsw.both_ways(x, one, x, one, True, 0.9, 32, 0.99)
     assert list(zip(r.tolist(), c.tolist())) == [(0, 1), (1, 0), (2, 3), (3, 2)]
