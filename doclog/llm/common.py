@@ -121,18 +121,34 @@ def tasks_for(rows: int) -> int:
     return max(8, rows // 500_000)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: Links (16 bytes each) that one task joins at most.
+ONE_TASK = 1 << 20
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the smallest node reachable over `links` (a, b), for nodes that have a link.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014), each a shuffle whose result is checkpointed. The
-    minima are written before they are joined, so that both sides of the join are plain exchanges and AQE can split a hub.
-    A round's tables have as many tasks as their links need, whatever the number of shuffle partitions: the driver keeps a
-    record of each task. Null ends are dropped; a null links with nothing.
+    Each task shrinks its links to stars. Up to `one_task` of these go through one task more, as rounds over so few rows would only cost
+    time, and the driver's memory for their plans and tasks; more go through rounds(). Null ends are dropped; a null links with nothing.
     """
     edges = checkpoint(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(lean(local_forest), "a long, b long"))
-    tasks, seen = tasks_for(edges.count()), None
-    edges = edges.coalesce(tasks)
-    for _ in range(rounds):
+    n = edges.count()
+    if n <= one_task:
+        stars = checkpoint(edges.coalesce(1).mapInArrow(lean(functools.partial(local_forest, most=2 * one_task + 2)), "a long, b long"))
+    else:
+        stars = rounds(edges, tasks_for(n))
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def rounds(edges: DataFrame, tasks: int, most: int = 60) -> DataFrame:
+    """Stars (a, b) of the components of links a > b: each node with its component's smallest one.
+
+    Alternating large-star and small-star rounds (Kiveris et al. 2014), each a shuffle whose result is checkpointed. The minima are
+    written before they are joined, so that both sides of the join are plain exchanges and AQE can split a hub. A round's tables have
+    as many tasks as their links need, whatever the number of shuffle partitions: the driver keeps a record of each task.
+    """
+    edges, seen = edges.coalesce(tasks), None
+    for _ in range(most):
         both = edges.union(edges.select("b", "a"))
         least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -142,11 +158,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = checkpoint(small.distinct().coalesce(tasks))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
-            break
+            return edges
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -158,6 +172,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 #: Bits of a bitmap for each value, and least and most powers of two of bits: 2^30 are 128 MB.
 BITMAP_SHARE, BITMAP_LEAST, BITMAP_MOST, BITMAP_PIECES = 16, 20, 30, 128
+#: Bytes of a bitmap that comes to the driver at once.
+BITMAP_WHOLE = 8 << 20
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -185,7 +201,8 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     slot = F.shiftrightunsigned(F.col(name), 64 - power).alias("slot")
     dealt = hashes.select(slot).select((F.col("slot") * BITMAP_PIECES / (1 << power)).cast("int").alias("piece"), "slot").repartition("piece")
     out = np.zeros(width, np.uint8)
-    for piece, bits in dealt.coalesce(tasks_for(n)).mapInArrow(lean(fill), "piece int, bits binary").toLocalIterator():  # a job for each partition
+    filled = dealt.coalesce(tasks_for(n)).mapInArrow(lean(fill), "piece int, bits binary")
+    for piece, bits in filled.collect() if width <= BITMAP_WHOLE else filled.toLocalIterator():  # a job for each partition, where it is large
         out[piece * len(bits) : (piece + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 

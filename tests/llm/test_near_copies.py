@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from doclog.llm import simhash
+from doclog.llm import common, simhash
 from helpers import prose
 
 
@@ -65,3 +65,18 @@ def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
     assert [g[1:] for g in got if not g[0]] == sorted([(5, a), (6, c), (6, d), (8, None)], key=repr)
     whole = corpus_pipeline.no_repeated_passages(spark, out, "")  # nothing is left that repeats
     assert sorted((repr(r.doc_id), r.text) for r in whole.collect()) == sorted((repr(r.doc_id), r.text or "") for r in out.collect())
+
+
+@pytest.mark.parametrize("one_task", [0, 3, 1 << 20])
+def test_components_in_one_task_or_in_rounds(spark, one_task):
+    r = random.Random(9)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, k) for k in range(2001, 2100)] + [(5, None), (None, None), (7, 7)]
+    rows = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    root = {x: x for p in pairs for x in p if None not in p and p[0] != p[1]}
+    for _ in range(400):
+        for a, b in pairs:
+            if a in root and b in root and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.component for x in common.components(rows, one_task=one_task).collect()}
+    assert got == root
+    assert common.components(rows.limit(0), one_task=one_task).count() == 0
