@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog, dedup_files, ingest, uri_index
-from ..operators.meta import META_TYPES, add_metadata, build_places, build_postings, flatten_meta, split_target, stemmed, validate_target
+from ..operators.meta import META_TYPES, add_metadata, build_places, flatten_meta, split_target, stemmed, validate_target
 from ..sources.writers import load_catalog, save_table
 from ..storage import shared
 
@@ -93,8 +93,8 @@ def build(spark: SparkSession, sf_dir: str, root: str) -> None:
     metafiles = spark.read.parquet(f"{root}/metafiles")
     valid = kept.join(metafiles.select("meta_file_id"), "meta_file_id", "left_semi")
     save_table(add_metadata(valid), root, "metadata", ["field", "value"])
-    save_table(build_postings(valid.filter("fulltext is not null")), root, "postings", ["term"])
     save_table(build_places(valid.filter("fulltext is not null")), root, "places", ["term", "meta_file_id"], spread=True)
+    save_table(spark.read.parquet(f"{root}/places").select("term", "meta_file_id"), root, "postings", ["term"])  # the same pairs
     save_table(stemmed(spark.read.parquet(f"{root}/postings")), root, "stems", ["term"])
 
 

@@ -6,7 +6,7 @@ tables that answer them are bucketed by what is asked, so the batch's few keys g
 no shuffle grows with the log. Everything else follows from the batch.
 
 A micro-batch is a partition of each table, written again as a whole if it is run again. A marker, written last, makes it visible, so
-readers see all or nothing.
+readers see all or nothing. compact() merges what many batches have left.
 """
 
 from __future__ import annotations
@@ -31,25 +31,52 @@ TABLES = {
 
 
 class LogTables:
-    """The tables under a folder that all executors see. `buckets` has to stay as it was when the tables were made."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
-        self.spark, self.root, self.buckets = spark, root, buckets
+    """The tables under a folder that all executors see, in their newest generation. `buckets` counts where there is none yet."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, generation: int | None = None) -> None:
+        self.spark, self.top = spark, root
+        spark.range(0).select(F.col("id").alias("generation"), F.col("id").alias("buckets")).write.mode("ignore").parquet(f"{root}/generations/of=none")
+        known = spark.read.schema("generation long, buckets long").parquet(f"{root}/generations").agg(F.max(F.struct("generation", "buckets")).alias("g")).first().g
+        self.generation = generation if generation is not None else known.generation if known else 0
+        self.buckets = known.buckets if known and known.generation == self.generation else buckets
+        self.root = root = f"{root}/{self.generation}"
         prefix = f"log_{hashlib.md5(root.encode()).hexdigest()[:16]}"
         self.names = {name: f"{prefix}_{name}" for name in TABLES}
         whole = self.complete()
         for name, (columns, key) in TABLES.items():
-            clustered = f"CLUSTERED BY ({key}) INTO {buckets} BUCKETS" if key else ""
+            clustered = f"CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS" if key else ""
             if not spark.catalog.tableExists(self.names[name]):
                 spark.sql(f"CREATE TABLE {self.names[name]} ({columns}, batch_id long) USING parquet PARTITIONED BY (batch_id) {clustered} LOCATION '{root}/{name}'")
                 if whole >= 0:  # another session's partitions
                     spark.sql(f"ALTER TABLE {self.names[name]} RECOVER PARTITIONS")
 
     def complete(self) -> int:
-        """The last batch that is whole; -1: none. Batches are numbered without a gap."""
+        """The last batch that is whole; -1: none."""
         self.spark.range(0).select(F.col("id").alias("batch_id")).write.mode("ignore").parquet(f"{self.root}/complete/batch=none")
         return self.spark.read.schema("batch_id long").parquet(f"{self.root}/complete").agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
 
+    def mark(self, batch_id: int) -> None:
+        """From now on readers see the batch."""
+        self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/complete/batch={batch_id}")
+
+    def compact(self, buckets: int | None = None) -> LogTables:
+        """The same tables in a new generation: a bucket's files of all batches become one, in as many buckets as the log needs by now.
+
+        The last batch stays by itself, as the stream may run it again. Readers and writers of the old generation go on with that one;
+        the new one counts for whoever opens the tables from then on.
+        """
+        last = self.complete()
+        new = LogTables(self.spark, self.top, buckets or self.buckets, self.generation + 1)
+        for name in TABLES:
+            if last > 0:
+                new.write(name, self.before(name, last), last - 1)
+            if last >= 0:
+                new.write(name, self.spark.table(self.names[name]).filter(F.col("batch_id") == last), last)
+        new.mark(last)
+        row = self.spark.range(1).select(F.lit(new.generation).cast("long").alias("generation"), F.lit(new.buckets).cast("long").alias("buckets"))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.top}/generations/of={new.generation}")
+        return new
+
     def read(self, name: str) -> DataFrame:
         """What whole batches have brought."""
         return self.before(name, self.complete() + 1)
@@ -109,7 +136,7 @@ def append_batch(log: LogTables, batch: DataFrame, batch_id: int) -> None:
     log.write("metafiles", valid, batch_id)
     log.write("metadata", add_metadata(valid), batch_id)
     log.write("postings", build_postings(valid.filter("fulltext is not null")), batch_id)
-    log.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1).write.mode("overwrite").parquet(f"{log.root}/complete/batch={batch_id}")
+    log.mark(batch_id)
     judged.unpersist()
     staged.unpersist()
 

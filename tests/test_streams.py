@@ -122,6 +122,29 @@ def test_tables_kept_batch_by_batch(spark, tmp_path):
     assert again.complete() == 2 and again.read("files").count() == 11
 
 
+def test_generations(spark, tmp_path):
+    """Batches before the last are merged; the last may run again, and the next go on; the old generation stays as it was."""
+    old = ingest.LogTables(spark, f"file://{tmp_path}/log", 2)
+    plain = ingest.LogTables(spark, f"file://{tmp_path}/plain", 4)
+    steps = [spark.createDataFrame(rows, LOG) for rows in log_steps()]
+    for k in (0, 1):
+        ingest.append_batch(old, steps[k], k)
+    new = old.compact(3)
+    assert (new.buckets, new.generation, new.complete()) == (3, 1, 1)
+    ingest.append_batch(new, steps[1], 1)
+    ingest.append_batch(new, steps[2], 2)
+    for k, batch in enumerate(steps):
+        ingest.append_batch(plain, batch, k)
+    opened = ingest.LogTables(spark, f"file://{tmp_path}/log")
+    assert (opened.buckets, opened.generation) == (3, 1)
+    for name in ingest.TABLES:
+        rows = lambda log: sorted(map(str, (tuple(r) for r in log.read(name).collect())))  # noqa: B023, E731
+        assert rows(opened) == rows(plain) and len(rows(old)) <= len(rows(plain))
+    assert [r.batch_id for r in spark.table(new.names["files"]).select("batch_id").distinct().orderBy("batch_id").collect()] == [0, 1, 2]
+    empty = ingest.LogTables(spark, f"file://{tmp_path}/empty", 2).compact()
+    assert empty.complete() == -1 and empty.read("uris").count() == 0
+
+
 def test_an_unfinished_batch_is_not_seen(spark, tmp_path):
     log = ingest.LogTables(spark, f"file://{tmp_path}/log", 4)
     steps = log_steps()
