@@ -1,8 +1,8 @@
 """Zstandard WARC archives: written one frame per record, read back with checked headers and lengths.
 
 Layout of an archive: a leading skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a zstd frame, then one zstd frame per
-record, compressed with that dictionary. The dictionary is trained by each writing task on the first DICTIONARY_ROWS payloads
-of its own archive; with too few to train on the frame is empty and records are compressed without one.
+record, compressed with that dictionary. The dictionary is trained by each writing task on the first 20,000 bytes of the first
+DICTIONARY_ROWS records of its own archive (what is written is whole, whatever the dictionary has seen); with too few to train on the frame is empty and records are compressed without one.
 
 Tasks write whole archives under their partition's number into the shared folder, first under a name of their own and then
 renamed, so a repeated task leaves the same file. Their listing is a table beside them; nothing goes through the driver.
