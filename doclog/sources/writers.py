@@ -52,7 +52,7 @@ class TableConverter(NamedTuple):
     function: type
 
     def rows(self, files: DataFrame) -> DataFrame:
-        made = F.udtf(self.function, returnType="field string, value string")
+        made = F.udtf(self.function, returnType="field string, value string", useArrow=True)
         return files.lateralJoin(made(F.col("type").outer(), F.col("content").outer())).select("uri", "field", "value").filter("field is not null and value is not null")
 
 
