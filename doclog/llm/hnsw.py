@@ -4,8 +4,8 @@ Equal vectors are one class with a count, so copies cost nothing. Classes are de
 task builds each shard's graph (numpy, in batches: nodes of a batch search the graph so far and are linked to a diverse choice
 of what they find, both ways). Then each shard's vectors, as one block, query every shard of their dimension: down the upper
 layers, a beam over the bottom layer, and on from every near vector to all its near neighbours, however many there are. Each
-pair of blocks audits AUDIT of its queries against brute force, by their nearest vectors and by their links, and doubles its beam until
-both recalls are met; all links come from the graphs, and the recalls are logged. A task searches two shards both ways. What either way found is verified by cosine in double precision, counted for both ends,
+pair of blocks audits its beam by PLANTED links of just the least cosine and by the true links of AUDIT queries, and doubles it until
+RECALL is met; all links come from the graphs, and recalls, that of nearest vectors too, are logged. A task searches two shards both ways. What either way found is verified by cosine in double precision, counted for both ends,
 and gives a spanning forest.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors of different length. Rows
@@ -27,8 +27,8 @@ from .common import checkpoint, components, forest, lean
 LOG = logging.getLogger(__name__)
 SHARD, LEAST_SHARDS = 16_384, 8
 LINKS, MOST_LINKS, BEAM, BATCH = 16, 48, 32, 256
-#: Queries of an audit and how many nearest ones each has to find; recall of these and of links.
-AUDIT, NEAREST, NEAREST_RECALL, RECALL = 48, 8, 0.9, 0.99
+#: Queries and planted links of an audit; the recall of links that it asks for.
+AUDIT, PLANTED, RECALL = 48, 128, 0.99
 
 
 class Graph:
@@ -190,42 +190,57 @@ def classes(vectors: DataFrame) -> DataFrame:
 
 
 class Audit:
-    """A sample of queries with what brute force finds for them: their NEAREST nearest others, which always exist, and their true links."""
+    """What a beam has to find. Links may be rare, so links are planted: vectors of the graph, turned away to just the least cosine.
+
+    Besides, a sample of the block's queries has its true links and its nearest vectors from brute force.
+    """
 
     def __init__(self, block: np.ndarray, graph: Graph, same: bool, least: float) -> None:
-        self.sample = np.random.default_rng(5).permutation(len(block))[:AUDIT]
-        self.queries, self.graph, self.least = block[self.sample], graph, least - 1e-5
+        r = np.random.default_rng(5)
+        self.graph, self.least = graph, least - 1e-5
+        self.at = r.permutation(len(graph.x))[:PLANTED]
+        own = graph.x[self.at]
+        away = r.normal(size=own.shape).astype(np.float32)
+        away -= np.einsum("pd,pd->p", away, own)[:, None] * own
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        away = np.where(size > 1e-6, away / np.maximum(size, 1e-6), 0)  # in one dimension there is no way to turn
+        self.planted = np.where(size > 1e-6, least * own + np.float32((1 - least**2) ** 0.5) * away, own).astype(np.float32)
+        sample = r.permutation(len(block))[:AUDIT]
+        self.queries = block[sample]
         s = self.queries @ graph.x.T
         if same:
-            s[np.arange(len(s)), self.sample] = -2
-        k = min(NEAREST, s.shape[1] - same)
-        self.nearest = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.empty((len(s), 0), np.int64)
-        r, c = np.nonzero(s >= self.least)
-        self.links = r * len(graph.x) + c
-
-    def recall(self, width: int) -> tuple[float, float]:
-        """The share of the nearest ones, and of the links, that a beam of `width` finds."""
+            s[np.arange(len(s)), sample] = -2
+        q, c = np.nonzero(s >= self.least)
+        self.links, self.nearest = q * len(graph.x) + c, s.argmax(axis=1)
+
+    def _held(self, queries: np.ndarray, want: np.ndarray, width: int) -> float:
+        r, c = self.graph.near(queries, self.least, width)
+        return float(np.isin(want, r * len(self.graph.x) + c).mean()) if len(want) else 1.0
+
+    def recall(self, width: int) -> float:
+        """The share of links that a beam of `width` finds: of planted ones or of true ones, whichever is less."""
+        planted = np.arange(len(self.at)) * len(self.graph.x) + self.at
+        return min(self._held(self.planted, planted, width), self._held(self.queries, self.links, width))
+
+    def near_recall(self, width: int) -> float:
+        """The share of nearest vectors that such a beam finds."""
         if width >= len(self.graph.x):
-            return 1.0, 1.0
-        near = [self.graph.beam(self.queries[low : low + BATCH], width)[0] for low in range(0, len(self.queries), BATCH)]
-        hits = (np.concatenate(near)[:, :, None] == self.nearest[:, None, :]).any(axis=1)
-        r, c = self.graph.near(self.queries, self.least, width)
-        held = np.isin(self.links, r * len(self.graph.x) + c)
-        return float(hits.mean()) if hits.size else 1.0, float(held.mean()) if held.size else 1.0
+            return 1.0
+        return float((self.graph.beam(self.queries, width)[0] == self.nearest[:, None]).any(axis=1).mean())
 
 
 def search(x: np.ndarray, block: np.ndarray, graph: Graph, y: np.ndarray, same: bool, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, tuple[int, float, float]]:
-    """(row of x, row of y) with a cosine of `least` or more in double precision, and the beam with its recall of nearest ones and links.
+    """(row of x, row of y) with a cosine of `least` or more in double precision, and the beam with its recall of nearest vectors and of links.
 
     `block` and the graph hold the unit vectors. Brute force sees the audit's sample only; links come from the graph, whose beam is
     doubled until the audit passes. A beam as wide as the graph sees all of it.
     """
     audit = Audit(block, graph, same, least)
-    while (told := audit.recall(beam))[0] < NEAREST_RECALL or told[1] < recall:
+    while (linked := audit.recall(beam)) < recall:
         beam *= 2
     parts = [(low, *graph.near(block[low : low + BATCH], least - 1e-5, beam)) for low in range(0, len(block), BATCH)]
     r, c = verified(x, y, np.concatenate([low + r for low, r, _ in parts]), np.concatenate([c for _, _, c in parts]), least)
-    return r, c, (beam, *told)
+    return r, c, (beam, audit.near_recall(beam), linked)
 
 
 def verified(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
