@@ -120,14 +120,16 @@ def first_files(history: DataFrame, own: DataFrame, metas: DataFrame) -> DataFra
 def append_batch(log: LogTables, batch: DataFrame, batch_id: int) -> None:
     """One micro-batch into all tables; the batch is parsed once, and kept until its tables are written."""
     metas = judge_parse(flatten_meta(split_target(batch.filter(is_meta(F.col("type"))))))
-    others = batch.filter(~is_meta(F.col("type")))
+    others = batch.filter(~F.coalesce(is_meta(F.col("type")), F.lit(False)))
     kept = {"target_uri": "string", "fields": "array<struct<field: string, value: string>>", "fulltext": "string", "reason": "string"}
     none = [F.lit(None).cast(kind).alias(name) for name, kind in kept.items()]
     staged = ingest(metas, keep=tuple(kept)).unionByName(ingest(others).select("*", *none)).persist()
     known = log.put_down("known", known_files(log.before("files", batch_id), staged))
-    files = log.write("files", dedup_files(staged).join(known, ["hash", "type"], "left_anti"), batch_id)
+    same = (F.col("hash") == F.col("known_hash")) & F.col("type").eqNullSafe(F.col("known_type"))
+    fresh = dedup_files(staged).join(known.select(F.col("hash").alias("known_hash"), F.col("type").alias("known_type")), same, "left_anti")
+    files = log.write("files", fresh, batch_id)
     new = staged.join(files.select(F.col("file_id").alias("seq")), "seq", "left_semi")
-    meta = is_meta(F.col("type"))
+    meta = F.coalesce(is_meta(F.col("type")), F.lit(False))
     uris = log.write("uris", uri_index(new).join(files.select("file_id", meta.alias("of_meta")), "file_id"), batch_id)
     said = new.filter(meta).select(F.col("seq").alias("meta_file_id"), *kept)
     judged = judge_target(said, first_files(log.before("uris", batch_id), uris, said)).persist()

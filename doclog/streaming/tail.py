@@ -18,7 +18,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def on_disk_state(spark: SparkSession) -> None:
     """State in RocksDB, of which a micro-batch reads and writes what its keys need; set unless the session has a choice of its own."""
     for name, value in (("providerClass", ROCKSDB), ("rocksdb.changelogCheckpointing.enabled", "true")):
-        if spark.conf.get(f"spark.sql.streaming.stateStore.{name}", None) in (None, "", "false") or "HDFSBacked" in spark.conf.get(f"spark.sql.streaming.stateStore.{name}"):
+        if spark.conf.get(f"spark.sql.streaming.stateStore.{name}", None) is None:
             spark.conf.set(f"spark.sql.streaming.stateStore.{name}", value)
 
 

@@ -155,6 +155,14 @@ def test_an_unfinished_batch_is_not_seen(spark, tmp_path):
     assert log.read("files").filter("file_id = 99").count() == 0 and log.read("files").filter("file_id = 7").count() == 1
 
 
+def test_files_without_a_type_or_content(spark, tmp_path):
+    log = ingest.LogTables(spark, f"file://{tmp_path}/log", 2)
+    ingest.append_batch(log, spark.createDataFrame([(1, "x", None, None), (2, "x", None, None), (3, None, PLAIN, None)], LOG), 0)
+    ingest.append_batch(log, spark.createDataFrame([(4, "x", None, None), (5, uri("x") + '\n\n{"a":"b"}', META, None)], LOG), 1)
+    ingest.append_batch(log, spark.createDataFrame([], LOG), 2)
+    assert [r.file_id for r in log.read("files").orderBy("file_id").collect()] == [1, 5] and log.read("metadata").count() == 1 and log.complete() == 2
+
+
 def test_history_is_not_shuffled(spark, tmp_path):
     """Two exchanges for the batch's keys (made distinct, dealt to buckets), none between the join and the table."""
     log = ingest.LogTables(spark, f"file://{tmp_path}/log", 4)
