@@ -39,6 +39,19 @@ def anchor(c: Catalog, result: DataFrame, uri: str) -> tuple[int, int]:
     return found[0].sort_id, found[0].file_id
 
 
+def anchors(c: Catalog, result: DataFrame, wanted: DataFrame) -> DataFrame:
+    """uri, status, sort_id, file_id of each address in `wanted` (uri) as the start of a page of the result, many at a time.
+
+    status: found, or why page() would refuse it: unknown (no file has the address), ambiguous (several have), absent (not in the result).
+    """
+    asked = wanted.select("uri").filter("uri is not null").distinct()
+    files = asked.join(c.uris, "uri").groupBy("uri").agg(F.count_distinct("file_id").alias("files"), F.min("file_id").alias("file_id"))
+    told = asked.join(files, "uri", "left").join(result.select("file_id", "sort_id"), "file_id", "left")
+    status = F.when(F.col("files").isNull(), "unknown").when(F.col("files") > 1, "ambiguous").when(F.col("sort_id").isNull(), "absent").otherwise("found")
+    found = lambda name: F.when(F.col("status") == "found", F.col(name)).alias(name)
+    return told.withColumn("status", status).select("uri", "status", found("sort_id"), found("file_id"))
+
+
 def page(c: Catalog, result: DataFrame, start: str | None = None, count: int = 50, direction: str = "a") -> DataFrame:
     """`count` rows after `start` (left out itself), with their number `at` in output order.
 

@@ -492,6 +492,17 @@ def page_forward(spark, d):
     return results.page(c, filters.visible(c), f"hash://sha256/{oldest}", 20)
 
 
+@query("""SELECT uri, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN a.file_id IS NULL THEN 'absent' ELSE 'found' END AS status,
+  CASE WHEN n = 1 THEN a.sort_id END AS sort_id, CASE WHEN n = 1 THEN a.file_id END AS file_id
+FROM (SELECT DISTINCT uri FROM d UNION SELECT DISTINCT 'hash://sha256/' || sha256(text) FROM benchmark) w
+LEFT JOIN (SELECT uri, count(DISTINCT file_id) AS n, min(file_id) AS f FROM uris GROUP BY uri) u USING (uri) LEFT JOIN (SELECT * FROM ages WHERE field = 'lang' AND value = 'fr') a ON a.file_id = u.f""")
+def page_anchors(spark, d):
+    """Every document's address, and addresses of texts that are none, as starts of pages of the French documents."""
+    c = fx.catalog(spark, d)
+    others = fx.table(spark, d, "benchmark").select(F.concat(F.lit("hash://sha256/"), F.sha2("text", 256)))
+    return results.anchors(c, filters.metadata(c, "lang", "fr"), fx.doc_uris(spark, d).select(F.col("doc_uri").alias("uri")).union(others))
+
+
 def last_page(c) -> str:
     newest = c.files.filter(F.col("type") == fx.HTML).agg(F.max_by("hash", "file_id")).first()[0]
     return f"hash://sha256/{newest}"

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from doclog.plans.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["hash_uris", "uri_synonyms", "meta_flatten", "select_meta", "cap_meta", "visibility", "links_text", "links_markdown", "tag_edits", "fulltext_meta", "render_plain", "f_fulltext", "meta_list", "page_forward", "maintained_tables", "meta_validate", "f_and", "f_not", "many_queries", "page_backward", "preview", "tail_and", "hold_until_target", "dump_and_load", "rejected_metas", "sync_closure", "pull_sets", "backlinks_two_hops", "tags_as_of", "tail_tags", "tail_not", "tail_metadata", "f_phrase", "term_places", "converted_custom", "resume_from_list", "hash_plugin", "read_tree", "export_paths", "provenance"]
+SOME = ["hash_uris", "uri_synonyms", "meta_flatten", "select_meta", "cap_meta", "visibility", "links_text", "links_markdown", "tag_edits", "fulltext_meta", "render_plain", "f_fulltext", "meta_list", "page_forward", "maintained_tables", "meta_validate", "f_and", "f_not", "many_queries", "page_backward", "preview", "tail_and", "hold_until_target", "dump_and_load", "rejected_metas", "sync_closure", "pull_sets", "backlinks_two_hops", "tags_as_of", "tail_tags", "tail_not", "tail_metadata", "f_phrase", "term_places", "converted_custom", "resume_from_list", "hash_plugin", "read_tree", "export_paths", "provenance", "page_anchors"]
 
 
 @pytest.fixture(scope="module")
