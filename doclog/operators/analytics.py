@@ -32,7 +32,7 @@ def link_graph(c: Catalog, field: str = "link") -> DataFrame:
     """src_file_id, dst_uri, dst_file_id (oldest file of that address; null for dangling links)."""
     links = c.metadata.filter(F.col("field") == field).select("meta_file_id", F.col("value").alias("dst_uri"))
     edges = links.join(c.targets(), "meta_file_id").select(F.col("file_id").alias("src_file_id"), "dst_uri").distinct()
-    known = c.uris.groupBy("uri").agg(F.min("file_id").alias("dst_file_id"))
+    known = c.standing_for(links.select(F.col("dst_uri").alias("uri"))).groupBy("uri").agg(F.min("file_id").alias("dst_file_id"))
     return edges.join(known, F.col("dst_uri") == F.col("uri"), "left").select("src_file_id", "dst_uri", "dst_file_id")
 
 

@@ -30,7 +30,7 @@ def first(result: DataFrame, direction: str = "a") -> DataFrame:
 
 def anchor(c: Catalog, result: DataFrame, uri: str) -> tuple[int, int]:
     """Position of the one file with this address in the result."""
-    files = c.uris.filter(F.col("uri") == uri).select("file_id").distinct().limit(2).collect()
+    files = c.standing_for(c.files.sparkSession.range(1).select(F.lit(uri).alias("uri"))).select("file_id").distinct().limit(2).collect()
     if len(files) != 1:
         raise AnchorError(f"{uri} is {'ambiguous' if files else 'unknown'}")
     found = result.filter(F.col("file_id") == files[0].file_id).select("sort_id", "file_id").limit(1).collect()
@@ -45,7 +45,7 @@ def anchors(c: Catalog, result: DataFrame, wanted: DataFrame) -> DataFrame:
     status: found, or why page() would refuse it: unknown (no file has the address), ambiguous (several have), absent (not in the result).
     """
     asked = wanted.select("uri").filter("uri is not null").distinct()
-    files = asked.join(c.uris, "uri").groupBy("uri").agg(F.count_distinct("file_id").alias("files"), F.min("file_id").alias("file_id"))
+    files = c.standing_for(asked).groupBy("uri").agg(F.count_distinct("file_id").alias("files"), F.min("file_id").alias("file_id"))
     told = asked.join(files, "uri", "left").join(result.select("file_id", "sort_id"), "file_id", "left")
     status = F.when(F.col("files").isNull(), "unknown").when(F.col("files") > 1, "ambiguous").when(F.col("sort_id").isNull(), "absent").otherwise("found")
     found = lambda name: F.when(F.col("status") == "found", F.col(name)).alias(name)

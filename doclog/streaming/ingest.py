@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import dedup_files, ingest, uri_index
-from ..operators.meta import add_metadata, build_postings, flatten_meta, is_meta, judge_parse, judge_target, split_target
+from ..operators.meta import add_metadata, build_postings, first_of, flatten_meta, is_meta, judge_parse, judge_target, split_target
 
 #: Columns of the tables, and the key that a table is bucketed by.
 TABLES = {
@@ -114,7 +114,7 @@ def first_files(history: DataFrame, own: DataFrame, metas: DataFrame) -> DataFra
     wanted = metas.select(F.col("target_uri").alias("uri")).distinct()
     old = _found(history, wanted, "uri").select("uri", "file_id", "of_meta")
     new = own.join(wanted, "uri", "left_semi").select("uri", "file_id", "of_meta")
-    return old.union(new).groupBy("uri").agg(F.min(F.struct("file_id", "of_meta")).alias("first")).select(F.col("uri").alias("target_uri"), "first.*")
+    return first_of(old.union(new))
 
 
 def append_batch(log: LogTables, batch: DataFrame, batch_id: int) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doclog.functions import address, text
 from doclog.operators import audit, filters, meta, results, sync
-from doclog.operators.catalog import Catalog, dedup_files, ingest, resolve, synonyms, uri_index, verify_known
+from doclog.operators.catalog import Catalog, dedup_files, dedup_rows, ingest, lookup, resolve, synonyms, uri_index, verify_known, written_out
 
 
 def make(spark, files, metas, fields, words=()):
@@ -241,3 +241,20 @@ def test_audit_and_sync(spark):
 def test_tags(spark):
     got = meta.add_tags(spark.createDataFrame([(URI + "ab",)], "uri string"), ["x", "y"]).first()
     assert json.loads(got.content.split("\n\n")[1]) == {"tag": {"x": {}, "y": {}}}
+
+
+def test_lookups_by_digests_are_those_by_addresses(spark):
+    """Every form of every address, and what is none: a start of another length, another name, a file of another type."""
+    held = spark.range(60).select((F.col("id") + 1).alias("seq"), F.concat(F.lit("c"), (F.col("id") % 40).cast("string")).alias("content"), F.when(F.col("id") % 3 == 0, "t").otherwise("u").alias("type"))
+    rows = dedup_rows(ingest(held, {**address.ALGORITHMS, "crc32": (4, lambda c: F.lpad(F.lower(F.hex(F.crc32(c))), 8, "0"))})).select("file_id", "digests")
+    uris = written_out(rows)
+    cut = uris.select(F.expr("substring(uri, 1, length(uri) - 1)").alias("uri"))
+    wanted = uris.select("uri").union(cut).union(uris.select(F.upper("uri"))).union(spark.sql("select explode(array(null, '', 'http://x/y', 'hash://sha256/')) uri"))
+    got = lookup(rows, wanted)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, uris.select("uri", "file_id").collect())) and got.count() == 10 * rows.count()
+
+
+def test_a_lookup_shuffles_digests_and_no_addresses(spark):
+    log = Catalog(*[None] * 5, digests=spark.range(10).select(F.col("id").alias("file_id"), address.digests(F.col("id").cast("string").cast("binary")).alias("digests")), resolved=spark.range(3).selectExpr("id meta_file_id", "id file_id"))
+    plan = log.standing_for(log.digests.select(F.lit("hash://sha1/ab").alias("uri")))._jdf.queryExecution().executedPlan().toString()
+    assert "hash://sha512/" not in plan and log.targets() is log.resolved
