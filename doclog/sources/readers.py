@@ -36,12 +36,12 @@ def read_tree(spark: SparkSession, path: str, types: dict[str, str] | None = Non
     return rows.orderBy(natural_key(F.col("path")))
 
 
-def tree_meta(tree: DataFrame) -> DataFrame:
-    """Meta-file fields of read_tree() rows: title, source-path, modification-time, fulltext."""
+def tree_meta(tree: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Meta-file fields of read_tree() rows (title, source-path, modification-time, fulltext), and the rows' columns to keep."""
     pair = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
     when = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fields = F.array(pair("title", F.col("title")), pair("source-path", F.col("path")), pair("modification-time", when), pair("fulltext", F.col("fulltext")))
-    return tree.select(format_hash_uri("sha256", F.sha2("content", 256)).alias("target_uri"), fields.alias("fields"))
+    return tree.select(format_hash_uri("sha256", F.sha2("content", 256)).alias("target_uri"), fields.alias("fields"), *keep)
 
 
 def read_uri_list(spark: SparkSession, path: str) -> DataFrame:

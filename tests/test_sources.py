@@ -35,3 +35,11 @@ def test_numbered_uri_list(spark, tmp_path):
     writers.write_uri_list(rows, str(tmp_path / "many"))
     got = readers.read_numbered_uri_list(spark, str(tmp_path / "many")).collect()
     assert sorted((r.line, r.uri) for r in got) == [(k + 1, f"hash://a/{k}") for k in range(500)]
+
+
+def test_a_written_tree_is_read_back(spark, tmp_path):
+    rows = spark.range(50).select(F.concat(F.col("id").cast("string"), F.lit("/x/"), F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    assert writers.write_tree(rows, str(tmp_path / "t")) == 50 and writers.write_tree(rows.limit(3), str(tmp_path / "t")) == 3
+    got = readers.tree_meta(readers.read_tree(spark, str(tmp_path / "t")), ("title", "content")).collect()
+    assert sorted((r.title, bytes(r.content)) for r in got) == sorted((f"{k}.txt", b"%d" % k) for k in range(50))
+    assert all(r.title == r.fields[0].value for r in got)
