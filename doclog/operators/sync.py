@@ -34,15 +34,16 @@ def sync_closure(edges: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFr
 
     edges (src_file_id, dst_file_id) say what depends on what, held (file_id) is at the destination: it is neither fetched nor looked
     into. Each round reads the dependencies of the files that the last one found first, until none are new, so cycles end. Rounds are
-    put down: the next one starts from a table.
+    put down: the next one starts from a table. So are the edges, without those to what is held: no round works them out again.
     """
-    steps = edges.filter("dst_file_id is not null").select("src_file_id", "dst_file_id").distinct()
+    known = edges.filter("dst_file_id is not null").select("src_file_id", "dst_file_id").distinct()
+    steps = put_down(known.join(held.select(F.col("file_id").alias("dst_file_id")), "dst_file_id", "left_anti").select("src_file_id", "dst_file_id"))
     reached = put_down(wanted.select("file_id").distinct().join(held.select("file_id"), "file_id", "left_anti").withColumn("depth", F.lit(0)))
     newest, depth = reached, 0
     while not newest.isEmpty():
         depth += 1
         found = steps.join(newest.select(F.col("file_id").alias("src_file_id")), "src_file_id").select(F.col("dst_file_id").alias("file_id")).distinct()
-        newest = put_down(found.join(held.select("file_id"), "file_id", "left_anti").join(reached.select("file_id"), "file_id", "left_anti").withColumn("depth", F.lit(depth)))
+        newest = put_down(found.join(reached.select("file_id"), "file_id", "left_anti").withColumn("depth", F.lit(depth)))
         reached = reached.union(newest)
     return reached
 

@@ -273,3 +273,11 @@ def test_ranges_of_a_list_part_its_lines(tmp_path, monkeypatch, size):
     end = reader.latestOffset()
     got = [x for p in reader.partitions(reader.initialOffset(), end) for x in reader.read(p)]
     assert [x[2] for x in got] == [x for x in lines if x] and end["byte"] == len("\n".join(lines)) + 1
+
+
+def test_edges_of_a_closure_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    src = F.udf(lambda k: seen.add(1) or k, "long").asNondeterministic()
+    edges = spark.range(0, 30, 1, 2).select(src("id").alias("src_file_id"), (F.col("id") + 1).alias("dst_file_id"))
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "file_id long")
+    assert sorted(tuple(r) for r in sync.sync_closure(edges, ids(20), ids(25)).collect()) == [(20 + k, k) for k in range(5)] and seen.value == 30
