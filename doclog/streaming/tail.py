@@ -57,36 +57,18 @@ def tail_all_of(matches: DataFrame, clauses: int) -> DataFrame:
     return done.select("sort_id", "file_id")
 
 
-class _Hold(StatefulProcessor):
-    """Meta-files of one address: each waiting one is an element of the list, so neither a step nor its commit reads those that wait."""
+class _Number(StatefulProcessor):
+    """Meta-files of one address, numbered in the order in which they come; the state is how many there were."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", "seq long, uri string")
-        self.told = handle.getValueState("told", "opened boolean, done long")
+        self.told = handle.getValueState("told", "done long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:  # noqa: N802
-        opened, done = self.told.get() if self.told.exists() else (False, 0)
-        was, before, new = opened, done, []
-        release = lambda seq, uri: Row(seq=seq, uri=uri, target_uri=key[0], position=done)
-        for row in sorted(rows, key=lambda r: (r.seq, r.is_meta)):
-            if row.is_meta:
-                new.append((row.seq, row.uri))
-            elif not opened:
-                opened = True
-                for seq, uri in self.waiting.get() if self.waiting.exists() else ():
-                    yield release(seq, uri)
-                    done += 1
-            if opened:
-                for seq, uri in new:
-                    yield release(seq, uri)
-                    done += 1
-                new = []
-        if new:
-            self.waiting.appendList(new)
-        if opened and not was:
-            self.waiting.clear()
-        if (opened, done) != (was, before):
-            self.told.update((opened, done))
+        done = self.told.get()[0] if self.told.exists() else 0
+        for row in sorted(rows, key=lambda r: r.seq):
+            yield Row(seq=row.seq, uri=row.uri, target_uri=key[0], position=done)
+            done += 1
+        self.told.update((done,))
 
     def close(self) -> None:
         pass
@@ -96,12 +78,15 @@ def hold_until_target(steps: DataFrame) -> DataFrame:
     """Release meta-files once their target is there: a stream of (target_uri, seq, is_meta, uri, addresses) gives (seq, uri, target_uri, position).
 
     A file row opens each of its addresses (`addresses`, or else target_uri); the meta-files held under any of them follow it in the
-    order in which they came, later ones at once. State is kept per address, in output mode append.
+    order in which they came, later ones at once. So a meta-file's position is known when it comes, and releasing is a join of two
+    streams: Python sees the meta-files only, and none of the addresses, which are several for each file and mostly no target.
+    State is kept per address and meta-file, released ones too, in output mode append.
     """
     on_disk_state(steps.sparkSession)
-    each = F.when(F.col("is_meta"), F.array("target_uri")).otherwise(F.coalesce("addresses", F.array("target_uri")))
-    steps = steps.select(F.explode(each).alias("target_uri"), "seq", "is_meta", "uri")
-    return steps.groupBy("target_uri").transformWithState(_Hold(), "seq long, uri string, target_uri string, position long", "append", "none")
+    metas = steps.filter("is_meta").select("target_uri", "seq", "uri")
+    numbered = metas.groupBy("target_uri").transformWithState(_Number(), "seq long, uri string, target_uri string, position long", "append", "none")
+    files = steps.filter("not is_meta").select(F.explode(F.coalesce("addresses", F.array("target_uri"))).alias("opened"))
+    return numbered.join(files.dropDuplicates(["opened"]), F.col("target_uri") == F.col("opened")).select("seq", "uri", "target_uri", "position")
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -275,6 +275,14 @@ def test_ranges_of_a_list_part_its_lines(tmp_path, monkeypatch, size):
     assert [x[2] for x in got] == [x for x in lines if x] and end["byte"] == len("\n".join(lines)) + 1
 
 
+def test_addresses_that_nothing_waits_for_stay_out_of_python(spark):
+    steps = spark.readStream.format("rate").load().selectExpr("'a' target_uri", "value seq", "false is_meta", "'u' uri", "array('x', 'y') addresses")
+    plan = tail.hold_until_target(steps)._jdf.queryExecution().analyzed().toString()
+    python = next(line for line in plan.splitlines() if "TransformWithState" in line)
+    below = plan[plan.index(python) :]
+    assert "Join Inner" in plan[: plan.index(python)] and "explode" not in below[: below.index("Deduplicate")]
+
+
 def test_edges_of_a_closure_are_worked_out_once(spark):
     seen = spark.sparkContext.accumulator(0)
     src = F.udf(lambda k: seen.add(1) or k, "long").asNondeterministic()
