@@ -6,9 +6,10 @@ the shorter contexts. Escape estimation is method C: a context with total T and
 symbols that a longer context has seen are excluded below it. Contexts of the same counts nest, so what is excluded on escape
 depends on the context alone, and a symbol's code length on the ORDER + 1 symbols alone; workers remember it per such string.
 
-Model size is bounded: of the strings of each order those stay that occur at least t times, t the least for which no more than
-NODES stay (1 if all do); counts are always taken over all training texts. The baseline's counts are exact: the FREQUENT most
-frequent words are broadcast, all others are joined.
+Nothing is cut from the model: the code length of every string in any text is worked out once, from counts over all training
+texts, where Spark has brought together the strings of equal last two context symbols (all that longer contexts need; contexts
+below are at most 257 * 258 strings, which are broadcast). Code lengths of at most NODES strings, those that occur most often, are
+broadcast; all others are joined to their texts. So are words: the counts of the FREQUENT most frequent ones are broadcast.
 
 Null texts are empty: one end token, one end symbol. Null doc_ids are scored and count as held out. Rows that repeat are texts of
 their own. Other columns are ignored. Without training texts, N and V are 0 and the model is uniform.
@@ -22,6 +23,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def strings(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     return out
 
 
+def starts(texts: list[bytes]) -> np.ndarray:
+    """Where each text's strings start."""
+    return np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+
+
 def slices(texts: list[bytes], size: int = 1 << 19) -> Iterator[list[bytes]]:
     """Texts in parts of about `size` bytes."""
     low, held = 0, 0
@@ -73,21 +80,35 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def string_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """s (order + 1 symbols) and n over all `texts` (one binary column)."""
+    """s (order + 1 symbols), n and seen: how often in those of `texts` (a binary column, then whether it is held out) to learn from, and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        def out() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate([p[0][0] for p in parts if p]))
+            counts = np.zeros((2, len(keys)), np.int64)
+            for fold, p in enumerate(parts):
+                if p:
+                    own, n = p.pop()
+                    counts[fold, np.searchsorted(keys, own)] = n
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, counts[0], counts[0] + counts[1])], ["s", "n", "seen"])
+
+        parts: tuple[list, list] = [], []
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
-                parts.append(np.unique(strings(part, order), return_counts=True))
-                if len(parts) == 16:
-                    parts = [summed(parts)]
-                    if len(parts[0][0]) > 1 << 21:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts.pop()], ["s", "n"])
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(parts)], ["s", "n"])
+            for fold, p in enumerate(parts):
+                for part in slices(batch.column(0).filter(pc.equal(batch.column(1), bool(fold))).to_pylist()):
+                    p.append(np.unique(strings(part, order), return_counts=True))
+                    if len(p) == 16:
+                        p[:] = [summed(p)]
+                if p and len(p[0][0]) > 1 << 21:
+                    for q in parts:
+                        q[:] = [summed(q)] if q else []
+                    yield out()
+        for p in parts:
+            p[:] = [summed(p)] if p else []
+        if any(parts):
+            yield out()
 
-    return texts.mapInArrow(lean(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "s long, n long, seen long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 class Trie:
@@ -136,36 +157,73 @@ class Trie:
         return out
 
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of all `texts` (one binary column)."""
-    counts = stored(string_counts(texts, order), "strings")
-    levels = []
-    for m in range(order + 1):
-        level = counts if m == order else counts.groupBy((F.col("s").bitwiseAND((1 << BITS * (m + 1)) - 1)).alias("s")).agg(F.sum("n").alias("n"))
-        levels.append(level)
-    least = 1
-    sizes = levels[order].groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()  # a row for each count up to 2^16
-    held = 0
-    for n, strings_of in sizes:
-        held += strings_of
-        if held > nodes:
-            least = n + 1
-            break
-    out = []
-    for level in levels:  # longer strings occur no more often than their ends: at most `nodes` rows of each order
-        found = level.filter(F.col("n") >= least).select("s", "n").toArrow()
-        out.append((found.column("s").to_numpy(), found.column("n").to_numpy()))
-    return Trie(out)
+def costs(counts: DataFrame, order: int = ORDER, chunk: int = 1 << 18) -> DataFrame:
+    """s, seen and cost (log10 probability of the last symbol) of each row of string_counts()."""
+    learnt = counts.filter("n > 0")
+    low = []
+    for m in range(min(2, order + 1)):  # at most 257 and 257 * 258 rows
+        found = learnt.groupBy(F.col("s").bitwiseAND((1 << BITS * (m + 1)) - 1).alias("s")).agg(F.sum("n").alias("n")).toArrow()
+        low.append((found.column("s").to_numpy(), found.column("n").to_numpy()))
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if held and sum(x.num_rows for x in held) >= chunk:
+                keys = batch.column(0).to_numpy()
+                same = int(np.searchsorted(keys, held[-1].column(0)[-1].as_py(), "right"))
+                if same < len(keys):
+                    yield solve([*held, batch.slice(0, same)])
+                    held, batch = [], batch.slice(same)
+            held.append(batch)
+        if held:
+            yield solve(held)
+
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        s, n, seen = (np.concatenate([x.column(k).to_numpy() for x in parts]) for k in (1, 2, 3))
+        own, levels = (s[n > 0], n[n > 0]), list(shared.value)
+        for m in range(2, order + 1):
+            levels.append(summed([(own[0] & ((1 << BITS * (m + 1)) - 1), own[1])]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (s, seen, Trie(levels).code_lengths(s))], ["s", "seen", "cost"])
+
+    key = F.shiftright("s", BITS).bitwiseAND((1 << 2 * BITS) - 1).alias("key")
+    dealt = counts.select(key, "s", "n", "seen").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lean(run), "s long, seen long, cost double")
+
+
+class Frequent:
+    """Code lengths of the strings of `found` that are seen most often, `nodes` at most; NaN for all others."""
+
+    def __init__(self, found: DataFrame, nodes: int) -> None:
+        # a row for each count below 2^16, and for each power of two from there on
+        size = F.when(F.col("seen") < 1 << 16, F.col("seen")).otherwise(F.pow(F.lit(2), F.floor(F.log2("seen"))).cast("long"))
+        least, held = 1, 0
+        for n, strings_of in found.groupBy(size.alias("n")).count().orderBy(F.desc("n")).collect():
+            held += strings_of
+            if held > nodes:
+                least = n + 1 if n < 1 << 16 else 2 * n
+                break
+        kept = found.filter(F.col("seen") >= least).select("s", "cost").toArrow()
+        keys = kept.column("s").to_numpy()
+        by = np.argsort(keys)
+        self.keys, self.costs = keys[by], kept.column("cost").to_numpy()[by]
+
+    def code_lengths(self, full: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(full), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, full), len(self.keys) - 1)
+        return np.where(self.keys[at] == full, self.costs[at], np.nan)
 
 
 class Scorer:
     """Code lengths of texts; what a string costs is worked out once and kept in a table of fixed size."""
 
-    def __init__(self, trie: Trie, order: int, slots: int = 20) -> None:
+    def __init__(self, trie: Trie | Frequent, order: int, slots: int = 20) -> None:
         self.trie, self.order, self.shift = trie, order, np.uint64(64 - slots)
         self.keys, self.costs = np.full(1 << slots, -1, np.int64), np.zeros(1 << slots)
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
+    def each(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of all texts and what they cost."""
         full = strings(texts, self.order)
         slot = (full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
         costs, missing = self.costs[slot], self.keys[slot] != full
@@ -176,7 +234,21 @@ class Scorer:
             to = (new.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
             free = self.keys[to] == -1
             self.keys[to[free]], self.costs[to[free]] = new[free], found[free]  # of two for one slot the later stays, in both arrays
-        return np.add.reduceat(costs, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
+        return full, costs
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        return np.add.reduceat(self.each(texts)[1], starts(texts))
+
+    def known(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Code lengths of texts without the strings of no known cost, and these: (text, string, times)."""
+        full, costs = self.each(texts)
+        at, first = np.flatnonzero(np.isnan(costs)), starts(texts)
+        costs[at] = 0
+        text = np.searchsorted(first, at, "right") - 1
+        by = np.lexsort((full[at], text))
+        text, rest = text[by], full[at][by]
+        heads = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (rest[1:] != rest[:-1])][: len(at)])
+        return np.add.reduceat(costs, first), list(zip(text[heads].tolist(), rest[heads].tolist(), np.diff(np.r_[heads, len(at)]).tolist(), strict=True))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -209,12 +281,13 @@ def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, frequent: int
     context = docs.sparkSession.sparkContext
     common = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()  # at most `frequent` rows
     known = context.broadcast(dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist(), strict=True)))
-    trie = context.broadcast(train(learn, order, nodes))
+    lengths = stored(costs(stored(string_counts(base.select("text", "held_out"), order), "strings"), order), "costs")
+    often = context.broadcast(Frequent(lengths, nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scorer, logs = Scorer(trie.value, order), {w: log10(c + 1) for w, c in known.value.items()}
+        scorer, logs = Scorer(often.value, order), {w: log10(c + 1) for w, c in known.value.items()}
         row = TaskContext.get().partitionId() << 40
         names = ["row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]
         types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -224,7 +297,10 @@ def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, frequent: int
                 out: list[tuple] = []
                 ids, folds = batch.column(0).slice(low, len(part)).to_pylist(), batch.column(1).slice(low, len(part)).to_pylist()
                 low += len(part)
-                for text, doc_id, fold, cost in zip(part, ids, folds, scorer(part).tolist(), strict=True):
+                cost_of, rest = scorer.known(part)
+                for k, s, times in rest:
+                    out.append((row + k, b"  %d" % s, times, None, None, None, None, None, None))
+                for text, doc_id, fold, cost in zip(part, ids, folds, cost_of.tolist(), strict=True):
                     words = Counter(text.lower().split())
                     words[END_TOKEN] += 1
                     own, total, found = 0.0, 0, 0
@@ -242,11 +318,14 @@ def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, frequent: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     rows = base.mapInArrow(lean(run), "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    # strings under words that no text has
+    told = counts.select("word", "c", F.lit(None).cast("double").alias("cost")).union(lengths.select(F.concat(F.lit("  "), F.col("s").cast("string")).cast("binary"), F.lit(None).cast("long"), "cost"))
     rare = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    each = rows.join(counts, "word", "left").groupBy("row").agg(
+    each = rows.join(told, "word", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
-        (F.max("logs") + F.coalesce(F.sum(rare), F.lit(0.0))).alias("logs"), F.max("score").alias("score"),
+        (F.max("logs") + F.coalesce(F.sum(rare), F.lit(0.0))).alias("logs"),
+        (F.max("score") + F.coalesce(F.sum(F.col("times") * F.col("cost")), F.lit(0.0))).alias("score"),
     )
     size = log10(tokens + kinds + 1)
     return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * size).alias("base_score"), "score")

@@ -87,3 +87,29 @@ def test_the_table_of_costs_changes_nothing():
     small, large = ppm.Scorer(trie, 4, slots=2), ppm.Scorer(trie, 4)
     for _ in range(3):
         assert np.allclose(small(texts), large(texts)) and np.allclose(small(texts), [trie.code_lengths(ppm.strings([t], 4)).sum() for t in texts])
+
+
+def test_no_string_is_cut_from_the_model(spark):
+    rows = [(i, (t or "").encode()) for i, t in odd_texts() if i != 13] + [(i, b"abracadabra %d" % (i % 7)) for i in range(200, 240)]
+    brute = Brute([t for i, t in rows if not fold(i)], 4)
+    want = sorted((i or -1, round(brute.score(t), 6)) for i, t in rows)
+    df = docs(spark, [(i, t.decode()) for i, t in rows])
+    for nodes in (0, 20):
+        got = sorted((r.doc_id or -1, r.score) for r in ppm.score(df, nodes=nodes).collect())
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-4)
+
+
+def test_strings_are_dealt_in_whole_groups(spark):
+    texts = [bytes(np.random.default_rng(k).choice(list(b"abc "), 300).tolist()) for k in range(6)]
+    counts = ppm.string_counts(spark.createDataFrame([(t, False) for t in texts[:4]] + [(t, True) for t in texts[4:]], "text binary, held_out boolean"))
+    keys, n = np.unique(ppm.strings(texts[:4], 4), return_counts=True)
+    trie = ppm.Trie([ppm.summed([(keys & ((1 << 9 * (m + 1)) - 1), n)]) for m in range(5)])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")
+    try:
+        found = ppm.costs(counts, chunk=1).toPandas()
+    finally:
+        spark.conf.set(size, before)
+    assert len(found) == len(np.unique(ppm.strings(texts, 4))) and found.seen.sum() == 6 * 301
+    assert np.allclose(found.cost, trie.code_lengths(found.s.to_numpy()))
