@@ -31,16 +31,21 @@ def digests(content: Column, algorithms: dict = ALGORITHMS) -> Column:
     return F.struct(*(F.unhex(digest(content)).alias(name) for name, (_, digest) in algorithms.items()))
 
 
-def _forms(name: str, digest: Column) -> Column:
+def forms(name: Column | str, digest: Column) -> Column:
     """Addresses by one algorithm: the short forms that its digest is long enough for, and the full one."""
     hexed = F.lower(F.hex(digest))
     short = F.filter(F.array(*map(F.lit, SHORT_FORMS)), lambda n: n <= F.length(hexed))
     return F.concat(F.transform(short, lambda n: format_hash_uri(name, F.substring(hexed, F.lit(1), n))), F.array(format_hash_uri(name, hexed)))
 
 
+def short_form(name: Column | str, digest: Column) -> Column:
+    """The shortest address by one algorithm: all its others start with it."""
+    return format_hash_uri(name, F.substring(F.lower(F.hex(digest)), 1, min(SHORT_FORMS)))
+
+
 def uris_of(held: Column, names: list[str]) -> Column:
     """All distinct addresses of a content by its digests()."""
-    return F.array_distinct(F.concat(*(_forms(name, held[name]) for name in names)))
+    return F.array_distinct(F.concat(*(forms(name, held[name]) for name in names)))
 
 
 def hash_uris(content: Column, algorithms: dict = ALGORITHMS) -> Column:

@@ -3,7 +3,8 @@
 The log comes in the order of seq, batch by batch: a meta-file's target is in an earlier batch or in its own. A batch is hashed and
 parsed once. Two questions need history: is a file new (by its hash), and what was the first file of a target (by its address). The
 tables that answer them are bucketed by what is asked, so the batch's few keys go to the buckets and history stays where it is:
-no shuffle grows with the log. Everything else follows from the batch.
+no shuffle grows with the log. Everything else follows from the batch, whose whole rows are shuffled once. Of a digest's addresses
+the table keeps the shortest, which all others start with, and the digest; read() writes them out.
 
 A micro-batch is a partition of each table, written again as a whole if it is run again. A marker, written last, makes it visible, so
 readers see all or nothing. compact() merges what many batches have left.
@@ -16,13 +17,14 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import dedup_files, ingest, uri_index
+from ..functions.address import SHORT_FORMS, forms, short_form
+from ..operators.catalog import dedup_rows, ingest
 from ..operators.meta import add_metadata, build_postings, first_of, flatten_meta, is_meta, judge_parse, judge_target, split_target
 
 #: Columns of the tables, and the key that a table is bucketed by.
 TABLES = {
     "files": ("file_id long, hash string, type string, size long", "hash"),
-    "uris": ("uri string, file_id long, of_meta boolean", "uri"),
+    "uris": ("uri string, digest binary, file_id long, of_meta boolean", "uri"),
     "metafiles": ("meta_file_id long, target_uri string", None),
     "metadata": ("meta_file_id long, field string, value string", None),
     "postings": ("term string, meta_file_id long", None),
@@ -78,8 +80,9 @@ class LogTables:
         return new
 
     def read(self, name: str) -> DataFrame:
-        """What whole batches have brought."""
-        return self.before(name, self.complete() + 1)
+        """What whole batches have brought; of uris all addresses."""
+        rows = self.before(name, self.complete() + 1)
+        return rows.select(F.explode(F.array_distinct(forms(F.regexp_extract("uri", "^hash://([^/]+)/", 1), F.col("digest")))).alias("uri"), "file_id", "of_meta") if name == "uris" else rows
 
     def before(self, name: str, batch_id: int) -> DataFrame:
         return self.spark.table(self.names[name]).filter(F.col("batch_id") < batch_id).drop("batch_id")
@@ -109,11 +112,21 @@ def known_files(history: DataFrame, staged: DataFrame) -> DataFrame:
     return _found(history.select("hash", "type"), staged.select("hash").distinct(), "hash")
 
 
+def short_uris(files: DataFrame) -> DataFrame:
+    """Rows of the table uris for files (file_id, type, digests): one for each algorithm."""
+    meta = F.coalesce(is_meta(F.col("type")), F.lit(False)).alias("of_meta")
+    each = F.array(*(F.struct(short_form(name, F.col("digests")[name]).alias("uri"), F.col("digests")[name].alias("digest")) for name in files.schema["digests"].dataType.names))
+    return files.select(F.explode(each).alias("x"), "file_id", meta).select("x.*", "file_id", "of_meta")
+
+
 def first_files(history: DataFrame, own: DataFrame, metas: DataFrame) -> DataFrame:
     """target_uri, and the least file_id with whether it is a meta-file, of the targets of `metas` that history or the batch's `own` uris have."""
-    wanted = metas.select(F.col("target_uri").alias("uri")).distinct()
-    old = _found(history, wanted, "uri").select("uri", "file_id", "of_meta")
-    new = own.join(wanted, "uri", "left_semi").select("uri", "file_id", "of_meta")
+    start = F.regexp_extract("target_uri", rf"^(hash://[^/]+/[0-9a-f]{{{min(SHORT_FORMS)}}})[0-9a-f]*$", 1)
+    wanted = metas.select(F.col("target_uri").alias("asked"), start.alias("uri")).filter("uri <> ''").distinct()
+    digits = F.length("uri") - min(SHORT_FORMS)
+    whole = F.concat(F.substring(F.col("uri"), F.lit(1), digits), F.lower(F.hex("digest")))
+    same = F.startswith(whole, F.col("asked")) & ((F.length("asked") - digits).isin(*SHORT_FORMS) | (F.length("asked") == F.length(whole)))
+    old, new = (_found(rows, wanted, "uri").filter(same).select(F.col("asked").alias("uri"), "file_id", "of_meta") for rows in (history, own))
     return first_of(old.union(new))
 
 
@@ -123,15 +136,14 @@ def append_batch(log: LogTables, batch: DataFrame, batch_id: int) -> None:
     others = batch.filter(~F.coalesce(is_meta(F.col("type")), F.lit(False)))
     kept = {"target_uri": "string", "fields": "array<struct<field: string, value: string>>", "fulltext": "string", "reason": "string"}
     none = [F.lit(None).cast(kind).alias(name) for name, kind in kept.items()]
-    staged = ingest(metas, keep=tuple(kept)).unionByName(ingest(others).select("*", *none)).persist()
+    # whole rows are dealt once: files, uris and meta-files of the batch all follow from what is kept here
+    staged = dedup_rows(ingest(metas, keep=tuple(kept)).unionByName(ingest(others).select("*", *none))).persist()
     known = log.put_down("known", known_files(log.before("files", batch_id), staged))
     same = (F.col("hash") == F.col("known_hash")) & F.col("type").eqNullSafe(F.col("known_type"))
-    fresh = dedup_files(staged).join(known.select(F.col("hash").alias("known_hash"), F.col("type").alias("known_type")), same, "left_anti")
-    files = log.write("files", fresh, batch_id)
-    new = staged.join(files.select(F.col("file_id").alias("seq")), "seq", "left_semi")
-    meta = F.coalesce(is_meta(F.col("type")), F.lit(False))
-    uris = log.write("uris", uri_index(new).join(files.select("file_id", meta.alias("of_meta")), "file_id"), batch_id)
-    said = new.filter(meta).select(F.col("seq").alias("meta_file_id"), *kept)
+    new = staged.join(known.select(F.col("hash").alias("known_hash"), F.col("type").alias("known_type")), same, "left_anti")
+    log.write("files", new, batch_id)
+    uris = log.write("uris", short_uris(new), batch_id)
+    said = new.filter(F.coalesce(is_meta(F.col("type")), F.lit(False))).select(F.col("file_id").alias("meta_file_id"), *kept)
     judged = judge_target(said, first_files(log.before("uris", batch_id), uris, said)).persist()
     log.write("rejects", judged.filter("reason is not null"), batch_id)
     valid = judged.filter("reason is null")

@@ -122,6 +122,19 @@ def test_tables_kept_batch_by_batch(spark, tmp_path):
     assert again.complete() == 2 and again.read("files").count() == 11
 
 
+def test_addresses_are_kept_short_and_shuffled_once(spark, tmp_path):
+    """A row for each algorithm, not for each address; what a batch of many meta-files writes stays under a half of all addresses."""
+    log = ingest.LogTables(spark, f"file://{tmp_path}/log", 4)
+    one = uri("one")
+    rows = [(1, "one", PLAIN, None), (2, "two", PLAIN, None)] + [(10 + k, f'{t}\n\n{{"n":"{k}"}}', META, None) for k, t in enumerate([one, one[:38], one[:62], one[:39], one.upper(), "hash://sha256/", "x", uri("two")[:38] + "0"])]
+    ingest.append_batch(log, spark.createDataFrame(rows, LOG), 0)
+    assert log.before("uris", 1).count() == 3 * len(rows) and log.read("uris").count() == 9 * len(rows)
+    later = [(30, f'{one[:38]}\n\n{{"n":"later"}}', META, None), (31, f'{one[:40]}\n\n{{"n":"later"}}', META, None)]
+    ingest.append_batch(log, spark.createDataFrame(later, LOG), 1)
+    assert sorted(r.meta_file_id for r in log.read("metafiles").collect()) == [10, 11, 12, 30]
+    assert sorted(r.meta_file_id for r in log.read("rejects").filter("reason = '412'").collect()) == [13, 14, 15, 16, 17, 31]
+
+
 def test_generations(spark, tmp_path):
     """Batches before the last are merged; the last may run again, and the next go on; the old generation stays as it was."""
     old = ingest.LogTables(spark, f"file://{tmp_path}/log", 2)
