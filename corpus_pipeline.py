@@ -30,8 +30,8 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; n_chars follows the text."""
-    found = suffixes.dedup_texts(docs)
+    """Texts without their repeated passages, of 400 bytes or of over 50 words; n_chars follows the text."""
+    found = suffixes.dedup_texts(docs, words=suffixes.WORDS)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 

@@ -119,3 +119,24 @@ def test_texts_of_one_id_share_a_passage_at_one_place(spark, key):
     assert want[0] and want[2]
     got = [[(s.start, s.end) for s in r.spans] for r in suffixes.dedup(df).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_passages_of_over_fifty_short_words_go(spark):
+    # 51 words, at most 254 bytes: one passage that repeats, one of 50 words, one that differs in its 26th word, one spaced otherwise
+    short = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    changed = short("c", 51).replace(" c25 ", " other ")
+    texts = ["one " + short("a", 51) + " two", "three\n" + short("a", 51).replace(" ", "\t") + "\nfour", "five " + short("b", 50) + " six", "seven " + short("b", 50) + " eight"]
+    texts += ["nine " + short("c", 51) + " ten", "eleven " + changed + " twelve", short("d", 60) + " x " + short("d", 60), short("e", 30), None, prose(200, 1)]
+    want, seen = [], {}
+    split = [(t or "").split() for t in texts]
+    for n, w in enumerate(split):
+        for k in range(len(w) - 50):
+            seen.setdefault(tuple(w[k : k + 51]), set()).add((n, k))
+    for n, w in enumerate(split):
+        gone = {j for k in range(len(w) - 50) if len(seen[tuple(w[k : k + 51])]) > 1 for j in range(k, k + 51)}
+        want.append([x for j, x in enumerate(w) if j not in gone])
+    assert want[0] == ["one", "two"] and want[1] == ["three", "four"] and want[6] == ["x"] and want[2:6] == split[2:6]
+    df = docs(spark, list(enumerate(texts)))
+    assert {r.doc_id: r.text.split() for r in suffixes.dedup_texts(df, words=51).collect()} == dict(enumerate(want))
+    whole = {r.doc_id: r.text.split() for r in suffixes.dedup_texts(df).collect()}
+    assert whole[0] == split[0] and whole[1] == split[1]
