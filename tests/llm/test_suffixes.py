@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from doclog.llm import suffixes
+from doclog.llm import common, suffixes
 from helpers import docs, odd_texts, prose
 
 
@@ -140,3 +140,21 @@ def test_passages_of_over_fifty_short_words_go(spark):
     assert {r.doc_id: r.text.split() for r in suffixes.dedup_texts(df, words=51).collect()} == dict(enumerate(want))
     whole = {r.doc_id: r.text.split() for r in suffixes.dedup_texts(df).collect()}
     assert whole[0] == split[0] and whole[1] == split[1]
+
+
+def test_bitmap_stops_hashes_that_are_all_small(spark):
+    # the least of 201 hashes each, as anchors have them
+    least = np.random.default_rng(3).integers(0, 2**64, (10_000, 201), np.uint64, endpoint=False).min(axis=1)
+    own, other = least[:5000], least[5000:]
+    bits = common.bitmap(spark.createDataFrame([(x,) for x in own.view(np.int64).tolist()], "h long"))
+    assert common.in_bitmap(bits, own).all()
+    assert common.in_bitmap(bits, other).mean() < 0.02
+
+
+def test_words_are_coded_in_the_step_that_reads_them(spark):
+    # one Python worker a task: each further step of a stage holds a worker of its own
+    df = docs(spark, [(1, prose(60, 1)), (2, prose(60, 1))]).selectExpr("cast(text as binary) text")
+    found = suffixes.occurrences(df, 8 * 51, 8 * 26, suffixes.Words(51))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    assert found.count() > 0
