@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import format_hash_uri, short_uri
 from ..functions.text import cdata, human_size
+from ..storage import few
 from .catalog import Catalog
 from .meta import first_value
 
@@ -72,7 +73,12 @@ def page(c: Catalog, result: DataFrame, start: str | None = None, count: int = 5
 
 
 def with_uri(result: DataFrame, files: DataFrame) -> DataFrame:
-    return result.join(files, "file_id").withColumn("uri", format_hash_uri("sha256", F.col("hash")))
+    """`result` with the columns of its files, and their addresses. It is put down first: a small result shuffles no files."""
+    return own_uri(few(result).join(files, "file_id"))
+
+
+def own_uri(files: DataFrame) -> DataFrame:
+    return files.withColumn("uri", format_hash_uri("sha256", F.col("hash")))
 
 
 def export_plan(c: Catalog, result: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def export_plan(c: Catalog, result: DataFrame) -> DataFrame:
     rows = c.targets().join(c.metadata.filter("field in ('source-path', 'title')"), "meta_file_id")
     named = rows.groupBy("file_id").agg(F.min(F.when(F.col("field") == "source-path", F.col("value"))).alias("source"), F.min(F.when(F.col("field") == "title", F.col("value"))).alias("title"))
     path = F.coalesce("source", F.concat(F.lit("./unknown/"), "title"), F.concat(F.lit("./unknown/"), "hash"))
-    out = result.join(c.files.select("file_id", "hash"), "file_id").join(named, "file_id", "left").select("file_id", path.alias("path"))
+    out = few(result).join(c.files.select("file_id", "hash"), "file_id").join(named, "file_id", "left").select("file_id", path.alias("path"))
     return out.withColumn("escapes", F.col("path").rlike(r"^/|(^|/)\.\.(/|$)"))
 
 
