@@ -39,8 +39,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 RUN = 2048
 #: Of keep_one(): words of a shingle, least similarity, segments, codewords of each, and bits of 128 in which candidates may differ.
 WORDS, LEAST, PARTS, NEAREST, CHECKED = 5, 0.8, 6, 3, 36
-#: Sets that are compared with each other at once.
-SETS = 1024
+#: Sets that are compared with each other at once, and values of them.
+SETS, VALUES = 1024, 1 << 20
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -199,7 +199,8 @@ def in_blocks(members: DataFrame, told: DataFrame, compare: Callable[[DataFrame]
 
     A key with over `run` members is dealt over blocks of half as many, twice, and compare() sees (block, id, ...). An id with several
     keys, all of them that large, is dealt under the largest. What that leaves outside the largest component of a key then meets
-    all of the key's blocks: any other pair is connected already.
+    all of the key's blocks, as many at a time as a block has: any other pair is connected already. So no task gets more than about
+    `run` members at once, however many stay outside.
     """
     rest = [c for c in told.columns if c != "id"]
     sizes = checkpoint(members.groupBy("key").agg(F.count("*").alias("n")))
@@ -216,8 +217,13 @@ def in_blocks(members: DataFrame, told: DataFrame, compare: Callable[[DataFrame]
     parts = many.join(found, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     largest = checkpoint(parts.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "most"))
     open_ = parts.join(largest, "key").withColumn("own", own(F.lit(2))).withColumn("outside", F.col("part") != F.col("most"))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))
-    again = open_.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(F.array("own"), others)).otherwise(F.array("own"))))
+    # those outside are many where few link: they are dealt over groups too, and each block meets one group at a time
+    groups = checkpoint(open_.filter("outside").groupBy("key").agg(F.ceil(F.count("*") / (run // 2)).cast("int").alias("groups")))
+    dealt = open_.join(groups, "key").withColumn("mine", F.pmod(F.xxhash64("id", "key", F.lit(3)), "groups").cast("int"))
+    at = lambda block, group: F.struct(block.alias("block"), group.alias("group"))
+    here = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: at(F.col("own"), g))
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own")), lambda k: at(k, F.col("mine")))
+    again = dealt.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(here, others)).otherwise(here)))
     return out.union(checkpoint(compare(again.select(F.xxhash64("key", F.lit(2), "at").alias("block"), "id").join(told, "id").select("block", "id", *rest))))
 
 
@@ -309,21 +315,28 @@ class Margins:
 
 
 def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of sets with a Jaccard similarity of `least` or more."""
-    m, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
-    owner = np.repeat(np.arange(m), sizes.astype(np.int64))
-    at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    many = counts > 1
-    owner, at = owner[many[at]], (np.cumsum(many) - 1)[at[many[at]]]
-    by = np.argsort(at, kind="stable")
-    owner, at = owner[by], at[by]
-    common, width = np.zeros((m, m)), max(64, (1 << 22) // m)
-    for low in range(0, int(many.sum()), width):
-        part = slice(*np.searchsorted(at, (low, low + width)))
-        held = np.zeros((m, min(width, int(many.sum()) - low)), np.float32)
-        held[owner[part], at[part] - low] = 1
-        common += held @ held.T
-    whole = sizes[:, None] + sizes - common
+    """Pairs (i, j) of sorted sets with a Jaccard similarity of `least` or more.
+
+    Hashes are spread evenly, so ranges of them hold about VALUES values of all sets each: what is in memory beside the sets doesn't grow
+    with the texts' lengths.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    parts, width, common = max(1, -(-int(sizes.sum()) // VALUES)), max(64, (1 << 22) // m), np.zeros((m, m))
+    starts = np.zeros(m, np.int64)
+    for k in range(1, parts + 1):
+        ends = sizes if k == parts else np.array([np.searchsorted(s, np.uint64((k << 64) // parts)) for s in sets], np.int64)
+        owner = np.repeat(np.arange(m, dtype=np.int32), ends - starts)
+        at, counts = np.unique(np.concatenate([s[i:j] for s, i, j in zip(sets, starts, ends, strict=True)]), return_inverse=True, return_counts=True)[1:]
+        starts, many = ends, counts > 1
+        owner, at = owner[many[at]], (np.cumsum(many) - 1)[at[many[at]]]
+        by = np.argsort(at, kind="stable")
+        owner, at, distinct = owner[by], at[by], int(many.sum())
+        for low in range(0, distinct, width):
+            part = slice(*np.searchsorted(at, (low, low + width)))
+            held = np.zeros((m, min(width, distinct - low)), np.float32)
+            held[owner[part], at[part] - low] = 1
+            common += held @ held.T
+    whole = (sizes[:, None] + sizes - common).astype(np.float64)
     return np.nonzero(np.triu(common / np.maximum(whole, 1) >= least, 1))
 
 
