@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import mimetypes
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.address import format_hash_uri
 from ..functions.text import is_text_type, natural_key
+from ..storage import put_down
 
 DEFAULT_TYPE = "application/octet-stream"
 EXCERPT = 512 * 1024
+#: Files that a task reads, about, and bytes of contents that it gives on at once.
+FILES, BATCH = 1024, 8 << 20
 
 
 def mime_types(spark: SparkSession, types: dict[str, str] | None = None) -> DataFrame:
@@ -26,14 +32,79 @@ def with_type(paths: DataFrame, types: DataFrame) -> DataFrame:
     return paths.withColumn("ext", ext).join(F.broadcast(types), "ext", "left").withColumn("type", F.coalesce("type", F.lit(DEFAULT_TYPE))).drop("ext")
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _spelled(path: str) -> str:
+    """A folder's path as Spark's readers give it."""
+    store, root = _store(path)
+    return (f"file:{root}" if isinstance(store, fs.LocalFileSystem) else path).rstrip("/")
+
+
+def list_tree(spark: SparkSession, path: str) -> DataFrame:
+    """name (from `path` on), size, modified of each file below a folder, but for empty ones and names that Spark's readers hide; contents are not read.
+
+    Folders are listed by tasks, level by level, and what they hold is put down, so the driver has no list of the files. The store has to
+    be one that pyarrow opens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [f for f in store.get_file_info(fs.FileSelector(f"{root.rstrip('/')}{folder}")) if f.base_name[0] != "." and (f.base_name[0] != "_" or "=" in f.base_name) and not f.base_name.endswith("._COPYING_")]
+                names = pa.array([f"{folder}/{f.base_name}" for f in found], pa.string())
+                times = pa.array([f.mtime_ns // 1_000_000 * 1000 if f.mtime_ns else None for f in found], pa.timestamp("us", "UTC"))
+                columns = [names, pa.array([not f.is_file for f in found], pa.bool_()), pa.array([f.size for f in found], pa.int64()), times]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "folder", "size", "modified"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    level, files = spark.createDataFrame([("",)], "name string"), None
+    while files is None or not level.isEmpty():
+        found = put_down(level.repartition(tasks, "name").mapInArrow(run, "name string, folder boolean, size long, modified timestamp"))
+        level, own = found.filter("folder").select("name"), found.filter("not folder and size > 0").select("name", "size", "modified")
+        files = own if files is None else files.union(own)
+    return files
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """path, content, modified of each file below a folder, in natural order of path: names are sorted, and contents read in that order."""
+    base = _spelled(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            names, times, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([base + n for n in names], pa.string()), pa.array(data, pa.binary()), pa.array(times, pa.timestamp("us", "UTC"))], ["path", "content", "modified"])
+
+        for batch in batches:
+            rows, held = [], 0
+            for name, modified in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), strict=True):
+                with store.open_input_stream(f"{root.rstrip('/')}{name}") as f:
+                    rows.append((name, modified, f.read()))
+                held += len(rows[-1][2])
+                if held >= BATCH:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+    listed = list_tree(spark, path)
+    size = listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, size.files // FILES, size.bytes // (64 << 20))
+    key = natural_key(F.concat(F.lit(base), "name"))
+    rows = listed.select("name", "modified", key.alias("key")).repartitionByRange(tasks, "key").sortWithinPartitions("key").select("name", "modified")
+    return rows.mapInArrow(run, "path string, content binary, modified timestamp")
+
+
 def read_tree(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
     """path, content, type, title, modified, fulltext of each file below a folder, in natural order of path."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     title = F.regexp_extract("path", "([^/]+)$", 1)
-    typed = with_type(found, mime_types(spark, types)).withColumn("title", title)
+    typed = with_type(contents(spark, path), mime_types(spark, types)).withColumn("title", title)
     text = F.when(is_text_type(F.col("type")) | F.startswith("type", F.lit("text/")), F.concat(F.lit("\n"), F.substring(F.expr("try_validate_utf8(content)"), 1, EXCERPT)))
-    rows = typed.select("path", "content", "type", "title", F.col("modificationTime").alias("modified"), F.concat("title", F.coalesce(text, F.lit(""))).alias("fulltext"))
-    return rows.orderBy(natural_key(F.col("path")))
+    return typed.select("path", "content", "type", "title", "modified", F.concat("title", F.coalesce(text, F.lit(""))).alias("fulltext"))
 
 
 def tree_meta(tree: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -79,6 +150,6 @@ def load_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def hash_tree(spark: SparkSession, path: str, algorithm: str = "sha256") -> DataFrame:
     """uri of each file in a tree of two-digit folders; contents are not read."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    digest = F.regexp_extract("path", r"/([0-9a-f]{2})/(\1[0-9a-f]+)$", 2)
+    names = list_tree(spark, path)
+    digest = F.regexp_extract("name", r"/([0-9a-f]{2})/(\1[0-9a-f]+)$", 2)
     return names.withColumn("digest", digest).filter("digest <> ''").select(format_hash_uri(algorithm, F.col("digest")).alias("uri"))
