@@ -66,5 +66,23 @@ def short_uri(uri: Column, digits: int = 24) -> Column:
     return format_hash_uri(parsed.algo, F.substring(parsed.hash, 1, digits))
 
 
+#: Addresses that packed() makes shorter.
+PACKED = r"^hash://([0-9a-z.-]{1,99})/((?:[0-9a-f]{2}){1,128})\z"
+
+
+def packed(uri: Column) -> Column:
+    """An address in binary, a byte for two digits, behind its algorithm and that name's length; any other string whole, behind a zero."""
+    name, hexed = F.regexp_extract(uri, PACKED, 1), F.regexp_extract(uri, PACKED, 2)
+    size = F.unhex(F.lpad(F.hex(F.length(name)), 2, "0"))
+    return F.when(uri.rlike(PACKED), F.concat(size, name.cast("binary"), F.unhex(hexed))).otherwise(F.concat(F.unhex(F.lit("00")), uri.cast("binary")))
+
+
+def unpacked(held: Column) -> Column:
+    size = F.conv(F.hex(F.substring(held, 1, 1)), 16, 10).cast("int")
+    part = lambda at, n: F.substring(held, at, n)
+    address = format_hash_uri(part(F.lit(2), size).cast("string"), F.lower(F.hex(part(size + 2, F.length(held)))))
+    return F.when(size == 0, part(F.lit(2), F.length(held)).cast("string")).otherwise(address)
+
+
 def storage_prefix(digest: Column) -> Column:
     return F.substring(digest, 1, 2)

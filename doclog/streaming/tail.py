@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.address import packed, unpacked
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -66,7 +68,7 @@ class _Number(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:  # noqa: N802
         done = self.told.get()[0] if self.told.exists() else 0
         for row in sorted(rows, key=lambda r: r.seq):
-            yield Row(seq=row.seq, uri=row.uri, target_uri=key[0], position=done)
+            yield Row(seq=row.seq, uri=None if row.uri is None else bytes(row.uri), target_uri=bytes(key[0]), position=done)
             done += 1
         self.told.update((done,))
 
@@ -80,13 +82,15 @@ def hold_until_target(steps: DataFrame) -> DataFrame:
     A file row opens each of its addresses (`addresses`, or else target_uri); the meta-files held under any of them follow it in the
     order in which they came, later ones at once. So a meta-file's position is known when it comes, and releasing is a join of two
     streams: Python sees the meta-files only, and none of the addresses, which are several for each file and mostly no target.
-    State is kept per address and meta-file, released ones too, in output mode append.
+    State is kept per address and meta-file, released ones too, in output mode append; addresses are binary there, in half their bytes.
     """
     on_disk_state(steps.sparkSession)
-    metas = steps.filter("is_meta").select("target_uri", "seq", "uri")
-    numbered = metas.groupBy("target_uri").transformWithState(_Number(), "seq long, uri string, target_uri string, position long", "append", "none")
+    metas = steps.filter("is_meta and target_uri is not null").select(packed(F.col("target_uri")).alias("target_uri"), "seq", packed(F.col("uri")).alias("uri"))
+    numbered = metas.groupBy("target_uri").transformWithState(_Number(), "seq long, uri binary, target_uri binary, position long", "append", "none")
     files = steps.filter("not is_meta").select(F.explode(F.coalesce("addresses", F.array("target_uri"))).alias("opened"))
-    return numbered.join(files.dropDuplicates(["opened"]), F.col("target_uri") == F.col("opened")).select("seq", "uri", "target_uri", "position")
+    opened = files.select(packed(F.col("opened")).alias("opened")).dropDuplicates(["opened"])
+    found = numbered.join(opened, F.col("target_uri") == F.col("opened"))
+    return found.select("seq", unpacked(F.col("uri")).alias("uri"), unpacked(F.col("target_uri")).alias("target_uri"), "position")
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -97,7 +101,7 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     on_disk_state(stream.sparkSession)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        writer = writer.format("parquet").option("path", path)
+        writer = writer.format("parquet").option("path", path).option("compression", "zstd")
     else:
         writer = writer.outputMode(mode).foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch_id={k}"))
     writer.start().awaitTermination()
